@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from rankloom.llm import (
+    html_main,
     media,
+    packing,
     resharding,
     url_reputation,
 )
@@ -13,7 +15,9 @@ ORACLE_SQL: dict[str, str] = {}
 for _module in (
     resharding,
     url_reputation,
+    html_main,
     media,
+    packing,
 ):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
