@@ -6,7 +6,9 @@ from rankloom.llm import (
     html_main,
     media,
     packing,
+    quality,
     resharding,
+    toxicity,
     url_reputation,
 )
 
@@ -14,10 +16,12 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in (
     resharding,
+    toxicity,
     url_reputation,
     html_main,
     media,
     packing,
+    quality,
 ):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
