@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rankloom.llm import (
+    decontamination,
     html_main,
     media,
     packing,
@@ -18,6 +19,7 @@ for _module in (
     resharding,
     toxicity,
     url_reputation,
+    decontamination,
     html_main,
     media,
     packing,

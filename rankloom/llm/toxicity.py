@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import held_out, pick, table
 
-BUCKETS, SAMPLE, KEPT, FACTORS = 1 << 18, 12_000, 1_024, 8
+BUCKETS, SAMPLE, KEPT, FACTORS = 1 << 18, 20_000, 1_024, 8
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
 _TERM = re.compile(r"\w+")
@@ -92,26 +92,26 @@ def _machine_sum(w, v, at, owner, n):
     return np.bincount(owner, w[at], n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, steps: int = 400, seed: int = 7) -> Machine:
-    """Full-batch Adam on the logistic loss with L2; the buckets with the largest z statistic take part."""
+def choose_buckets(seen: np.ndarray, hits: np.ndarray, n: int, positives: int) -> np.ndarray:
+    """Buckets with the largest z statistic of label counts ``hits`` among the rows ``seen`` with each bucket."""
+    rate = positives / max(n, 1)
+    z = (hits - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1)
+    use = np.argsort(-np.abs(z), kind="stable")[:KEPT]
+    return use[(seen[use] >= 3) & (np.abs(z[use]) > 2.5)]
+
+
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray, use: np.ndarray, steps: int = 400, seed: int = 7) -> Machine:
+    """Full-batch Adam on the logistic loss with L2; ``rows`` hold positions in ``use``, the buckets that take part."""
     n = len(rows)
-    sizes = np.array([len(r) for r in rows], int)
-    flat = np.concatenate(rows) if n else np.zeros(0, int)
-    owner = np.repeat(np.arange(n), sizes)
     y = np.asarray(labels, float)
     place = np.zeros(BUCKETS, np.int32)
     rate = float(y.mean()) if n else 0.0
-    base = np.log((rate + 1e-4) / (1 - rate + 1e-4))
-    if not n or rate in (0.0, 1.0):
+    base = float(np.log((rate + 1e-4) / (1 - rate + 1e-4)))
+    if not n or rate in (0.0, 1.0) or not len(use):
         return Machine(base, place, np.zeros(1), np.zeros((1, FACTORS)))
-    seen = np.bincount(flat, minlength=BUCKETS)
-    hits = np.bincount(flat, y[owner], BUCKETS)
-    z = (hits - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1)
-    use = np.argsort(-np.abs(z), kind="stable")[:KEPT]
-    use = use[(seen[use] >= 3) & (np.abs(z[use]) > 2.5)]
     place[use] = 1 + np.arange(len(use))
-    at = place[flat]
-    owner, at = owner[at > 0], at[at > 0]
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    at = 1 + np.concatenate(rows)
     rng = np.random.default_rng(seed)
     bias, w, v = np.array([base]), np.zeros(len(use) + 1), rng.normal(0, 0.01, (len(use) + 1, FACTORS))
     weight = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
@@ -138,15 +138,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """A machine from labelled rows (labels: doc_id, toxic)."""
+    """A machine from labelled rows (labels: doc_id, toxic): one pass counts the buckets, one fetches those that take part."""
+    rows = labelled_sample(docs, labels, "toxic", sample)
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, hits = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for x in batches:
+            for text, y in zip(x["text"], x["y"], strict=True):
+                terms = list(hashed_terms(text))
+                seen[terms] += 1
+                hits[terms] += int(y)
+        there = np.flatnonzero(seen)
+        yield pd.DataFrame({"bucket": there, "seen": seen[there], "hits": hits[there]})
+
+    # at most BUCKETS rows of each task, summed on the executors
+    summed = rows.mapInPandas(counts, "bucket int, seen long, hits long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("hits").alias("hits"))
+    found = summed.where("seen >= 3").toPandas()
+    seen, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    seen[found["bucket"]], hits[found["bucket"]] = found["seen"], found["hits"]
+    n, positives = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    use = choose_buckets(seen, hits, n, positives)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[use] = np.arange(len(use))
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "y": x["y"], "terms": [sorted(hashed_terms(t)) for t in x["text"]]})
+            terms = [place[sorted(hashed_terms(t))] if t else place[:0] for t in x["text"]]
+            yield pd.DataFrame({"doc_id": x["doc_id"], "y": x["y"], "terms": [t[t >= 0] for t in terms]})
 
-    rows = labelled_sample(docs, labels, "toxic", sample).mapInPandas(hashed, "doc_id long, y int, terms array<int>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    return fit_machine([np.asarray(t, np.int64) for t in rows["terms"]], rows["y"].to_numpy())
+    fetched = rows.mapInPandas(chosen, "doc_id long, y int, terms array<int>").toPandas().sort_values("doc_id", kind="stable")
+    return fit_machine([np.asarray(t, np.int64) for t in fetched["terms"]], fetched["y"].to_numpy(), use)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
