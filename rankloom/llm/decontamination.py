@@ -110,29 +110,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: f
         .select("doc_id", "raw", "template", F.explode(F.array(*[F.struct(F.lit(n).alias("length"), _hashes(n).alias("hs")) for n in sorted(sizes) or [window]])).alias("of"))
         .select("doc_id", "raw", "template", "of.length", F.posexplode("of.hs").alias("at", "h"))
     )
-    hits = (
-        made.join(known, ["h", "length"])
-        .where(F.expr("slice(template, at + 1, length) = item_window"))
-        .select(
-            "doc_id", "item_id", "n_windows", "item_at",
-            # slots: the values behind the placeholders of the window, and what they stand for in the item
-            F.filter(
-                F.arrays_zip(F.col("item_window").alias("kind"), F.col("item_raw").alias("item"), F.expr("slice(raw, at + 1, length)").alias("doc")),
-                lambda s: s.kind.startswith("§"),
-            ).alias("slots"),
-        )
-    )
+    # `coalesce` keeps the comparison out of the join key: it is made for rows of equal hash only.  From the
+    # generator to this projection all is generated code, so no row with a document's arrays is ever copied.
+    hits = made.join(known.withColumnRenamed("length", "item_length"), "h").where(
+        F.expr("length = item_length and coalesce(slice(template, at + 1, length) = item_window, false)")
+    ).select("doc_id", "item_id", "n_windows", "item_at", "item_window", "item_raw", F.expr("slice(raw, at + 1, length)").alias("doc_raw"))
+    # slots: the values behind the placeholders of a window, and what they stand for in the item
+    slots = F.filter(
+        F.arrays_zip(F.col("item_window").alias("kind"), F.col("item_raw").alias("item"), F.col("doc_raw").alias("doc")),
+        lambda s: s.kind.startswith("§"),
+    )
+    # sets of a pair: item positions, at most as many as the item has, and its slots within one document
+    pairs = (
+        hits.select("doc_id", "item_id", "n_windows", "item_at", slots.alias("slots"))
+        .groupBy("doc_id", "item_id")
+        .agg(F.max("n_windows").alias("n_windows"), F.size(F.collect_set("item_at")).alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+        .where(F.col("n_hit") >= F.lit(cover) * F.col("n_windows"))
+    )
+    kinds = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s.kind, s[side]))))
     # a slot breaks consistency where its item value stands for several document values, or the reverse
-    pairs = hits.select("doc_id", "item_id", F.explode("slots").alias("s")).select("doc_id", "item_id", "s.*").distinct()
-    both = pairs.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_slots"), F.countDistinct("kind", "item").alias("n_item"), F.countDistinct("kind", "doc").alias("n_doc"),
-    )
-    cover_of = hits.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.countDistinct("item_at").alias("n_hit"))
-    return (
-        cover_of.where(F.col("n_hit") >= F.lit(cover) * F.col("n_windows"))
-        .join(both, ["doc_id", "item_id"], "left")
-        .where("n_slots is null or (n_slots = n_item and n_slots = n_doc)")
-        .select("doc_id", "item_id", "n_windows", "n_hit", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
+    return pairs.where((F.size("slots") == kinds("item")) & (F.size("slots") == kinds("doc"))).select(
+        "doc_id", "item_id", "n_windows", "n_hit", F.size("slots").alias("n_slots")
     )
 
 
