@@ -6,6 +6,7 @@ from rankloom.llm import (
     decontamination,
     html_main,
     media,
+    near_dup,
     packing,
     quality,
     resharding,
@@ -22,6 +23,7 @@ for _module in (
     decontamination,
     html_main,
     media,
+    near_dup,
     packing,
     quality,
 ):
