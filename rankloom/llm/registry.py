@@ -9,6 +9,7 @@ from rankloom.llm import (
     near_dup,
     packing,
     quality,
+    repeats,
     resharding,
     toxicity,
     url_reputation,
@@ -26,6 +27,7 @@ for _module in (
     near_dup,
     packing,
     quality,
+    repeats,
 ):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
