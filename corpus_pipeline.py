@@ -2,16 +2,63 @@
 
 ``run`` applies STAGES to ``documents``; each stage writes Parquet to the shared
 folder and the next one reads it, so a lost executor costs one stage at most.
+
+All stages but the last return the columns of ``documents``; ``n_chars`` follows
+the text where a stage changes it.  Rows of any null or empty text are rows like
+others: the classifier judges them by their (absent) form, and what it keeps goes
+on.  Rows that share a doc_id share the fate of that id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.llm import decontamination, near_dup, packing, quality, repeats
+from rankloom.llm.common import Scratch, held_out, table
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier does not reject."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    net = quality.train(docs, labels)
+    return quality.score(docs, net).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates: the one whose id names it."""
+    judged = near_dup.near_duplicates(docs)
+    kept = judged.where("kept").select("doc_id", F.lit(True).alias("_kept")).distinct()
+    return docs.join(kept, "doc_id", "left").where("_kept or doc_id is null").select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 400-byte strings that start elsewhere too."""
+    cut = repeats.cut_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item leaks."""
+    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of the documents with their sequence and offset."""
+    return packing.pack_documents(docs.select("doc_id", "text"), packing.tokenizer_file())
 
-from rankloom.llm.common import Scratch, table
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("repeated passages", cut_repeated_passages),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
 
+#: Classifier, sketches and packing are not SQL; tests/llm holds the pipeline against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -263,10 +263,11 @@ def cut_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([kept_text(t.encode("utf-8", "replace"), s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+        # rows without spans pass through
+        return pd.Series([t if s is None else kept_text(t.encode("utf-8", "replace"), s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     joined = mine.join(found, "_key", "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), cut("text", "_spans")).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in columns])
+    return joined.withColumn("text", cut("text", "_spans")).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
