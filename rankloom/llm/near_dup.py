@@ -6,9 +6,11 @@
    bands of 4; a pair at similarity 0.75 shares no band with probability 5e-6.
 3. Buckets of up to ``SMALL`` members yield all their pairs.  A larger bucket is
    tested against one pivot member after another, linear work each, leaving out
-   what is connected to the pivot already; what ``PIVOTS`` rounds leave apart is
-   compared in blocks of sketches (bounded memory), which pass on only pairs of
-   unlike label whose estimated similarity is within six deviations.
+   what is connected to the pivot already; pivots are the members that share
+   most buckets, such as the original of a group of near copies.  What ``PIVOTS``
+   rounds leave apart, families of texts that are mostly a little less than
+   alike, is compared block by block (bounded memory); blocks confirm links
+   themselves and emit no more of them than join their members.
 4. Every candidate pair is confirmed on the full sets, and links are joined to
    components by label propagation over contracted links, in Spark.
 
@@ -34,7 +36,7 @@ from rankloom.llm.common import Scratch, pick, table
 from rankloom.llm.shingles import band_hashes, by_bytes, fast_similarity_sketch, shingle_sets
 
 COORDINATES, BANDS = 128, 32
-SMALL, PIVOTS, BLOCK = 8, 6, 512
+SMALL, PIVOTS, BLOCK = 8, 4, 512
 BROADCAST_IDS = 1_000_000
 ALIKE, OF = 75, 100
 
@@ -113,33 +115,38 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _block_pairs(members: DataFrame, coordinates: int) -> DataFrame:
-    """Pairs (a, b) of unlike label in a bucket whose sketches may be alike; members: bucket, id, label, shingles, size.
+def _block_links(members: DataFrame, coordinates: int) -> DataFrame:
+    """Confirmed links (a, b) between members of unlike label of a family; members: family, n_blocks, id, label, shingles.
 
-    Members are dealt into blocks of about BLOCK and every two blocks of a bucket meet in one group.
+    Members are dealt into blocks and every two blocks of a family meet in one group.  Sketches rule out pairs whose
+    estimate is five deviations low; the rest is confirmed on the sets, except where links found before connect it.
     """
-    blocks = members.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK).cast("int")).alias("n"), "id", "label", "shingles").withColumn(
-        "mine", F.pmod(F.xxhash64("id", "bucket"), F.col("n")).cast("int")
-    )
-    dealt = blocks.select("bucket", "mine", "id", "label", "shingles", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select(
-        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "shingles"
-    )
-    cut = ALIKE / OF - 6 * (ALIKE / OF * (1 - ALIKE / OF) / coordinates) ** 0.5
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("id", "family"), F.col("n_blocks")).cast("int")).select(
+        "family", "mine", "id", "label", "shingles", F.explode(F.expr("sequence(0, n_blocks - 1)")).alias("other")
+    ).select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "shingles")
+    cut = ALIKE / OF - 5 * (ALIKE / OF * (1 - ALIKE / OF) / coordinates) ** 0.5
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
-        ids, labels, side = x["id"].to_numpy(), x["label"].to_numpy(), x["mine"].to_numpy()
-        sets = [np.asarray(s, np.int64).view(np.uint64) for s in x["shingles"]]
-        sizes, sketch = np.array([len(s) for s in sets]), fast_similarity_sketch(sets, coordinates).astype(np.uint16)
+        ids, side = x["id"].to_numpy(), x["mine"].to_numpy()
+        sets = [np.asarray(s, np.int64) for s in x["shingles"]]
+        sizes = np.array([len(s) for s in sets])
+        sketch = fast_similarity_sketch([s.view(np.uint64) for s in sets], coordinates).astype(np.uint16)
+        group = np.unique(x["label"].to_numpy(), return_inverse=True)[1]  # joined as links are found
         a, b = [], []
         left, right = np.flatnonzero(side == x["i"].iloc[0]), np.flatnonzero(side == x["j"].iloc[0])
         for k in left:
-            near = right[(labels[right] != labels[k]) & (np.minimum(sizes[right], sizes[k]) * OF >= np.maximum(sizes[right], sizes[k]) * ALIKE)]
+            near = right[(group[right] != group[k]) & (np.minimum(sizes[right], sizes[k]) * OF >= np.maximum(sizes[right], sizes[k]) * ALIKE)]
             near = near[(sketch[near] == sketch[k]).mean(1) >= cut] if len(near) else near
-            a += [ids[k]] * len(near)
-            b += list(ids[near])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
+            for m in near:
+                if group[m] != group[k]:
+                    both = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
+                    if both * OF >= (sizes[k] + sizes[m] - both) * ALIKE:
+                        a.append(ids[k])
+                        b.append(ids[m])
+                        group[group == group[m]] = group[k]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, bands: int = BANDS) -> DataFrame:
@@ -173,31 +180,40 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, bands: int
         found = components(between, scratch).select(F.col("id").alias("label"), F.col("label").alias("new"))
         return scratch.keep(labels.join(found, "label", "left").select("id", F.coalesce("new", "label").alias("label")))
 
-    # all pairs of small buckets, and every larger bucket against its least member
     small = members.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     pair = F.transform(F.expr("sequence(0, size(ids) - 1)"), lambda i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(F.get("ids", i).alias("a"), y.alias("b"))))
-    pairs = small.where("size(ids) > 1").select(F.explode(F.flatten(pair)).alias("p")).select("p.a", "p.b")
-    large = members.where(F.col("size") > SMALL)
-    pairs = pairs.union(large.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))).distinct()
+    pairs = small.where("size(ids) > 1").select(F.explode(F.flatten(pair)).alias("p")).select("p.a", "p.b").distinct()
     labels = merge(labels, _verified(pairs, sets))
 
-    for turn in range(1, PIVOTS + 1):
-        # buckets whose members differ in label; the pivot is the least by a hash of this turn
+    large = members.where(F.col("size") > SMALL)
+    degree = large.groupBy("id").agg(F.sum("size").alias("degree"))
+    large = scratch.keep(large.join(degree, "id"))
+    used, rest = None, True
+    for _ in range(PIVOTS):
+        # buckets whose members differ in label, and of each the member of most company that has not been a pivot
         state = large.join(labels, "id")
-        open_ = state.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("pivot")
-        ).where("low <> high")
-        open_ = scratch.keep(open_.select("bucket", F.col("pivot.id").alias("pivot"), F.col("pivot.label").alias("pivot_label")))
+        apart = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        fresh = state if used is None else state.join(used, "id", "left_anti")
+        pivots = fresh.groupBy("bucket").agg(F.max_by(F.struct("id", "label"), F.struct("degree", -F.col("id"))).alias("pivot"))
+        open_ = scratch.keep(apart.join(pivots, "bucket").select("bucket", F.col("pivot.id").alias("pivot"), F.col("pivot.label").alias("pivot_label")))
         if not open_.limit(1).count():
-            large = None
+            rest = False
             break
         trial = state.join(open_, "bucket").where("label <> pivot_label").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         labels = merge(labels, _verified(trial, sets))
-    if large is not None:
+        new = open_.select(F.col("pivot").alias("id"))
+        used = scratch.keep((new if used is None else used.union(new)).distinct())
+    if rest:
         state = large.join(labels, "id")
-        open_ = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        rest = state.join(open_, "bucket", "left_semi").join(sets.withColumnRenamed("doc_id", "id"), "id")
-        labels = merge(labels, _verified(scratch.keep(_block_pairs(rest, coordinates)), sets))
+        apart = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        left = scratch.keep(state.join(apart, "bucket", "left_semi").select("id", "label", "first"))
+        if left.limit(1).count():
+            # a family: what buckets that still differ connect; each member comes once, however many buckets it is in
+            family = components(left.select(F.col("id").alias("a"), F.col("first").alias("b")), scratch).select("id", F.col("label").alias("family"))
+            once = left.select("id", "label").distinct().join(family, "id")
+            n = once.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+            found = _block_links(once.join(n, "family").join(sets.withColumnRenamed("doc_id", "id"), "id"), coordinates)
+            labels = merge(labels, scratch.keep(found))
 
     scratch.sweep()
     # the least id of a component is that of one of its classes' representatives
