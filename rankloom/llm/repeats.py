@@ -124,23 +124,31 @@ def _runs_of(texts: DataFrame, least: int) -> DataFrame:
 
 
 def _cuts_of(texts: DataFrame, least: int) -> DataFrame:
-    """A row for each run of texts (text_key, raw, runs) with its bytes; within a batch the bytes of equal cuts come once."""
+    """A row for each run of texts (text_key, raw, runs): its minimiser, place and the 128-bit name of the bytes it spans."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = []
             for text_key, raw, found in zip(x["text_key"], x["raw"], x["runs"], strict=True):
-                for r in found:
-                    cut = bytes(raw[r["a"] : r["b"] + least - 1])
-                    rows.append((text_key, r["key"], r["a"], r["b"] - r["a"], hashlib.blake2b(cut, digest_size=16).digest(), cut))
-                if len(rows) > 4_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                raw = memoryview(bytes(raw))
+                rows += [(text_key, r["key"], r["a"], r["b"] - r["a"], hashlib.blake2b(raw[r["a"] : r["b"] + least - 1], digest_size=16).digest()) for r in found]
+            yield pd.DataFrame(rows, columns=["text_key", "key", "a", "n", "cut_key"])
 
-    columns = ["text_key", "key", "a", "n", "cut_key", "cut"]
-    return texts.mapInPandas(run, "text_key binary, key long, a long, n long, cut_key binary, cut binary")
+    return texts.select("text_key", "raw", "runs").mapInPandas(run, "text_key binary, key long, a long, n long, cut_key binary")
+
+
+def _cut_out(bodies: DataFrame, chosen: DataFrame, least: int) -> DataFrame:
+    """key, cut_key, n and the bytes of chosen cuts (text_key, a, n, key, cut_key)."""
+    of = chosen.groupBy("text_key").agg(F.collect_list(F.struct("key", "cut_key", "a", "n")).alias("cuts"))  # at most a text's own runs
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for raw, cuts in zip(x["raw"], x["cuts"], strict=True):
+                rows = [(c["key"], bytes(c["cut_key"]), c["n"], bytes(raw[c["a"] : c["a"] + c["n"] + least - 1])) for c in cuts]
+                for at in range(0, len(rows), 2_000):
+                    yield pd.DataFrame(rows[at : at + 2_000], columns=["key", "cut_key", "n", "cut"])
+
+    return bodies.join(of, "text_key").select("raw", "cuts").mapInPandas(run, "key long, cut_key binary, n long, cut binary")
 
 
 def _shard_marks(least: int):
@@ -196,19 +204,21 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, scratch: Scratch | None
     scratch.sweep()
 
     cuts = scratch.keep(_cuts_of(bodies, least))
-    apart = cuts.groupBy("key", "cut_key").agg(F.count("*").alias("copies"), F.first("cut").alias("cut"), F.first("n").alias("n"))
-    apart = scratch.keep(apart)
-    by_key = apart.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.octet_length("cut")).alias("size")).where("kinds > 1")
+    apart = cuts.groupBy("key", "cut_key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.min(F.struct("text_key", "a")).alias("at"))
+    apart = scratch.keep(apart.select("key", "cut_key", "copies", "n", "at.text_key", "at.a"))
+    by_key = apart.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (least - 1)).alias("size")).where("kinds > 1")
     by_key = scratch.keep(by_key)
     total = by_key.where(F.col("kinds") <= CUTS).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
+    # bytes are cut out once for each differing cut of a minimiser that has several
+    several = apart.join(by_key.select("key", "kinds"), "key").select("text_key", "a", "n", "key", "cut_key", "kinds")
     sharded = (
-        apart.join(by_key.where(F.col("kinds") <= CUTS).select("key"), "key")
+        _cut_out(bodies, several.where(F.col("kinds") <= CUTS), least)
         .withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
         .groupBy("shard")
         .applyInPandas(_shard_marks(least), f"key long, cut_key binary, spans {SPANS}")
     )
-    hot = _string_hashes(apart.join(by_key.where(F.col("kinds") > CUTS).select("key"), "key"), least)
+    hot = _string_hashes(_cut_out(bodies, several.where(F.col("kinds") > CUTS), least), least)
     again = hot.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1").select("one", "two")
     dealt = hot.join(again, ["one", "two"]).groupBy("key", "cut_key").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("spans"))
     whole = apart.where("copies > 1").select("key", "cut_key", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"))
