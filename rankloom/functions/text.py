@@ -30,7 +30,7 @@ def words(c: Column | str) -> Column:
 
 
 def ngrams(ws: Column, n: int = 4) -> Column:
-    """Runs of n words joined by blanks; empty where there are fewer."""
+    """Runs of n words joined by blanks; empty where there are fewer.  ``ws`` should be a plain column: it is read per gram."""
     starts = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - (n - 1))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, n), " "))
 

@@ -32,7 +32,7 @@ ARCHIVES = ["zip", "tar", "gz", "tgz", "bz2", "7z", "rar", "xz"]
 def sniff(content: Column, path: Column) -> Column:
     """Format by extension ``tex``, by magic bytes, by markup at the start, else by extension, else unknown."""
     head = F.hex(F.substring(content, 1, 8))
-    start = F.lower(F.substring(F.decode(F.substring(content, 1, 512), "UTF-8"), 1, 512))
+    start = F.lower(F.make_valid_utf8(F.substring(content, 1, 512).cast("string")))
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     known = F.try_element_at(F.create_map(*[F.lit(v) for kv in EXTENSIONS.items() for v in kv]), ext)
     return (
@@ -122,7 +122,7 @@ def extract_text(files: DataFrame, plugins: dict[str, Callable[[bytes], str]] |
     """path, format, text, reason for binary files (path, content)."""
     found = files.select("path", "content").withColumn("format", sniff(F.col("content"), F.col("path")))
     plain = ["text", "latex", "html", "rtf"]
-    raw = F.decode("content", "UTF-8")
+    raw = F.make_valid_utf8(F.col("content").cast("string"))  # what is no UTF-8 is replaced
     own = found.where(F.col("format").isin(plain)).select(
         "path", "format", squeeze(F.when(F.col("format") == "latex", strip_latex(raw)).when(F.col("format") == "html", strip_html(raw)).otherwise(raw)).alias("text"), F.lit(None).cast("string").alias("reason"),
     )
