@@ -5,8 +5,9 @@ alone: where it stands (a menu, footer, form or the like; inside an article or
 not), its share of linked characters, its length and its share of stop words.
 That decides it good or bad, or leaves a short or middling block open.  Pass two
 gives an open block the label of its nearest decided neighbours within the same
-region (the article, or the rest of the page): both agree, or good wins inside
-an article and the nearer one elsewhere; without any, an article block is good.
+region (the article, or the rest of the page): inside an article one good
+neighbour, or none at all, makes it good; elsewhere the nearer one decides, the
+edges of the page being bad.
 
 Articles may be junk, and junk has no stop words, so stop-word density decides
 only outside articles; inside, a block is bad for its place or its links alone.
@@ -178,11 +179,13 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[str]:
     out = []
     for i, (b, label) in enumerate(zip(blocks, labels, strict=True)):
         if label == "open":
-            near = sorted((abs(i - x[0]), x[1] != "good", x[1]) for x in (before[i], after[i]) if x)
+            near = [x for x in (before[i], after[i]) if x]
             if b.region:
-                label = "good" if not near or any(x[2] == "good" for x in near) else "bad"
+                label = "good" if not near or any(x[1] == "good" for x in near) else "bad"
+            elif near:  # the edges of the page count as bad neighbours, and of two as near the bad one wins
+                label = min((before[i] or (-1, "bad"), after[i] or (n, "bad")), key=lambda x: (abs(i - x[0]), x[1]))[1]
             else:
-                label = near[0][2] if near else "good" if len(b.text) >= SHORT else "bad"
+                label = "good" if len(b.text) >= SHORT else "bad"
         out.append(label)
     return out
 

@@ -147,7 +147,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 3) -> float:
     margin = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(zu)) + 1 / np.sqrt(len(zp)))
     best = np.argmin((share_u + margin) / share_p)
     # the lower end: too large a prior hides the negatives, too small a one only costs certainty
-    return float(np.clip((share_u[best] - margin) / share_p[best], 0.05, 0.95))
+    return float(np.clip(share_u[best] / share_p[best] - margin, 0.05, 0.95))
 
 
 STATS_TYPE = "doc_id long, y int, stats array<double>"

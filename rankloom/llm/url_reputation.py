@@ -50,43 +50,41 @@ def rule_of(rules, host="host", path="path"):
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _strength(children: DataFrame, low: float = 1.0, high: float = 10_000.0) -> tuple[float, float]:
-    """(rate, weight) of the beta prior above rows (n, k): moment estimate, three sums to the driver."""
-    s = children.where("n > 0").agg(
-        F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("k").alias("k"),
-        F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk"),
-    ).first()
-    if not s.c:
-        return 0.5, low
-    m = s.k / s.n
-    spread = m * (1 - m)
-    room = s.n - s.nn / s.n - (s.c - 1)
-    if spread <= 0 or room <= 0:
-        return m, high
-    over = ((s.kk - s.n * m * m) / spread - (s.c - 1)) / room
-    return m, min(high, max(low, 1 / over - 1)) if over > 0 else high
+def _weight(members: DataFrame, low: float = 1.0, high: float = 10_000.0) -> float:
+    """Weight of the beta prior around the parents' rates m, for rows (n, k, m).
+
+    (k - n m)^2 / (n m (1 - m)) is 1 + (n - 1) rho on average, and the weight is 1 / rho - 1; three sums reach the driver.
+    """
+    spread = F.col("n") * F.col("m") * (1 - F.col("m"))
+    s = members.where("n > 0").agg(F.count("*").alias("c"), F.sum((F.col("k") - F.col("n") * F.col("m")) ** 2 / spread).alias("z"), F.sum(F.col("n") - 1).alias("room")).first()
+    rho = (s.z - s.c) / s.room if s.c and s.room else 0.0
+    return min(high, max(low, 1 / rho - 1)) if rho > 0 else high
 
 
 def host_reputation(hosts: DataFrame) -> DataFrame:
-    """host, posterior parameters a and b, for rows (host, n, k): labelled pages and bad ones."""
+    """host, n, k and the posterior parameters a and b, for rows (host, n, k): labelled pages and bad ones."""
     labels = F.split("host", r"\.")
     hosts = hosts.select(
         "host", "n", "k",
         F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("domain"),
         F.element_at(labels, -1).alias("suffix"),
     )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    rate, over_suffix = _strength(suffixes)
-    _, over_domain = _strength(domains)
-    _, over_host = _strength(hosts)
+    total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    domains = total(hosts, "domain", "suffix")
+    suffixes = total(domains, "suffix")
+    t = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
+    raw = (F.col("k") + 0.5) / (F.col("n") + 1)
+    below = lambda df, parents, key: df.join(parents.select(key, raw.alias("m")), key)
+    by_suffix = _weight(suffixes.withColumn("m", F.lit((t.k + 0.5) / (t.n + 1))))
+    by_domain = _weight(below(domains, suffixes, "suffix"))
+    by_host = _weight(below(hosts, domains, "domain"))
     shrink = lambda prior, weight: (F.col("k") + weight * prior) / (F.col("n") + weight)
-    suffixes = suffixes.select("suffix", shrink(F.lit(rate), over_suffix).alias("suffix_rate"))
-    domains = domains.join(suffixes, "suffix").select("domain", shrink(F.col("suffix_rate"), over_domain).alias("domain_rate"))
+    suffixes = suffixes.select("suffix", shrink(F.lit((t.k + 0.5) / (t.n + 1)), by_suffix).alias("suffix_rate"))
+    domains = domains.join(suffixes, "suffix").select("domain", shrink(F.col("suffix_rate"), by_domain).alias("domain_rate"))
     return hosts.join(domains, "domain").select(
         "host", "n", "k",
-        (F.col("k") + over_host * F.col("domain_rate")).alias("a"),
-        (F.col("n") - F.col("k") + over_host * (1 - F.col("domain_rate"))).alias("b"),
+        (F.col("k") + by_host * F.col("domain_rate")).alias("a"),
+        (F.col("n") - F.col("k") + by_host * (1 - F.col("domain_rate"))).alias("b"),
     )
 
 
