@@ -36,7 +36,8 @@ from rankloom.llm.common import Scratch, pick, table
 from rankloom.llm.shingles import band_hashes, by_bytes, fast_similarity_sketch, shingle_sets
 
 COORDINATES, BANDS = 128, 32
-SMALL, PIVOTS, BLOCK = 8, 4, 512
+SMALL, PIVOTS, BLOCK = 8, 2, 512
+ONE_TASK_EDGES = 200_000
 BROADCAST_IDS = 1_000_000
 ALIKE, OF = 75, 100
 
@@ -83,9 +84,13 @@ def full_sets(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, label) of every node of the edges (a, b): label is the least id that can be reached.
 
-    Each round takes the least label around and then the label of that label, so chains halve.
+    Up to ``ONE_TASK_EDGES`` edges, a bounded amount, are joined in one task; beyond, labels spread in rounds: the least
+    label around and then the label of that label, so chains halve.
     """
-    both = scratch.keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    edges = scratch.keep(edges.select("a", "b").distinct())
+    if edges.count() <= ONE_TASK_EDGES:
+        return edges.coalesce(1).mapInPandas(_joined, "id long, label long")
+    both = scratch.keep(edges.union(edges.select("b", "a")).distinct())
     labels = scratch.keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
@@ -102,6 +107,23 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over a bounded number of edges."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x in batches:
+        for a, b in zip(x["a"].tolist(), x["b"].tolist(), strict=True):
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    ids = list(up)
+    yield pd.DataFrame({"id": np.array(ids, np.int64), "label": np.array([top(i) for i in ids], np.int64)})
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are alike."""
     one = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s{side}"))
@@ -165,6 +187,7 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, bands: int
     members = scratch.keep(placed.join(shared, "bucket").select("bucket", F.col("rep").alias("id"), "size", "first").distinct())
     ids = scratch.keep(members.select(F.col("id").alias("doc_id")).distinct())
     n_ids = ids.count()
+    few = max(1, n_ids // 100_000)  # files of the small tables of ids
     wanted = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
     sets = scratch.keep(full_sets(docs.join(wanted, "doc_id", "left_semi")))
     scratch.sweep()
@@ -174,11 +197,9 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, bands: int
     def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
         """Labels after the links, contracted to links between labels."""
         of = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
-        between = scratch.keep(links.join(of("a"), "a").join(of("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        if not between.limit(1).count():
-            return labels
+        between = links.join(of("a"), "a").join(of("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         found = components(between, scratch).select(F.col("id").alias("label"), F.col("label").alias("new"))
-        return scratch.keep(labels.join(found, "label", "left").select("id", F.coalesce("new", "label").alias("label")))
+        return scratch.keep(labels.join(found, "label", "left").select("id", F.coalesce("new", "label").alias("label")).coalesce(few))
 
     small = members.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     pair = F.transform(F.expr("sequence(0, size(ids) - 1)"), lambda i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(F.get("ids", i).alias("a"), y.alias("b"))))
@@ -195,14 +216,15 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, bands: int
         apart = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
         fresh = state if used is None else state.join(used, "id", "left_anti")
         pivots = fresh.groupBy("bucket").agg(F.max_by(F.struct("id", "label"), F.struct("degree", -F.col("id"))).alias("pivot"))
-        open_ = scratch.keep(apart.join(pivots, "bucket").select("bucket", F.col("pivot.id").alias("pivot"), F.col("pivot.label").alias("pivot_label")))
+        open_ = apart.join(pivots, "bucket").select("bucket", F.col("pivot.id").alias("pivot"), F.col("pivot.label").alias("pivot_label"))
+        open_ = scratch.keep(open_.coalesce(few))
         if not open_.limit(1).count():
             rest = False
             break
         trial = state.join(open_, "bucket").where("label <> pivot_label").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         labels = merge(labels, _verified(trial, sets))
         new = open_.select(F.col("pivot").alias("id"))
-        used = scratch.keep((new if used is None else used.union(new)).distinct())
+        used = (new if used is None else used.union(new)).distinct()
     if rest:
         state = large.join(labels, "id")
         apart = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")

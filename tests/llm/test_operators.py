@@ -89,6 +89,7 @@ def test_near_duplicates_blocks_alone(spark, monkeypatch):
     """What the pivots would find, blocks of unlike labels find too."""
     monkeypatch.setattr(near_dup, "PIVOTS", 0)
     monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "ONE_TASK_EDGES", 0)
     rows = near_copies()
     got = near_dup.near_duplicates(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == components_by_brute_force(rows)
