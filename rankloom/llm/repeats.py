@@ -6,7 +6,8 @@ hash in them, so they can be brought together without comparing anything else:
 1. Equal texts are one text; where it occurs twice, all of it (if long enough)
    is repeated.
 2. The starts of each text fall into runs of one minimiser; only (hash, range)
-   is kept of a run, and only runs whose hash occurs twice go on.
+   is kept of a run.  Runs that span the same bytes within a text are repeated,
+   and one of them goes on for the rest; so do all whose hash occurs twice.
 3. Of those runs the bytes that their strings span are cut out and equal cuts
    are counted; a cut that occurs twice is repeated as a whole.
 4. The differing cuts of a minimiser go together into a shard of bounded size,
@@ -111,16 +112,37 @@ def _with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("raw", raw).withColumn("sha", sha).withColumn("text_key", F.unhex(F.substring("sha", 1, 32)))
 
 
+def distinct_runs(raw: bytes, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict]]:
+    """The runs of a text, of those that span equal bytes only the first, and the spans of all that do.
+
+    Lines or words repeated over and over would else give a run for every few bytes.
+    """
+    keys, begins, ends = runs(raw, least)
+    names, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+    if len(names) == len(keys):
+        return keys, begins, ends, []
+    first: dict[tuple[int, bytes], int] = {}
+    keep, own = np.ones(len(keys), bool), np.zeros(len(keys), bool)
+    view = memoryview(raw)
+    for i in np.flatnonzero(count[which] > 1):
+        cut = (int(keys[i]), hashlib.blake2b(view[begins[i] : ends[i] + least - 1], digest_size=16).digest())
+        if (j := first.setdefault(cut, i)) != i:
+            keep[i], own[i], own[j] = False, True, True
+    spans = merged([{"a": a, "b": b} for a, b in zip(begins[own], ends[own], strict=True)], least - 1)
+    return keys[keep], begins[keep], ends[keep], [{"a": a, "b": b} for a, b in spans]
+
+
 def _runs_of(texts: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            found = [runs(bytes(r), least) for r in x["raw"]]
+            found = [distinct_runs(bytes(r), least) for r in x["raw"]]
             yield pd.DataFrame(
                 {"text_key": x["text_key"], "doc_id": x["doc_id"], "n_bytes": [len(r) for r in x["raw"]]}
-                | {name: [f[k] for f in found] for k, name in enumerate(("keys", "begins", "ends"))}
+                | {name: [f[k] for f in found] for k, name in enumerate(("keys", "begins", "ends", "own"))}
             )
 
-    return texts.select("text_key", "doc_id", "raw").mapInPandas(run, "text_key binary, doc_id long, n_bytes long, keys array<long>, begins array<long>, ends array<long>")
+    kinds = f"text_key binary, doc_id long, n_bytes long, keys array<long>, begins array<long>, ends array<long>, own {SPANS}"
+    return texts.select("text_key", "doc_id", "raw").mapInPandas(run, kinds)
 
 
 def _cuts_of(texts: DataFrame, least: int) -> DataFrame:
@@ -195,15 +217,17 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, scratch: Scratch | None
     twice = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     # per text, the runs whose minimiser occurs twice: at most its own length
     asked = scratch.keep(every.join(twice, "key").groupBy("text_key", "doc_id").agg(F.collect_list(F.struct("key", "a", "b")).alias("runs")))
+    # what a text repeats within itself
+    own = scratch.keep(one_each.where("size(own) > 0").select("text_key", F.explode("own").alias("s")))
     scratch.drop(known)
-    named = asked.select("text_key", "doc_id")
-    if asked.count() <= BROADCAST_TEXTS:
+    named = asked.select("text_key", "doc_id").union(own.join(counts.select("text_key", "doc_id"), "text_key").select("text_key", "doc_id")).distinct()
+    if named.count() <= BROADCAST_TEXTS:
         named = F.broadcast(named)
     bodies = texts.select("text_key", "doc_id", "raw").join(named, ["text_key", "doc_id"], "left_semi").dropDuplicates(["text_key"])
-    bodies = scratch.keep(bodies.join(asked.select("text_key", "runs"), "text_key"))
+    bodies = scratch.keep(bodies.join(asked.select("text_key", "runs"), "text_key", "left"))
     scratch.sweep()
 
-    cuts = scratch.keep(_cuts_of(bodies, least))
+    cuts = scratch.keep(_cuts_of(bodies.where("runs is not null"), least))
     apart = cuts.groupBy("key", "cut_key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.min(F.struct("text_key", "a")).alias("at"))
     apart = scratch.keep(apart.select("key", "cut_key", "copies", "n", "at.text_key", "at.a"))
     by_key = apart.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (least - 1)).alias("size")).where("kinds > 1")
@@ -228,6 +252,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, scratch: Scratch | None
         cuts.select("text_key", "key", "cut_key", F.col("a").alias("at"))
         .join(marks, ["key", "cut_key"])
         .select("text_key", F.explode(F.transform("spans", lambda s: F.struct((s.a + F.col("at")).alias("a"), (s.b + F.col("at") + (least - 1)).alias("b")))).alias("s"))
+        .union(own)
         .groupBy("text_key")
         .agg(F.collect_list("s").alias("covered"))
     )
