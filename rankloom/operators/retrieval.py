@@ -49,7 +49,9 @@ def bm25_hits(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT) ->
     """query_id, doc_id, score of documents with any query term."""
     asked = query_terms(queries)
     vocabulary = _small(asked.select("term").distinct())
-    of = docs.select("doc_id", F.size(tokens("text")).alias("dl"), F.explode(tokens("text")).alias("term"))
+    # tokens are a column of their own, so that a document is cut once and not once per exploded row
+    cut = docs.select("doc_id", tokens("text").alias("ts"))
+    of = cut.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
     postings = of.join(vocabulary, "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     weights = asked.join(idf_table(docs, config), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     k1, b = config.bm25_k1, config.bm25_b

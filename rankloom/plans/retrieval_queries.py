@@ -14,8 +14,8 @@ SIX = "floor({} * 1e6 + 0.5) / 1e6"
 
 @query("f01_tokens", f"SELECT doc_id, len({TOKENS})::BIGINT AS n_tokens, len(list_distinct({TOKENS}))::BIGINT AS n_distinct FROM documents")
 def f01(spark, sf_dir):
-    t = tokens("text")
-    return documents(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+    t = F.col("ts")
+    return documents(spark, sf_dir).select("doc_id", tokens("text").alias("ts")).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
 @query(

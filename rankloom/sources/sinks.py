@@ -37,7 +37,8 @@ def corpus_hash(docs: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, path: str, model: str, config_hash: str) -> None:
     """Postings and one meta row, keyed by the raw corpus and the configuration."""
-    of = docs.select("doc_id", F.size(tokens("text")).alias("dl"), F.explode(tokens("text")).alias("term"))
+    cut = docs.select("doc_id", tokens("text").alias("ts"))
+    of = cut.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
     of.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).write.mode("overwrite").parquet(f"{path}/postings")
     corpus_hash(docs).withColumn("model", F.lit(model)).withColumn("config_hash", F.lit(config_hash)).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
