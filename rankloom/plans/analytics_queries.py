@@ -232,7 +232,6 @@ def j16(spark, sf_dir):
 
 # ------------------------------------------------------------------ streams
 
-EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def _stream(spark, sf_dir):
