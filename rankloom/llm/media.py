@@ -13,8 +13,6 @@ columns are kept.
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
