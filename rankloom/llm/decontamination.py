@@ -6,9 +6,16 @@ run of ``WINDOW`` template tokens of a document is hashed and equi-joined with
 the windows of the benchmark items (equal templates are confirmed on the tokens
 themselves, so a hash collision cannot count).  Placeholders match any value of
 their type, so a re-parameterised question still meets its item; slot
-consistency then asks that within a (document, item) pair each value of a slot
-in the item stands for one value in the document and the other way round.  A
-pair is a leak where consistent windows cover at least ``COVER`` of the item.
+consistency then asks that among the windows judged together each value of a
+slot in the item stands for one value in the document.  Windows are judged
+together by occurrence, so that a second variant or a stray window elsewhere in
+a document takes nothing from the first: those of one alignment (document
+position less item position), those of neighbouring alignments (words put in or
+left out: alignments no further apart than the item has windows), and all of a
+pair.  Windows whose tokens equal the item's own never contradict each other and
+are judged on their own too.  A pair is a leak where any of these sets is
+consistent and covers at least ``COVER`` of the item; ``n_hit`` and ``n_slots``
+are those of the set that covers most.
 
 Only windows of the (small) benchmark are broadcast, after counting them; beyond
 ``BROADCAST_WINDOWS`` the join shuffles on the hash.  Document windows are made
@@ -23,7 +30,7 @@ whole; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import pick, table
@@ -114,24 +121,37 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: f
     # generator to this projection all is generated code, so no row with a document's arrays is ever copied.
     hits = made.join(known.withColumnRenamed("length", "item_length"), "h").where(
         F.expr("length = item_length and coalesce(slice(template, at + 1, length) = item_window, false)")
-    ).select("doc_id", "item_id", "n_windows", "item_at", "item_window", "item_raw", F.expr("slice(raw, at + 1, length)").alias("doc_raw"))
+    ).select("doc_id", "item_id", "n_windows", "at", "item_at", "item_window", "item_raw", F.expr("slice(raw, at + 1, length)").alias("doc_raw"))
     # slots: the values behind the placeholders of a window, and what they stand for in the item
     slots = F.filter(
         F.arrays_zip(F.col("item_window").alias("kind"), F.col("item_raw").alias("item"), F.col("doc_raw").alias("doc")),
         lambda s: s.kind.startswith("§"),
     )
-    # sets of a pair: item positions, at most as many as the item has, and its slots within one document
-    pairs = (
-        hits.select("doc_id", "item_id", "n_windows", "item_at", slots.alias("slots"))
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("n_windows").alias("n_windows"), F.size(F.collect_set("item_at")).alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-        .where(F.col("n_hit") >= F.lit(cover) * F.col("n_windows"))
-    )
-    kinds = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s.kind, s[side]))))
-    # a slot breaks consistency where its item value stands for several document values, or the reverse
-    return pairs.where((F.size("slots") == kinds("item")) & (F.size("slots") == kinds("doc"))).select(
-        "doc_id", "item_id", "n_windows", "n_hit", F.size("slots").alias("n_slots")
+    equal = F.col("item_raw") == F.col("doc_raw")
+    windows = hits.select("doc_id", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("align"), F.array("item_at").alias("ats"), slots.alias("slots"), equal.alias("equal")).select(
+        "*", F.when(F.col("equal"), F.col("ats")).alias("equal_ats"), F.when(F.col("equal"), F.col("slots")).alias("equal_slots"), F.lit(None).cast("struct<n_hit:int,n_slots:int>").alias("best")
     )
+    runs = _judge(windows, cover, "align")
+    by_align = Window.partitionBy("doc_id", "item_id").orderBy("align")
+    apart = F.coalesce(F.col("align") - F.lag("align").over(by_align) > F.col("n_windows"), F.lit(True))
+    near = runs.withColumn("apart", apart.cast("int")).withColumn("place", F.sum("apart").over(by_align))
+    pairs = _judge(_judge(near, cover, "place"), cover)
+    return pairs.where("best is not null").select("doc_id", "item_id", "n_windows", "best.n_hit", "best.n_slots")
+
+
+def _judge(rows: DataFrame, cover: float, *by: str) -> DataFrame:
+    """The rows of each pair and ``by`` as one: their sets united, and the best consistent set so far that covers enough."""
+    # sets: item positions, at most as many as the item has, and its slots within one document
+    united = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+    sets = rows.groupBy("doc_id", "item_id", "n_windows", *by).agg(*[united(c) for c in ("ats", "slots", "equal_ats", "equal_slots")], F.max("best").alias("best"))
+
+    def found(ats: str, slots: str) -> Column:
+        # a slot breaks consistency where its item value stands for several document values
+        values = F.array_distinct(F.transform(slots, lambda s: F.struct(s.kind, s.item)))
+        enough = F.size(ats) >= F.lit(cover) * F.col("n_windows")
+        return F.when((F.size(ats) > 0) & enough & (F.size(slots) == F.size(values)), F.struct(F.size(ats).alias("n_hit"), F.size(slots).alias("n_slots")))
+
+    return sets.withColumn("best", F.array_max(F.array("best", found("ats", "slots"), found("equal_ats", "equal_slots"))))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

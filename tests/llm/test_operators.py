@@ -184,6 +184,27 @@ def test_leaks(spark):
     assert got[21, 1].n_slots >= 4
 
 
+def test_leaks_by_occurrence(spark):
+    """A second occurrence, a stray window or two equal values take no leak away."""
+    text = "A tank holds {} litres of clean water and {} pumps empty it within {} hours while a boy named {} watches them from the old bridge"
+    item = text.format(300, 3, 5, "Peter")
+    one, two = text.format(410, 7, 9, "Walter"), text.format(520, 8, 6, "Robert")
+    stray = "Elsewhere a tank holds 77 litres of clean water and 66 pumps"
+    longer = one.replace("within", "quite fully, as all had hoped, within")
+    docs = {
+        1: item, 2: one, 3: f"{item}. {one}", 4: f"{prose(90, 1)}. {one}. {prose(90, 2)}. {two}", 5: f"{one}. {prose(200, 3)}. {stray}", 6: f"{item} {prose(200, 4)} {stray}",
+        7: text.format(300, 4, 4, "Peter"), 8: f"{longer}. {prose(300, 5)}. {stray}", 9: stray, 10: f"{prose(50, 6)}. {stray}. {prose(50, 7)}",
+    }
+    items = spark.createDataFrame([(1, item)], "item_id int, text string")
+    got = {r.doc_id: r for r in decontamination.find_leaks(frame(spark, list(docs.items())), items).collect()}
+    assert set(got) == set(range(1, 9))
+    assert all(r.n_hit <= r.n_windows and r.n_slots >= 3 for r in got.values())
+    twice = "From 3 red apples and much more that the cook laid on a long table came 3 small cakes for the guests"
+    items = spark.createDataFrame([(1, twice)], "item_id int, text string")
+    mixed = twice.replace("3 red", "4 red").replace("3 small", "6 small")
+    assert decontamination.find_leaks(frame(spark, [(1, mixed)]), items).count() == 0  # one occurrence that contradicts itself
+
+
 def test_leaks_shuffled_join(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
     items = spark.createDataFrame([(1, prose(40, 50))], "item_id int, text string")
