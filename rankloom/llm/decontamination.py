@@ -14,8 +14,12 @@ position less item position), those of neighbouring alignments (words put in or
 left out: alignments no further apart than the item has windows), and all of a
 pair.  Windows whose tokens equal the item's own never contradict each other and
 are judged on their own too.  A pair is a leak where any of these sets is
-consistent and covers at least ``COVER`` of the item; ``n_hit`` and ``n_slots``
-are those of the set that covers most.
+consistent and covers at least ``COVER`` of the item, counted in windows or in
+the tokens under them (one edited word breaks ``WINDOW`` windows but few tokens),
+or where one alignment is consistent and has ``RUN`` matching tokens in a row, so
+that a quotation of part of a long item counts; ``n_hit`` and ``n_slots`` are
+those of the accepted set with the most windows.  Edits that leave no ``WINDOW``
+tokens in a row are not seen.
 
 Only windows of the (small) benchmark are broadcast, after counting them; beyond
 ``BROADCAST_WINDOWS`` the join shuffles on the hash.  Document windows are made
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import pick, table
 
-WINDOW, COVER, BROADCAST_WINDOWS = 8, 0.5, 200_000
+WINDOW, COVER, RUN, BROADCAST_WINDOWS = 8, 0.5, 13, 200_000
 #: A window needs at least this share of plain tokens; placeholders alone say nothing.
 PLAIN = 0.5
 # Units that may follow a number.
@@ -80,8 +84,20 @@ def _plain_enough(window: Column) -> Column:
     return F.size(F.filter(window, lambda t: ~t.startswith("§"))) >= F.greatest(F.lit(1), F.ceil(F.size(window) * PLAIN))
 
 
+def _spans(starts: Column, length: Column) -> Column:
+    """Tokens under the windows that start at ``starts``: how many (n_tokens), and how many in a row at most (run)."""
+
+    def add(s: Column, at: Column) -> Column:
+        fresh = F.least(length, at + length - 1 - s.end)
+        run = F.when(at <= s.end + 1, s.run + fresh).otherwise(length)
+        return F.struct((at + length - 1).alias("end"), run.alias("run"), F.greatest(s.run_most, run).alias("run_most"), (s.n_tokens + fresh).alias("n_tokens"))
+
+    none = F.struct(*[F.lit(0).alias(n) for n in ("end", "run", "run_most", "n_tokens")])
+    return F.aggregate(F.array_sort(starts), none, add)
+
+
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, n_windows, length, h, item_window, item_raw, item_at for items (item_id, text)."""
+    """item_id, n_windows, n_tokens, length, h, item_window, item_raw, item_at for items (item_id, text)."""
     made = (
         pick(items, "item_id", "text")
         .where("item_id is not null")
@@ -97,7 +113,8 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
         .where(_plain_enough(F.col("item_window")))
         .dropDuplicates(["item_id", "item_at", "item_window", "item_raw"])
     )
-    sizes = made.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
+    sizes = made.groupBy("item_id").agg(F.collect_set("item_at").alias("ats"), F.min("length").alias("least"))
+    sizes = sizes.select("item_id", F.size("ats").alias("n_windows"), _spans(F.col("ats"), F.col("least")).n_tokens.alias("n_tokens"))
     return made.join(sizes, "item_id").withColumn("h", F.xxhash64("item_window"))
 
 
@@ -121,14 +138,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: f
     # generator to this projection all is generated code, so no row with a document's arrays is ever copied.
     hits = made.join(known.withColumnRenamed("length", "item_length"), "h").where(
         F.expr("length = item_length and coalesce(slice(template, at + 1, length) = item_window, false)")
-    ).select("doc_id", "item_id", "n_windows", "at", "item_at", "item_window", "item_raw", F.expr("slice(raw, at + 1, length)").alias("doc_raw"))
+    ).select("doc_id", "item_id", "n_windows", "n_tokens", "length", "at", "item_at", "item_window", "item_raw", F.expr("slice(raw, at + 1, length)").alias("doc_raw"))
     # slots: the values behind the placeholders of a window, and what they stand for in the item
     slots = F.filter(
         F.arrays_zip(F.col("item_window").alias("kind"), F.col("item_raw").alias("item"), F.col("doc_raw").alias("doc")),
         lambda s: s.kind.startswith("§"),
     )
     equal = F.col("item_raw") == F.col("doc_raw")
-    windows = hits.select("doc_id", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("align"), F.array("item_at").alias("ats"), slots.alias("slots"), equal.alias("equal")).select(
+    windows = hits.select("doc_id", "item_id", "n_windows", "n_tokens", "length", (F.col("at") - F.col("item_at")).alias("align"), F.array("item_at").alias("ats"), slots.alias("slots"), equal.alias("equal")).select(
         "*", F.when(F.col("equal"), F.col("ats")).alias("equal_ats"), F.when(F.col("equal"), F.col("slots")).alias("equal_slots"), F.lit(None).cast("struct<n_hit:int,n_slots:int>").alias("best")
     )
     runs = _judge(windows, cover, "align")
@@ -143,12 +160,17 @@ def _judge(rows: DataFrame, cover: float, *by: str) -> DataFrame:
     """The rows of each pair and ``by`` as one: their sets united, and the best consistent set so far that covers enough."""
     # sets: item positions, at most as many as the item has, and its slots within one document
     united = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
-    sets = rows.groupBy("doc_id", "item_id", "n_windows", *by).agg(*[united(c) for c in ("ats", "slots", "equal_ats", "equal_slots")], F.max("best").alias("best"))
+    sets = rows.groupBy("doc_id", "item_id", "n_windows", "n_tokens", *by).agg(
+        *[united(c) for c in ("ats", "slots", "equal_ats", "equal_slots")], F.min("length").alias("length"), F.max("best").alias("best")
+    )
 
     def found(ats: str, slots: str) -> Column:
         # a slot breaks consistency where its item value stands for several document values
         values = F.array_distinct(F.transform(slots, lambda s: F.struct(s.kind, s.item)))
-        enough = F.size(ats) >= F.lit(cover) * F.col("n_windows")
+        spans = _spans(F.col(ats), F.col("length"))
+        enough = (F.size(ats) >= F.lit(cover) * F.col("n_windows")) | (spans.n_tokens >= F.lit(cover) * F.col("n_tokens"))
+        if "align" in by:  # elsewhere the tokens need not be in a row in the document
+            enough |= spans.run_most >= RUN
         return F.when((F.size(ats) > 0) & enough & (F.size(slots) == F.size(values)), F.struct(F.size(ats).alias("n_hit"), F.size(slots).alias("n_slots")))
 
     return sets.withColumn("best", F.array_max(F.array("best", found("ats", "slots"), found("equal_ats", "equal_slots"))))

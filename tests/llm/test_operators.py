@@ -205,6 +205,17 @@ def test_leaks_by_occurrence(spark):
     assert decontamination.find_leaks(frame(spark, [(1, mixed)]), items).count() == 0  # one occurrence that contradicts itself
 
 
+def test_leaks_edited_and_quoted(spark):
+    """One edited word of a short item, and thirteen words in a row of a long one."""
+    short, long = prose(20, 60).split(), prose(37, 61).split()
+    items = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id int, text string")
+    around = lambda k, words: f"{prose(40, k)} {' '.join(words)} {prose(40, k + 1)}"
+    docs = {1: around(70, [*short[:9], "zz", *short[10:]]), 2: around(72, long[12:25]), 3: around(74, long[12:24]), 4: around(76, short[:9])}
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, list(docs.items())), items).collect()}
+    assert got == {(1, 1), (2, 2)}  # twelve in a row of 37, or nine of 20, are neither
+    assert decontamination.find_leaks(frame(spark, [(5, f"{' '.join(long[:9])} {prose(30, 78)} {' '.join(long[20:29])}")]), items).count() == 0
+
+
 def test_leaks_shuffled_join(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
     items = spark.createDataFrame([(1, prose(40, 50))], "item_id int, text string")
