@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, bands: int
     large = members.where(F.col("size") > SMALL)
     degree = large.groupBy("id").agg(F.sum("size").alias("degree"))
     large = scratch.keep(large.join(degree, "id"))
-    used, rest = None, True
+    used = None
     for _ in range(PIVOTS):
         # buckets whose members differ in label, and of each the member of most company that has not been a pivot
         state = large.join(labels, "id")
@@ -218,24 +218,22 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, bands: int
         pivots = fresh.groupBy("bucket").agg(F.max_by(F.struct("id", "label"), F.struct("degree", -F.col("id"))).alias("pivot"))
         open_ = apart.join(pivots, "bucket").select("bucket", F.col("pivot.id").alias("pivot"), F.col("pivot.label").alias("pivot_label"))
         open_ = scratch.keep(open_.coalesce(few))
-        if not open_.limit(1).count():
-            rest = False
+        if not open_.limit(1).count():  # all are alike, or all members of those that are not have been pivots
             break
         trial = state.join(open_, "bucket").where("label <> pivot_label").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         labels = merge(labels, _verified(trial, sets))
         new = open_.select(F.col("pivot").alias("id"))
         used = (new if used is None else used.union(new)).distinct()
-    if rest:
-        state = large.join(labels, "id")
-        apart = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        left = scratch.keep(state.join(apart, "bucket", "left_semi").select("id", "label", "first"))
-        if left.limit(1).count():
-            # a family: what buckets that still differ connect; each member comes once, however many buckets it is in
-            family = components(left.select(F.col("id").alias("a"), F.col("first").alias("b")), scratch).select("id", F.col("label").alias("family"))
-            once = left.select("id", "label").distinct().join(family, "id")
-            n = once.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-            found = _block_links(once.join(n, "family").join(sets.withColumnRenamed("doc_id", "id"), "id"), coordinates)
-            labels = merge(labels, scratch.keep(found))
+    state = large.join(labels, "id")
+    apart = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    left = scratch.keep(state.join(apart, "bucket", "left_semi").select("id", "label", "first"))
+    if left.limit(1).count():
+        # a family: what buckets that still differ connect; each member comes once, however many buckets it is in
+        family = components(left.select(F.col("id").alias("a"), F.col("first").alias("b")), scratch).select("id", F.col("label").alias("family"))
+        once = left.select("id", "label").distinct().join(family, "id")
+        n = once.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+        found = _block_links(once.join(n, "family").join(sets.withColumnRenamed("doc_id", "id"), "id"), coordinates)
+        labels = merge(labels, scratch.keep(found))
 
     scratch.sweep()
     # the least id of a component is that of one of its classes' representatives

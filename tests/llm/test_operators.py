@@ -95,6 +95,18 @@ def test_near_duplicates_blocks_alone(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == components_by_brute_force(rows)
 
 
+def test_near_duplicates_all_pivots(spark, monkeypatch):
+    """A bucket whose members were all pivots in the first round is still compared: 2 and 3 meet in bucket 1 only, under pivot 1."""
+    monkeypatch.setattr(near_dup, "SMALL", 1)
+    bands = {1: [1, 4], 2: [1, 2], 3: [1, 3], 4: [2], 5: [3], 6: [4]}
+    alike, other = prose(120, 7).split(), prose(120, 8).split()
+    rows = [(i, " ".join([*(other if i in (1, 6) else alike), f"x{i}"])) for i in bands]
+    placed = spark.createDataFrame([(i, 117, bytes([i]), b) for i, b in bands.items()], "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    monkeypatch.setattr(near_dup, "sketched", lambda *_: placed)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: 1, 6: 1, 2: 2, 3: 2, 4: 2, 5: 2}
+
+
 def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
 
