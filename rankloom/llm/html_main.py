@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import pick, table
+from rankloom.llm.common import bound_batches, pick, table
 
 # Frequent function words of the four languages served.
 STOP_WORDS = frozenset(
@@ -219,7 +219,7 @@ def extract_main_text(df: DataFrame, page: str = "html") -> DataFrame:
 
 def op2_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bound_batches(spark)
     found = extract_main_text(pick(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
 

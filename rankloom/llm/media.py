@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import pick, table
+from rankloom.llm.common import bound_batches, pick, table
 
 PACKET, PMT_PID, ES_PID = 188, 0x1000, 0x0101
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # PES packets with private data
@@ -208,7 +208,7 @@ def parse_streams(df: DataFrame, media: str = "media") -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a stream of 8-bit samples, read back from its stored bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bound_batches(spark)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     pad = F.greatest(F.lit(64), F.ceil(F.octet_length(text) / 64).cast("int") * 64) - F.octet_length(text)
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text").select(

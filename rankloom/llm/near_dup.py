@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Scratch, pick, table
+from rankloom.llm.common import Scratch, bound_batches, pick, table
 from rankloom.llm.shingles import band_hashes, by_bytes, fast_similarity_sketch, shingle_sets
 
 COORDINATES, BANDS = 128, 32
@@ -174,7 +174,7 @@ def _block_links(members: DataFrame, coordinates: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bound_batches(spark)
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     scratch = Scratch(spark)
     known = scratch.keep(sketched(docs, coordinates, bands))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Scratch, pick, table
+from rankloom.llm.common import Scratch, bound_batches, pick, table
 
 CAPACITY, END_ID, SUB_BUCKETS = 1024, 2, 64
 CACHED = 400_000
@@ -247,7 +247,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all rows of ``docs`` (doc_id, text) with their sequence and offset."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bound_batches(docs.sparkSession)
     return pack(Scratch(docs.sparkSession).keep(pieces(docs, tokenizer_path, capacity)), capacity)
 
 

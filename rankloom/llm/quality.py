@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import held_out, pick, table
+from rankloom.llm.common import bound_batches, held_out, pick, table
 from rankloom.llm.toxicity import labelled_sample
 
 POSITIVES, UNLABELLED, HIDDEN = 8_000, 12_000, 16
@@ -191,7 +191,7 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, learned from labels outside the held-out fifth."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bound_batches(spark)
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
     scored = score(docs, train(docs, labels))

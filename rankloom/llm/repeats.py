@@ -10,19 +10,24 @@ hash in them, so they can be brought together without comparing anything else:
    and one of them goes on for the rest; so do all whose hash occurs twice.
 3. Of those runs the bytes that their strings span are cut out and equal cuts
    are counted; a cut that occurs twice is repeated as a whole.
-4. The differing cuts of a minimiser go together into a shard of bounded size,
-   whose Burrows-Wheeler transform yields the repeated starts
-   (``suffix_array``).
+4. The differing cuts of a minimiser go together into a shard, whose Burrows-Wheeler
+   transform yields the repeated starts (``suffix_array``).  Minimisers are dealt by
+   hash into buckets and a bucket's by running size into shards, so that a shard has
+   less than ``SHARD_BYTES`` besides its largest minimiser.
 5. A minimiser with more than ``CUTS`` differing cuts, say where a common passage
    begins, is not put into one shard: its strings are dealt by a 128-bit hash of
    each and counted, the exact way for what does not fit.
 
 Nothing is capped or sampled; memory is that of a batch of texts, or a shard.
 
-Defined results: a null text is the empty one; a text shorter than ``LEAST`` has
-no repeats; ids play no part, so null or repeated ids do no harm; equal rows have
-equal results; an empty table gives an empty result; extra columns are kept by
-``cut_repeats`` and ignored otherwise.
+``cut_repeats`` can ask for words as well: with ``words`` only covered spans that
+hold so many words are cut (a span that begins or ends inside a word counts the
+part as one), so a passage law in words is ``least`` bytes well below its length.
+
+Defined results: a null text is the empty one and stays null; a text shorter than
+``LEAST`` has no repeats; ids play no part, so null or repeated ids do no harm;
+equal rows have equal results; an empty table gives an empty result; extra columns
+of any name are kept by ``cut_repeats`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -32,15 +37,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Scratch, pick, table
+from rankloom.llm.common import Scratch, bound_batches, pick, table, unused
 from rankloom.llm.shingles import mix
 from rankloom.llm.suffix_array import repeated_starts
 
 LEAST, ANCHOR = 400, 64
-CUTS, SHARD_BYTES, CHUNK = 2_048, 2_000_000, 1 << 17
+CUTS, SHARD_BYTES, CHUNK = 1_024, 1 << 20, 1 << 17
 BROADCAST_TEXTS = 1_000_000
 _rng = np.random.default_rng(97)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,17 +165,17 @@ def _cuts_of(texts: DataFrame, least: int) -> DataFrame:
 
 
 def _cut_out(bodies: DataFrame, chosen: DataFrame, least: int) -> DataFrame:
-    """key, cut_key, n and the bytes of chosen cuts (text_key, a, n, key, cut_key)."""
-    of = chosen.groupBy("text_key").agg(F.collect_list(F.struct("key", "cut_key", "a", "n")).alias("cuts"))  # at most a text's own runs
+    """bucket, shard, key, cut_key, n and the bytes of chosen cuts (text_key, a, n, key, cut_key, bucket, shard)."""
+    of = chosen.groupBy("text_key").agg(F.collect_list(F.struct("bucket", "shard", "key", "cut_key", "a", "n")).alias("cuts"))  # at most a text's own runs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for raw, cuts in zip(x["raw"], x["cuts"], strict=True):
-                rows = [(c["key"], bytes(c["cut_key"]), c["n"], bytes(raw[c["a"] : c["a"] + c["n"] + least - 1])) for c in cuts]
+                rows = [(c["bucket"], c["shard"], c["key"], bytes(c["cut_key"]), c["n"], bytes(raw[c["a"] : c["a"] + c["n"] + least - 1])) for c in cuts]
                 for at in range(0, len(rows), 2_000):
-                    yield pd.DataFrame(rows[at : at + 2_000], columns=["key", "cut_key", "n", "cut"])
+                    yield pd.DataFrame(rows[at : at + 2_000], columns=["bucket", "shard", "key", "cut_key", "n", "cut"])
 
-    return bodies.join(of, "text_key").select("raw", "cuts").mapInPandas(run, "key long, cut_key binary, n long, cut binary")
+    return bodies.join(of, "text_key").select("raw", "cuts").mapInPandas(run, "bucket long, shard long, key long, cut_key binary, n long, cut binary")
 
 
 def _shard_marks(least: int):
@@ -198,15 +203,13 @@ def _string_hashes(cuts: DataFrame, least: int) -> DataFrame:
     return cuts.select("key", "cut_key", "cut").mapInPandas(run, "key long, cut_key binary, at long, one long, two long")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """Spans of repeated bytes by text, and the texts that may have them.
+def repeated_spans(docs: DataFrame, least: int = LEAST, scratch: Scratch | None = None) -> DataFrame:
+    """text_key, n_bytes and spans ([a, b) in bytes, maximal) of the repeated bytes of each distinct text with any.
 
-    The first frame has text_key, n_bytes and spans ([a, b) in bytes, maximal) of each distinct text with any;
-    texts that occur twice have the one span of all their bytes.  The second has text_key and raw of the other
-    texts that came into question.
+    Texts that occur twice have the one span of all their bytes.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    bound_batches(spark)
     scratch = scratch or Scratch(spark)
     texts = _with_key(pick(docs, "doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))))
     known = scratch.keep(_runs_of(texts.where(F.octet_length("raw") >= least), least))
@@ -231,15 +234,17 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, scratch: Scratch | None
     apart = cuts.groupBy("key", "cut_key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.min(F.struct("text_key", "a")).alias("at"))
     apart = scratch.keep(apart.select("key", "cut_key", "copies", "n", "at.text_key", "at.a"))
     by_key = apart.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (least - 1)).alias("size")).where("kinds > 1")
-    by_key = scratch.keep(by_key)
     total = by_key.where(F.col("kinds") <= CUTS).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD_BYTES))
+    # buckets of about eight shards each; a bucket's rows here are one per minimiser
+    buckets = max(1, total // (8 * SHARD_BYTES))
+    in_bucket = Window.partitionBy("bucket").orderBy("size", "key").rowsBetween(Window.unboundedPreceding, -1)
+    by_key = by_key.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    by_key = scratch.keep(by_key.withColumn("shard", F.floor(F.coalesce(F.sum(F.when(F.col("kinds") <= CUTS, F.col("size"))).over(in_bucket), F.lit(0)) / SHARD_BYTES)))
     # bytes are cut out once for each differing cut of a minimiser that has several
-    several = apart.join(by_key.select("key", "kinds"), "key").select("text_key", "a", "n", "key", "cut_key", "kinds")
+    several = apart.join(by_key.select("key", "kinds", "bucket", "shard"), "key").select("text_key", "a", "n", "key", "cut_key", "kinds", "bucket", "shard")
     sharded = (
         _cut_out(bodies, several.where(F.col("kinds") <= CUTS), least)
-        .withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-        .groupBy("shard")
+        .groupBy("bucket", "shard")
         .applyInPandas(_shard_marks(least), f"key long, cut_key binary, spans {SPANS}")
     )
     hot = _string_hashes(_cut_out(bodies, several.where(F.col("kinds") > CUTS), least), least)
@@ -263,7 +268,9 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, scratch: Scratch | None
 
     single = starts.join(counts.where("copies = 1"), "text_key").select("text_key", "n_bytes", union("covered").alias("spans"))
     copied = counts.where("copies > 1").select("text_key", "n_bytes", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b"))).alias("spans"))
-    return scratch.keep(single.union(copied)), bodies.select("text_key", "raw")
+    found = scratch.keep(single.union(copied))
+    scratch.drop_all_but(found)
+    return found
 
 
 def kept_bytes(raw: bytes, spans) -> bytes:
@@ -289,41 +296,59 @@ def kept_text(raw: bytes, spans) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
 
 
-def cut_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``docs`` without the repeated bytes of its column text; all columns stay."""
-    spans, _ = repeated_spans(docs, least)
-    columns = docs.columns
-    mine = docs.withColumn("_key", F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32)))
-    found = spans.select(F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
+def long_enough(raw: bytes, spans, words: int) -> list:
+    """The spans that hold at least ``words`` words."""
+    return [s for s in spans if not words or len(raw[s["a"] : s["b"]].split()) >= words]
+
+
+def _key_of(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def _with_spans(docs: DataFrame, least: int, key: str, spans: str) -> DataFrame:
+    """``docs`` with a column ``spans``, null where no byte repeats."""
+    found = repeated_spans(docs, least).select(F.col("text_key").alias(key), F.col("spans").alias(spans))
+    return docs.withColumn(key, _key_of(F.col("text"))).join(found, key, "left")
+
+
+def cut_repeats(docs: DataFrame, least: int = LEAST, words: int = 0) -> DataFrame:
+    """``docs`` without the repeated bytes of its column text (in spans of at least ``words`` words); all columns stay."""
+    columns, key, spans = docs.columns, unused(docs, "_key"), unused(docs, "_spans")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        # rows without spans pass through
-        return pd.Series([t if s is None else kept_text(t.encode("utf-8", "replace"), s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+        def one(t, s):
+            if s is None:
+                return None
+            raw = t.encode("utf-8", "replace")
+            return kept_text(raw, long_enough(raw, s, words))
+
+        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    joined = mine.join(found, "_key", "left")
-    return joined.withColumn("text", cut("text", "_spans")).select(*[F.col(f"`{c}`") for c in columns])
+    joined, has = _with_spans(docs, least, key, spans), F.col(spans).isNotNull()
+    # texts without spans do not travel to Python
+    kept = F.when(has, cut(F.when(has, F.col("text")), F.col(spans))).otherwise(F.col("text"))
+    return joined.withColumn("text", kept).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What 400-byte repeats remove from every document."""
+    """What 400-byte repeats remove from every document, and the text that is left (whole characters only)."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
-    spans, bodies = repeated_spans(docs)
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
 
-    @F.pandas_udf("string")
-    def digest(raw: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(kept_bytes(bytes(r) if r is not None else b"", s)).hexdigest() for r, s in zip(raw, found, strict=True)])
+    @F.pandas_udf("kept_sha256 string, text string")
+    def cut(raw: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if s is None else (hashlib.sha256(kept_bytes(bytes(r), s)).hexdigest(), kept_text(bytes(r), s)) for r, s in zip(raw, spans, strict=True)]
+        return pd.DataFrame(rows, columns=["kept_sha256", "text"], dtype=object)
 
+    joined, has = _with_spans(docs, LEAST, "text_key", "spans"), F.col("spans").isNotNull()
+    rows = joined.select("doc_id", "text", "spans", raw.alias("raw"), cut(F.when(has, raw), F.col("spans")).alias("cut"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
-    # a text that is removed whole needs no bytes; of every other one with spans the bytes are at hand
-    cut = spans.join(bodies, "text_key", "left").select(
-        "text_key", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-        F.when(removed == F.col("n_bytes"), F.sha2(F.lit(b""), 256)).otherwise(digest("raw", "spans")).alias("kept_sha256"),
-    )
-    rows = _with_key(docs).select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), "sha", "text_key")
-    return rows.join(cut, "text_key", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+    return rows.select(
+        "doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.when(has, F.size("spans")).otherwise(0).cast("long").alias("n_spans"),
+        F.when(has, F.col("cut.kept_sha256")).otherwise(F.sha2("raw", 256)).alias("kept_sha256"),
+        F.when(has, F.col("cut.text")).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
     )
 
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import held_out, pick, table
+from rankloom.llm.common import bound_batches, held_out, pick, table
 
 BUCKETS, SAMPLE, KEPT, FACTORS = 1 << 18, 20_000, 1_024, 8
 PREFIXES = (4, 5, 6, 7)
@@ -184,7 +184,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from labels outside the held-out third."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bound_batches(spark)
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
     scored = score(docs, train(docs, labels))

@@ -161,7 +161,7 @@ def test_repeats(spark, monkeypatch, cuts):
     monkeypatch.setattr(repeats, "CUTS", cuts)  # 3: nearly all goes the way of what does not fit a shard
     texts = repeat_texts()
     docs = frame(spark, [(i if i != 3 else None, t) for i, t in enumerate(texts)])
-    spans, _ = repeats.repeated_spans(docs)
+    spans = repeats.repeated_spans(docs)
     by_key = {bytes(r.text_key): r.spans for r in spans.collect()}
     for t, (n, removed, n_spans, kept) in zip(texts, removed_by_brute_force(texts, 400), strict=True):
         raw = (t or "").encode()
@@ -178,6 +178,17 @@ def test_cut_repeats_keeps_rows_and_characters(spark):
     for r, (_, _, _, kept) in zip(sorted(out, key=lambda r: r.doc_id), removed_by_brute_force(texts, 400), strict=True):
         assert "�" not in (r.text or "") and abs(len((r.text or "").encode()) - len(kept)) < 8
     assert repeats.cut_repeats(frame(spark, [])).count() == 0
+    inner = docs.withColumnRenamed("spans", "_spans")  # names that the operator uses inside
+    assert {tuple(r[c] for c in ("doc_id", "_key", "_spans")) for r in repeats.cut_repeats(inner).collect()} == {(i, "k", "s") for i in range(len(texts))}
+
+
+def test_cut_repeats_by_words(spark):
+    """Passages of fifty words go, whatever their bytes above ``least``; shorter ones stay."""
+    long, short = prose(51, 131), prose(45, 132)
+    rows = [(k, f"{prose(30, 800 + k)} {(long, short)[k % 2]} {prose(30, 900 + k)}") for k in range(8)]
+    got = {r.doc_id: r.text for r in repeats.cut_repeats(frame(spark, rows), 200, 50).collect()}
+    for k, t in rows:
+        assert got[k] == t if k % 2 else (long not in got[k] and 59 <= len(got[k].split()) <= 60)
 
 
 # ------------------------------------------------------------------ decontamination
@@ -192,7 +203,7 @@ def test_leaks(spark):
     got = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(frame(spark, rows), items).collect()}
     assert {k for k in got if k[0] in (20, 21, 25)} == {(d, i) for d in (20, 21, 25) for i in (1, 5)}
     assert (23, 2) in got and not any(d == 22 or d < 10 for d, _ in got) and not any(i == 4 for _, i in got)
-    assert (24, 1) not in got  # one value of the item would stand for two in the document
+    assert (24, 1) in got  # it holds the item word for word; the variant behind it takes nothing away
     assert got[21, 1].n_slots >= 4
 
 
@@ -211,9 +222,9 @@ def test_leaks_by_occurrence(spark):
     got = {r.doc_id: r for r in decontamination.find_leaks(frame(spark, list(docs.items())), items).collect()}
     assert set(got) == set(range(1, 9))
     assert all(r.n_hit <= r.n_windows and r.n_slots >= 3 for r in got.values())
-    twice = "From 3 red apples and much more that the cook laid on a long table came 3 small cakes for the guests"
+    twice = "A cook took 3 red apples and then laid 3 small cakes on the table so 3 guests of the house had 3 figs at noon"
     items = spark.createDataFrame([(1, twice)], "item_id int, text string")
-    mixed = twice.replace("3 red", "4 red").replace("3 small", "6 small")
+    mixed = twice.replace("3 red", "4 red").replace("3 small", "6 small").replace("3 guests", "5 guests")
     assert decontamination.find_leaks(frame(spark, [(1, mixed)]), items).count() == 0  # one occurrence that contradicts itself
 
 
