@@ -1,7 +1,8 @@
 """Quality by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are rows labelled good; the unlabelled set is web text of
-unknown quality.  A small network over form statistics of the text (character
+Trusted positives are rows labelled good; the unlabelled set is documents without
+any row in the labels (where there are too few of those, ``LEAST_UNLABELLED``, the
+labelled ids stand in, their labels unread).  A small network over form statistics of the text (character
 classes, repetition, line and word shapes) minimises
 
     pi R_P+  +  max(0, R_U-  -  pi R_P-)
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import bound_batches, held_out, pick, table
 from rankloom.llm.toxicity import labelled_sample
 
-POSITIVES, UNLABELLED, HIDDEN = 8_000, 12_000, 16
+POSITIVES, UNLABELLED, LEAST_UNLABELLED, HIDDEN = 8_000, 12_000, 100, 16
 THRESHOLD = 0.3
 
 #: Class of each byte of UTF-8: lower, upper, digit, space, line break, stop, comma, !?, bar, symbols, other, beyond ASCII.
@@ -167,18 +168,21 @@ def _statistics_of(rows: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Net | None:
     """A net from rows labelled good (labels: doc_id, quality) and documents of unknown quality."""
     good = _statistics_of(labelled_sample(docs, labels.where("quality = 1"), "quality", positives))
-    known = labels.select("doc_id", F.lit(1).alias("quality"))  # ids only: which rows may be read, not their label
-    unknown = _statistics_of(labelled_sample(docs, known, "quality", unlabelled))
+    marked = F.lit(1).alias("quality")  # ids only: which rows may be read, not their label
+    free = docs.select("doc_id").join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select("doc_id", marked)
+    unknown = _statistics_of(labelled_sample(docs, free, "quality", unlabelled))
+    if len(unknown) < LEAST_UNLABELLED:
+        unknown = _statistics_of(labelled_sample(docs, labels.select("doc_id", marked), "quality", unlabelled))
     if len(good) < 2 or len(unknown) < 2:
         return None
     return fit_net(good, unknown, estimate_prior(good, unknown))
 
 
-def score(docs: DataFrame, net: Net | None) -> DataFrame:
-    """``docs`` with a double column ``score``; its other columns stay."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, net: Net | None, into: str = "score") -> DataFrame:
+    """``docs`` with a double column ``into`` (a column of that name is replaced); its other columns stay."""
+    docs = docs.drop(into)
     if net is None:
-        return docs.withColumn("score", F.lit(0.5))
+        return docs.withColumn(into, F.lit(0.5))
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
@@ -186,7 +190,7 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
         for texts in batches:
             yield pd.Series(sent.value.scores(np.stack([statistics(t) for t in texts]))) if len(texts) else pd.Series([], dtype=float)
 
-    return docs.withColumn("score", scores("text"))
+    return docs.withColumn(into, scores("text"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

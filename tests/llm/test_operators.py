@@ -478,13 +478,41 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     expected = components_by_brute_force([(i, t) for i, t in rows if i < 500])
     assert set(seen["near-duplicates"]) == {i for i, (_, top) in expected.items() if i == top}
     before = sorted(seen["near-duplicates"].items())
-    for (i, _), (_, _, _, left) in zip(before, removed_by_brute_force([t for _, t in before], 400), strict=True):
+    for (i, _), (_, _, _, left) in zip(before, removed_by_brute_force([t for _, t in before], corpus_pipeline.PASSAGE_BYTES), strict=True):
         assert seen["repeated passages"][i].encode() == left
     assert set(seen["repeated passages"]) - set(seen["decontamination"]) == {302}
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in final.select("doc_id").distinct().collect()} == set(seen["decontamination"])
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, null and empty and long texts, repeated rows, clashing columns and empty tables through every stage."""
+    import corpus_pipeline
+
+    item, passage = prose(30, 77), prose(60, 79)
+    rows = [*CASES, (None, prose(40, 81)), (None, prose(40, 81)), (None, f"{prose(40, 82)} {item}"), (30, prose(40, 81)), (31, f"{prose(9, 83)} {passage}"), (32, f"{prose(9, 84)} {passage}"), (None, None), (None, "")]
+    names = "doc_id long, text string, _quality string, _row string, _key string, _spans string, score string"
+    docs = spark.createDataFrame([(i, t, "q", "r", "k", "s", "x") for i, t in rows], names)
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for given in (docs, docs.limit(0)):
+            got = stage(spark, given, str(tmp_path))
+            assert got.columns == docs.columns
+            out[name] = found = got.collect() if given is docs else out[name]
+            assert given is docs or got.count() == 0
+            assert all((r["_quality"], r["_row"], r["_key"], r["_spans"], r["score"]) == ("q", "r", "k", "s", "x") for r in found)
+    assert len(out["quality classifier"]) == len(rows)  # nothing to learn from: nothing is rejected
+    kept = Counter((r.doc_id, r.text) for r in out["near-duplicates"])
+    assert kept[30, prose(40, 81)] == 1 and not kept[None, prose(40, 81)] and kept[3, "one"] == 1 and not kept[4, "one"]
+    assert kept[None, f"{prose(40, 82)} {item}"] == kept[None, None] == kept[None, ""] == 1
+    cut = {r.doc_id: r.text for r in out["repeated passages"]}
+    assert passage not in cut[31] + cut[32] and cut[0] is None and cut[6] == LONG
+    assert not any(item in (r.text or "") for r in out["decontamination"]) and len(out["decontamination"]) == len(rows) - 1
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == len({i for i, _ in rows})
+
+
 @pytest.mark.parametrize("name", ["op1_decontamination", "op2_html_main", "op5_toxicity", "op6_resharding", "op7_url_reputation", "op8_quality", "op10_media"])
 def test_queries_keep_every_row(spark, name):
     import __spark_entry__
