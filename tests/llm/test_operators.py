@@ -384,10 +384,42 @@ def test_urls(spark):
     assert got[8][:2] == ("h", "") and got[9][2:] == ("net/", "block") and len(got) == 10
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.org": ("x.org", "org"), "h.x.org:8080": ("x.org", "org"), "u:p@h.x.org": ("x.org", "org"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]",) * 2, "": ("", ""), "local": ("local", "local"), "co.uk": ("co.uk", "co.uk"), "x.org.": ("x.org", "org")}
+    got = {r.host: (r.domain, r.suffix) for r in url_reputation.with_domain(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()}
+    assert got == hosts
+
+
+def reputation(spark, rows):
+    got = url_reputation.host_reputation(spark.createDataFrame(rows, "host string, n long, k long"))
+    return {r.host: r for r in got.select("host", "a", "b", url_reputation.lower_bound(F.col("a"), F.col("b")).alias("lower")).collect()}
+
+
 def test_reputation_shrinks(spark):
-    rows = [(f"h{i}.bad.xyz", 50, 48) for i in range(5)] + [(f"h{i}.fine.xyz", 50, 1) for i in range(5)] + [("new.bad.xyz", 1, 0), ("new.fine.xyz", 1, 1)]
-    got = {r.host: r.a / (r.a + r.b) for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, n long, k long")).collect()}
-    assert got["h0.bad.xyz"] > 0.9 and got["h0.fine.xyz"] < 0.1 and got["new.bad.xyz"] > 0.5 > got["new.fine.xyz"]
+    rows = [(f"h{i}.bad.xyz", 50, 48) for i in range(5)] + [(f"h{i}.fine.xyz", 50, 1) for i in range(5)] + [("new.bad.xyz", 1, 0), ("new.fine.xyz", 1, 1), ("never.bad.xyz", 0, 0)]
+    got = reputation(spark, rows)
+    rate = {h: r.a / (r.a + r.b) for h, r in got.items()}
+    assert rate["h0.bad.xyz"] > 0.9 and rate["h0.fine.xyz"] < 0.1 and rate["new.bad.xyz"] > 0.5 > rate["new.fine.xyz"] and rate["never.bad.xyz"] > 0.8
+    assert got["h0.bad.xyz"].lower > 0.5 > got["new.fine.xyz"].lower
+
+
+def test_reputation_needs_evidence(spark):
+    """One bad page, or three of five, block no host that has no bad company; forty of forty do."""
+    rows = [(f"www.site{i}.com", 1 + i % 7, 0) for i in range(40)] + [("www.one.com", 1, 1), ("www.some.com", 5, 3), ("www.all.com", 40, 40)]
+    got = reputation(spark, rows)
+    assert got["www.one.com"].lower < 0.3 and got["www.some.com"].lower < 0.5 < got["www.all.com"].lower
+    assert all(r.a + r.b < 2 * sum(n for _, n, _ in rows) for r in got.values())  # no prior outweighs the evidence
+    alone = reputation(spark, [("only.org", 1, 1)])["only.org"]
+    assert alone.lower < 0.5 and alone.a + alone.b <= 2
+    assert reputation(spark, []) == {} and reputation(spark, [("x.org", 0, 0)])["x.org"].lower < 0.5
+
+
+def test_urls_blocked_by_reputation(spark):
+    pages = spark.createDataFrame([(i, f"http://{'spam' if i % 2 else 'good'}.example.org/en/{i}.html", "t") for i in range(80)] + [(200, "http://spam.example.org/x", "t"), (201, "http://spam.example.org/fr/", "t")], "page_id int, url string, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)] + [(None, 0, 0), (61, None, None)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.rule) for r in url_reputation.judge_urls(pages, url_reputation.page_outcomes(pages, labels)).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow", None) for i in range(80)) and got[200] == ("block", None) and got[201] == ("allow", "org/fr/")
+    assert url_reputation.judge_urls(pages.limit(0), url_reputation.page_outcomes(pages, labels.limit(0))).count() == 0
 
 
 # ------------------------------------------------------------------ packing
