@@ -3,14 +3,18 @@
 A page is cut into blocks at block-level tags.  Pass one looks at each block
 alone: where it stands (a menu, footer, form or the like; inside an article or
 not), its share of linked characters, its length and its share of stop words.
-That decides it good or bad, or leaves a short or middling block open.  Pass two
+Enough stop words make a long block good, inside an article a shorter one with
+fewer of them too; links or place make it bad; what is short, or has few stop
+words, stays open inside an article, and outside where it has some.  Pass two
 gives an open block the label of its nearest decided neighbours within the same
 region (the article, or the rest of the page): inside an article one good
-neighbour, or none at all, makes it good; elsewhere the nearer one decides, the
-edges of the page being bad.
+neighbour is enough, and its edges count as good; elsewhere the nearer one
+decides, the edges of the page being bad.
 
-Articles may be junk, and junk has no stop words, so stop-word density decides
-only outside articles; inside, a block is bad for its place or its links alone.
+So an article of junk, tables or another language, where no block has stop words,
+is kept as a whole, and what stands between two lists of links is not.  A link-
+dense paragraph of an article is bad only where it is nearly all links, short, or
+has few stop words.
 
 Defined results: a null or empty page, or one with no main text, gives an empty
 text; markup that is cut off or unbalanced never fails; whole pages are read,
@@ -57,7 +61,7 @@ HINTS = frozenset(
     newsletter subscribe subscription signup login popup modal overlay toolbar pager pagination widget copyright
     complementary contentinfo search""".split()
 )
-MANY_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.34, 70, 200, 0.10, 0.30
+MANY_LINKS, ALL_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.34, 0.75, 70, 200, 0.10, 0.30
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -150,18 +154,18 @@ def cut_blocks(page: str) -> list[Block]:
 
 def first_pass(b: Block) -> str:
     """good, bad or open, from the block alone."""
-    links = b.linked / len(b.text)
-    if b.placed_bad or links > MANY_LINKS:
+    if b.placed_bad:
         return "bad"
-    if len(b.text) < SHORT:
-        return "open" if not b.linked or b.region else "bad"
-    if b.region:
-        return "good"
+    links, short = b.linked / len(b.text), len(b.text) < SHORT
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-    if stops >= MANY_STOPS and len(b.text) > LONG:
+    if links > MANY_LINKS and (not b.region or links > ALL_LINKS or short or stops < FEW_STOPS):
+        return "bad"
+    if short:
+        return "open" if not b.linked or b.region else "bad"
+    if stops >= MANY_STOPS and len(b.text) > LONG or b.region and stops >= FEW_STOPS:
         return "good"
-    return "open" if stops >= FEW_STOPS else "bad"
+    return "open" if b.region or stops >= FEW_STOPS else "bad"
 
 
 def second_pass(blocks: list[Block], labels: list[str]) -> list[str]:
@@ -181,7 +185,7 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[str]:
         if label == "open":
             near = [x for x in (before[i], after[i]) if x]
             if b.region:
-                label = "good" if not near or any(x[1] == "good" for x in near) else "bad"
+                label = "bad" if len(near) == 2 and not any(x[1] == "good" for x in near) else "good"
             elif near:  # the edges of the page count as bad neighbours, and of two as near the bad one wins
                 label = min((before[i] or (-1, "bad"), after[i] or (n, "bad")), key=lambda x: (abs(i - x[0]), x[1]))[1]
             else:

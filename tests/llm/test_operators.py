@@ -271,6 +271,56 @@ def test_pages_without_article_use_density():
     assert html_main.main_text(page)[0] == " ".join(f"{good} Then it ended. {good}".split())
 
 
+def block(n, seed, stops):
+    """A paragraph of which the share ``stops`` are stop words."""
+    r = np.random.default_rng(seed)
+    return " ".join("the" if r.random() < stops else w for w in r.choice(WORDS, n))
+
+
+def test_density_decides_inside_articles():
+    """Stop words decide a block of an article; what is left open follows its neighbours, not its place alone."""
+    label = lambda text, linked=0, region=1: html_main.first_pass(html_main.Block(text, region, False, linked))
+    prose_, junk = block(40, 1, 0.3), block(40, 2, 0.0)
+    assert label(prose_) == "good" and label(junk) == "open" and label(junk, region=0) == "bad" and label("Short one") == "open"
+    assert label(prose_, len(prose_) // 2) == "good" and label(prose_, len(prose_)) == "bad" and label(junk, len(junk) // 2) == "bad"
+    links = "<ul><li><a href=x>one two three four</a></li><li><a href=y>five six seven eight</a></li></ul>"
+    page = lambda *parts: html_main.main_text(f"<body><article>{''.join(parts)}</article></body>")[0]
+    assert page(f"<p>{junk}</p>", links, f"<p>{junk}</p>") == f"{junk} {junk}"
+    assert page(f"<p>{prose_}</p>", links, "<p>Read on:</p>", links, f"<p>{junk}</p>", f"<p>{prose_}</p>") == f"{prose_} {junk} {prose_}"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("psqjl"), st.integers(0, 10_000)), min_size=1, max_size=12), st.lists(st.integers(0, 9), max_size=6))
+def test_main_text_of_made_pages(article, around):
+    """Articles of prose, short lines, quotes, junk and linked words between boilerplate come back whole and alone."""
+    noise = [
+        "<nav><ul><li><a href=a>Home</a><li><a href=b>All about us</a></ul></nav>", "<header><p>The best site of them all is this one</p></header>", "<footer><p>All rights are with us and with you</p></footer>",
+        "<aside><h3>Related</h3><p>What to read on the way to work and at home</p></aside>", "<div class='ad'>Buy it now, it is the best of all</div>", "<form><p>Sign up to the letter that we send</p></form>",
+        "<script>var the = '<p>of and in</p>';</script>", "<style>p {}</style>", "<div id=comments><p>I think that it is as good as it was in the past</p></div>", "<div class=cookie-notice><p>We use cookies, and that is the way it is</p></div>",
+    ]
+    made, expected = [], []
+    for kind, seed in article:
+        text = {"p": block(40, seed, 0.35), "s": f"Line {seed}", "q": block(25, seed, 0.3), "j": block(40, seed, 0.0), "l": block(30, seed, 0.3)}[kind]
+        expected.append(text)
+        first, rest = text.split(" ", 1)
+        made.append({"q": f"<blockquote>{text}</blockquote>", "l": f"<p><a href=z>{first}</a> {rest}</p>"}.get(kind, f"<p>{text}</p>"))
+    shown = [noise[k] for k in around]
+    half = len(shown) // 2
+    page = f"<html><head><title>t</title></head><body>{''.join(shown[:half])}<main><article>{''.join(made)}</article></main>{''.join(shown[half:])}</body></html>"
+    assert html_main.main_text(page)[0] == " ".join(expected)
+
+
+def test_main_text_of_shown_documents():
+    """Every page of the small tables shows one document: its heading and text, and nothing else, come back."""
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").set_index("doc_id")["text"]
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = lambda t: re.sub(r"\s", "", t)
+    for url, page in zip(pages["url"], pages["html"], strict=True):
+        shown = bare(docs[int(re.search(r"/(\d+)(?:\.html)?/?(?:[?#].*)?$", url)[1])])
+        heading = bare(html_main.html.unescape(re.search(r"<h1>(.*?)</h1>", page, re.S)[1]))
+        assert bare(html_main.main_text(page)[0]) in (heading + shown, shown)
+
+
 def test_extract_main_text_frame(spark):
     pages = spark.createDataFrame([(1, None, "u", "old"), (2, PAGE, None, "old"), (None, "<p>" + "x " * 50_000, "u", "old")], "page_id int, html string, url string, text string")
     got = html_main.extract_main_text(pages).collect()
