@@ -1,31 +1,46 @@
 """Minimum-cost-flow resharding: move the fewest bytes from an old layout to new row capacities.
 
+A layout is a folder of Parquet files for each shard; ``read_layout`` reads one,
+``reshard_layout`` solves the moves from the sizes it finds there and writes anew
+the folders of those shards that gain, lose or number rows.  Folders that nothing
+changes stay where they are, nothing is overwritten, and a shard that loses all
+its rows has no folder in the new layout, so a row is never in two shards and a
+lost job leaves the old layout whole.
+
 Law ``rows``: after the move, shards hold counts at most one apart.  Rows of an
 old shard are summed into blocks (old shard, power-of-two size class).  A
 minimum-cost flow ships each block's rows either back into the shard of the same
-number, for nothing, or to other shards, at the block's mean row size, so what
-moves are the smallest rows of the shards that have too many.  The flow graph
-depends only on the shard counts and the size classes, never on the corpus.
+number, for nothing, or to other shards, at the block's mean row size, and of a
+block that is split the smallest rows go (to a sixteenth of the class).  So what
+moves are the smallest rows of the shards that have too many; the minimum is exact
+up to that sixteenth.  The flow graph depends only on the shard counts and the
+size classes, never on the corpus.
 
-Ranks inside a block are built in two levels (64 hashed sub-blocks per block,
-then a row number inside each), so no shard is ever sorted by one task.
+Ranks inside a block are built in two levels (``STEPS`` size steps times
+``SUB_BLOCKS`` hashed parts per block, then a row number inside each), so no shard
+is ever sorted by one task, however many rows are of one size.
 
 Defined results: null text has size 16 and crc32 0; null ids are rows like any
-other; equal rows are interchangeable; an empty table gives an empty result;
-further columns are ignored.
+other; equal rows are interchangeable; an empty table gives an empty result and
+an empty layout; further columns are ignored by ``reshard`` and kept by layouts,
+but for two of the names ``SHARD`` and ``SLOT``, which layouts use themselves.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankloom.llm.common import pick, table
+from rankloom.llm.common import Scratch, table, unused
 
-SUB_BLOCKS = 64
+STEPS, SUB_BLOCKS = 16, 16
 ROW_OVERHEAD = 16
+SHARD, SLOT, FILES = "layout_shard", "layout_slot", 8  # files: tasks that write one shard
 
 
 def min_cost_flow(n_nodes: int, edges: list[tuple[int, int, int, float]], source: int, sink: int) -> list[int]:
@@ -97,75 +112,128 @@ def solve_moves(blocks: list[tuple[int, int, int, int]], new_shards: int) -> lis
     return plan
 
 
-def reshard(docs: DataFrame, old_shard, new_shards: int) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot of every row; ``old_shard``: a column of ints >= 0."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        old_shard.cast("int").alias("old_shard"),
-        F.pmod(F.xxhash64("doc_id", F.lit("sub-block")), F.lit(SUB_BLOCKS)).cast("int").alias("sub"),
-    ).withColumn("size_class", F.floor(F.log2(F.col("size").cast("double"))).cast("int"))
-    keys = ("old_shard", "size_class", "sub")
-    # at most old shards x size classes x SUB_BLOCKS rows, whatever the corpus
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
+def _assign(rows: DataFrame, old: str, size: str, new_shards: int, tie: list, shard: str, slot: str) -> tuple[DataFrame, list[tuple]]:
+    """``rows`` with columns ``shard`` and ``slot`` in the new layout, and the plan; ``tie`` orders rows of like size."""
+    spark = rows.sparkSession
+    made, names = rows, []
+    for name in ("size_class", "step", "sub", "in_sub", "before", "moves", "rank", "move"):
+        names.append(unused(made, f"_{name}"))
+        made = made.withColumn(names[-1], F.lit(None))
+    size_class, step, sub, in_sub, before, moves, rank, move = names
+    as_double = F.col(size).cast("double")
+    rows = (
+        rows.withColumn(size_class, F.floor(F.log2(as_double)).cast("int"))
+        # large rows first: what leaves a block are its last ranks
+        .withColumn(step, F.floor((2 - as_double / F.pow(F.lit(2.0), F.col(size_class))) * STEPS).cast("int"))
+        .withColumn(sub, F.pmod(F.xxhash64(*tie, F.lit("part")), F.lit(SUB_BLOCKS)).cast("int"))
+    )
+    keys = [old, size_class, step, sub]
+    # at most old shards x size classes x STEPS x SUB_BLOCKS rows, whatever the corpus
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(size).alias("b")).collect()
     blocks, offsets = {}, []
     for r in sorted(sums, key=lambda r: tuple(r[k] for k in keys)):
-        n, b = blocks.get((r.old_shard, r.size_class), (0, 0))
-        offsets.append((r.old_shard, r.size_class, r.sub, n))
-        blocks[r.old_shard, r.size_class] = (n + r.n, b + r.b)
-    moves: dict = {}
-    for old, size_class, a, b, shard, slot in solve_moves([(*k, *v) for k, v in blocks.items()], new_shards):
-        moves.setdefault((old, size_class), []).append((a, b, shard, slot))
-    offsets = [(*o, moves[o[0], o[1]]) for o in offsets]
-    plan = spark.createDataFrame(
-        offsets,
-        "old_shard int, size_class int, sub int, before long, moves array<struct<a:long,b:long,shard:int,slot:long>>",
+        n, b = blocks.get((r[old], r[size_class]), (0, 0))
+        offsets.append((*[r[k] for k in keys], n))
+        blocks[r[old], r[size_class]] = (n + r.n, b + r.b)
+    plan = solve_moves([(*k, *v) for k, v in blocks.items()], new_shards)
+    by_block: dict = {}
+    for o, c, a, b, to, first in plan:
+        by_block.setdefault((o, c), []).append((a, b, to, first))
+    sent = spark.createDataFrame(
+        [(*o, by_block[o[0], o[1]]) for o in offsets],
+        f"{old} int, {size_class} int, {step} int, {sub} int, {before} long, {moves} array<struct<a:long,b:long,shard:int,slot:long>>",
     )
-    in_sub = Window.partitionBy(*keys).orderBy("doc_id", "size", "text_crc32")
-    rank = F.col("before") + F.col("in_sub") - 1
-    return (
-        rows.withColumn("in_sub", F.row_number().over(in_sub))
-        .join(F.broadcast(plan), list(keys))
-        .withColumn("rank", rank)
-        .withColumn("move", F.filter("moves", lambda m: (m.a <= F.col("rank")) & (F.col("rank") < m.b))[0])
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            "old_shard",
-            F.col("move.shard").alias("shard"),
-            (F.col("move.slot") + F.col("rank") - F.col("move.a")).alias("slot"),
-        )
+    placed = (
+        rows.withColumn(in_sub, F.row_number().over(Window.partitionBy(*keys).orderBy(*tie)))
+        .join(F.broadcast(sent), keys)
+        .withColumn(rank, F.col(before) + F.col(in_sub) - 1)
+        .withColumn(move, F.filter(moves, lambda m: (m.a <= F.col(rank)) & (F.col(rank) < m.b))[0])
+        .withColumn(shard, F.col(move).shard)
+        .withColumn(slot, F.col(move).slot + F.col(rank) - F.col(move).a)
     )
+    return placed.drop(*names), plan
+
+
+def _size_of(text: Column) -> Column:
+    return (F.octet_length(F.coalesce(text, F.lit(""))) + ROW_OVERHEAD).cast("long")
+
+
+def _crc_of(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def reshard(docs: DataFrame, old_shard: Column, new_shards: int) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard, slot of every row; ``old_shard``: a column of ints >= 0."""
+    text = F.col("text")
+    rows = docs.select("doc_id", _size_of(text).alias("size"), _crc_of(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    placed, _ = _assign(rows, "old_shard", "size", new_shards, [F.col(c) for c in ("doc_id", "size", "text_crc32")], "shard", "slot")
+    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
 
 
-def rewrite_affected(rows: DataFrame, path: str) -> None:
-    """Rewrite, under ``path``, the folders of those shards that gain or lose a row.
+class Layout(NamedTuple):
+    """A stored layout: the folder of each shard that has rows, and the rows' schema."""
 
-    ``rows`` has old_shard and shard; shards that keep exactly their rows are not touched.
+    folders: dict[int, str]
+    schema: T.StructType
+
+
+def _write(rows: DataFrame, path: str) -> Layout:
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != SHARD]), F.lit(FILES))
+    rows.repartition(F.col(SHARD), spread).write.option("compression", "zstd").partitionBy(SHARD).parquet(path)
+    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in at.getFileSystem(conf).listStatus(at)]
+    folders = {int(n.split("=")[1]): f"{path}/{n}" for n in names if n.startswith(f"{SHARD}=")}
+    return Layout(folders, rows.drop(SHARD).schema)
+
+
+def store_layout(docs: DataFrame, shard: Column, path: str) -> Layout:
+    """Write ``docs`` under ``path`` by the int column ``shard``."""
+    return _write(docs.drop(SLOT).withColumn(SHARD, shard.cast("int")), path)
+
+
+def read_layout(spark: SparkSession, layout: Layout) -> DataFrame:
+    """The rows of a layout with their shard in ``SHARD``."""
+    roots: dict[str, list[str]] = {}
+    for folder in layout.folders.values():
+        roots.setdefault(folder.rsplit("/", 1)[0], []).append(folder)
+    schema = T.StructType([*layout.schema.fields, T.StructField(SHARD, T.IntegerType())])
+    read = [spark.read.schema(schema).option("basePath", root).parquet(*sorted(folders)) for root, folders in sorted(roots.items())]
+    return reduce(DataFrame.union, read) if read else spark.createDataFrame([], schema)
+
+
+def reshard_layout(spark: SparkSession, layout: Layout, new_shards: int, path: str, keep_old: str | None = None) -> Layout:
+    """The layout of ``new_shards`` shards; what changes is written under ``path``, a new folder.
+
+    A layout without slots gets them, so all its shards are written.  ``keep_old`` names a column for the old shard.
     """
-    moved = rows.where("old_shard <> shard")
-    affected = moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    (
-        rows.join(F.broadcast(affected), "shard", "left_semi")  # as many rows as shards at most
-        .repartition("shard")
-        .write.option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .partitionBy("shard")
-        .parquet(path)
-    )
+    stored = read_layout(spark, layout)
+    numbered = SLOT in stored.columns
+    old, size, to, slot = (unused(stored, n) for n in ("_old", "_size", "_to", "_slot"))
+    tie = [F.xxhash64(*[F.col(f"`{c}`") for c in stored.columns if c not in (SHARD, SLOT)]), *[F.col(c) for c in ("doc_id", "text") if c in stored.columns]]
+    rows = stored.withColumnRenamed(SHARD, old).withColumn(size, _size_of(F.col("text")))
+    placed, plan = _assign(rows, old, size, new_shards, tie, to, slot)
+    moved = {s for o, _, _, _, j, _ in plan if o != j for s in (o, j)}
+    affected = moved if numbered and keep_old is None else set(layout.folders) | {p[4] for p in plan}
+    columns = [F.col(f"`{c}`") for c in stored.columns if c not in (SHARD, SLOT, keep_old)]
+    columns += [F.col(old).alias(keep_old)] if keep_old else []
+    new = placed.where(F.col(to).isin(sorted(affected))).select(*columns, F.col(slot).alias(SLOT), F.col(to).alias(SHARD))
+    if not affected:
+        return layout
+    written = _write(new, path)
+    return Layout({j: f for j, f in layout.folders.items() if j not in affected} | written.folders, written.schema)
 
 
 def op6_resharding(spark: SparkSession, sf_dir: str, old_shards: int = 32, new_shards: int = 40) -> DataFrame:
-    """All documents from a layout hashed over 32 shards into 40, law ``rows``."""
-    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
-    placed = reshard(docs, F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)), new_shards)
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+    """All documents from a stored layout of 32 hashed shards into one of 40, law ``rows``, as the files of the new one have them."""
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark)
+    old = store_layout(docs, F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)), f"{scratch.root}/old")
+    scratch.sweep()
+    rows = read_layout(spark, reshard_layout(spark, old, new_shards, f"{scratch.root}/new", "old_shard"))
+    return rows.select(
+        "doc_id", _size_of(F.col("text")).alias("size"), _crc_of(F.col("text")).alias("text_crc32"), F.lit("rows").alias("law"),
+        F.col(SHARD).alias("shard"), F.col(SLOT).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard",
     )
 
 

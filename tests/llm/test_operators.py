@@ -416,9 +416,34 @@ def test_reshard(spark, tmp_path):
     want = sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t in rows)
     assert sorted(zip(got["size"], got["text_crc32"], strict=True)) == want
     assert resharding.reshard(frame(spark, []), F.lit(0), 5).count() == 0
-    placed = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (3, 2, 2)], "doc_id int, old_shard int, shard int")
-    resharding.rewrite_affected(placed, str(tmp_path / "out"))
-    assert {p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("shard=")} == {"shard=0", "shard=1"}
+    # the smallest rows of every shard that has too many move, to a sixteenth of a size class
+    room = len(rows) // 5
+    best = sum(sum(sorted(g["size"])[: max(0, len(g) - room - 1)]) for _, g in got.groupby("old_shard"))
+    assert best <= got[got["shard"] != got["old_shard"]]["size"].sum() <= 1.1 * sum(sum(sorted(g["size"])[: max(0, len(g) - room)]) for _, g in got.groupby("old_shard"))
+
+
+def in_layout(spark, layout):
+    return sorted([(r[resharding.SHARD], r.doc_id, r.text, r.lang) for r in resharding.read_layout(spark, layout).collect()], key=repr)
+
+
+def test_layouts(spark, tmp_path):
+    """Growing and shrinking stored layouts: every row once, folders without changes untouched, emptied shards gone."""
+    rows = CASES + [(100 + k, prose(k % 50, k)) for k in range(60)]
+    docs = frame(spark, rows).withColumn(resharding.SLOT, F.lit("mine"))
+    first = resharding.store_layout(docs, F.pmod(F.xxhash64("doc_id"), F.lit(3)), str(tmp_path / "a"))
+    grown = resharding.reshard_layout(spark, first, 5, str(tmp_path / "b"))
+    shrunk = resharding.reshard_layout(spark, grown, 2, str(tmp_path / "c"))
+    texts = sorted(((i, t, "en") for i, t in rows), key=repr)
+    for layout, n in ((first, 3), (grown, 5), (shrunk, 2)):
+        got = in_layout(spark, layout)
+        assert set(layout.folders) == {r[0] for r in got} == set(range(n)) and sorted([r[1:] for r in got], key=repr) == texts
+    for layout in (grown, shrunk):
+        by_shard = resharding.read_layout(spark, layout).groupBy(resharding.SHARD).agg(F.sort_array(F.collect_list(resharding.SLOT)).alias("slots")).collect()
+        assert all(r.slots == list(range(len(r.slots))) for r in by_shard) and max(len(r.slots) for r in by_shard) - min(len(r.slots) for r in by_shard) <= 1
+    same = resharding.reshard_layout(spark, grown, 5, str(tmp_path / "d"))
+    assert same.folders == grown.folders and not (tmp_path / "d").exists()
+    none = resharding.store_layout(docs.limit(0), F.lit(0), str(tmp_path / "e"))
+    assert none.folders == {} and resharding.read_layout(spark, resharding.reshard_layout(spark, none, 5, str(tmp_path / "f"))).count() == 0
 
 
 # ------------------------------------------------------------------ urls
