@@ -100,6 +100,19 @@ class Net(NamedTuple):
         return _sigmoid(self.logits(x))
 
 
+def pu_risk(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Non-negative risk of scores on positives and unlabelled rows, and the steps for their logits.
+
+    Losses are -log s for positive and -log(1 - s) for negative; their slopes in the logit are s - 1 and s.
+    """
+    positive = -prior * np.log(sp + 1e-12).mean()
+    negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
+    if negative >= 0:
+        return positive + negative, -prior / len(sp) + np.zeros_like(sp), su / len(su)
+    # step back on the part that has gone below nought
+    return positive, prior * sp / len(sp), -su / len(su)
+
+
 def fit_net(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 600, seed: int = 11) -> Net:
     """Adam on the non-negative PU risk; with ``prior`` None, on plain positive-against-unlabelled loss."""
     both = np.concatenate([p, u])
@@ -115,12 +128,7 @@ def fit_net(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 600,
         if prior is None:
             gp, gu = (sp - 1) / len(p), su / len(u)
         else:
-            # losses: positive -log s, negative -log(1 - s); their slopes in the logit are s - 1 and s
-            negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
-            if negative >= 0:
-                gp, gu = (prior * (sp - 1) - prior * sp) / len(p), su / len(u)
-            else:  # step back on the part that has gone below nought
-                gp, gu = prior * sp / len(p), -su / len(u)
+            _, gp, gu = pu_risk(sp, su, prior)
         grads = [
             zp.T @ (gp[:, None] * c * (1 - hp**2)) + zu.T @ (gu[:, None] * c * (1 - hu**2)) + 1e-3 * a,
             (gp[:, None] * c * (1 - hp**2)).sum(0) + (gu[:, None] * c * (1 - hu**2)).sum(0),

@@ -6,9 +6,14 @@ linear weights carry single terms, the factors carry pairs such as an insult
 next to a group's name.
 
 The model is fitted on the driver from at most ``SAMPLE`` labelled rows (those
-with the smallest hash of their id), whose terms are hashed on the executors;
-of the buckets only the ``KEPT`` most associated with the label enter the fit.
-Scoring reads every whole text and broadcasts the model, whose size is fixed.
+with the smallest hash of their id), whose terms are hashed on the executors.  Two
+screens, both over the sample alone, tell which buckets get weights and factors:
+the ``KEPT`` most associated with the label one by one, and those of up to
+``PAIRS`` pairs of words that say more together than either says alone, so that a
+word that is neutral by itself takes part for its company.  Pairs are counted
+among at most ``PAIR_WORDS`` words of a row (drawn anew for each row, so any two
+may meet) that are neither rare in the sample nor in most of its rows.  Scoring
+reads every whole text and broadcasts the model, whose size is fixed.
 
 Defined results: a null or empty text has no terms and gets the base rate's
 score; rows without label, or with a null id, are not learned from; without
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import bound_batches, held_out, pick, table
 
 BUCKETS, SAMPLE, KEPT, FACTORS = 1 << 18, 20_000, 1_024, 8
+PAIRS, PAIR_WORDS, PAIR_SEEN, COMMON, TRIED_PAIRS = 256, 64, 8, 0.6, 4_096
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
 _TERM = re.compile(r"\w+")
@@ -100,6 +106,49 @@ def choose_buckets(seen: np.ndarray, hits: np.ndarray, n: int, positives: int) -
     return use[(seen[use] >= 3) & (np.abs(z[use]) > 2.5)]
 
 
+def _pair_keys(rows: list[np.ndarray]) -> np.ndarray:
+    """One number for each two buckets of each row."""
+    out = [np.zeros(0, np.int64)]
+    for r in rows:
+        r = np.unique(r).astype(np.int64)
+        a, b = np.triu_indices(len(r), 1)
+        out.append(r[a] << 32 | r[b])
+    return np.concatenate(out)
+
+
+def choose_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Buckets of the word pairs whose label rate exceeds that of both words; ``rows`` are the drawn word buckets of each row."""
+    positive = [r for r, y in zip(rows, labels, strict=True) if y]
+    keys, in_positive = np.unique(_pair_keys(positive), return_counts=True)
+    often = in_positive >= PAIR_SEEN
+    tried = np.argsort(-in_positive[often], kind="stable")[:TRIED_PAIRS]
+    keys, in_positive = keys[often][tried], in_positive[often][tried]
+    order = np.argsort(keys)
+    keys, in_positive = keys[order], in_positive[order].astype(float)
+    total = in_positive.copy()
+    negative = [r for r, y in zip(rows, labels, strict=True) if not y]
+    for at in range(0, len(negative), 500):
+        found = _pair_keys(negative[at : at + 500])
+        place = np.searchsorted(keys, found)
+        known = place < len(keys)
+        known[known] = keys[place[known]] == found[known]
+        total += np.bincount(place[known], minlength=len(keys))[: len(keys)]
+    a, b = keys >> 32, keys & 0xFFFFFFFF
+    alone = np.maximum((hits[a] + 0.5) / (seen[a] + 1), (hits[b] + 0.5) / (seen[b] + 1))
+    z = (in_positive - total * alone) / np.sqrt(total * alone * (1 - alone) + 1)
+    best = np.argsort(-z, kind="stable")[:PAIRS]
+    best = best[z[best] > 3]
+    return np.unique(np.concatenate([a[best], b[best]])).astype(np.int64)
+
+
+def drawn_words(text: str | None, fit: np.ndarray, seed: int) -> list[int]:
+    """Buckets of at most ``PAIR_WORDS`` distinct words that are fit for pairs, in an order that depends on the row."""
+    found = sorted({b for word in set(_TERM.findall((text or "").lower())) if fit[b := zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS]})
+    if len(found) > PAIR_WORDS:
+        found.sort(key=lambda b: zlib.crc32(b"%d %d" % (b, seed)))
+    return found[:PAIR_WORDS]
+
+
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, use: np.ndarray, steps: int = 400, seed: int = 7) -> Machine:
     """Full-batch Adam on the logistic loss with L2; ``rows`` hold positions in ``use``, the buckets that take part."""
     n = len(rows)
@@ -158,6 +207,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     seen[found["bucket"]], hits[found["bucket"]] = found["seen"], found["hits"]
     n, positives = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     use = choose_buckets(seen, hits, n, positives)
+    fit = (seen >= PAIR_SEEN) & (seen <= COMMON * n)
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            words = [np.array(drawn_words(t, fit, int(i)), np.int32) for i, t in zip(x["doc_id"], x["text"], strict=True)]
+            yield pd.DataFrame({"doc_id": x["doc_id"], "y": x["y"], "words": words})
+
+    # at most SAMPLE x PAIR_WORDS numbers
+    words = rows.mapInPandas(drawn, "doc_id long, y int, words array<int>").toPandas().sort_values("doc_id", kind="stable")
+    use = np.union1d(use, choose_pairs([np.asarray(w) for w in words["words"]], words["y"].to_numpy(), seen, hits))
     place = np.full(BUCKETS, -1, np.int32)
     place[use] = np.arange(len(use))
 

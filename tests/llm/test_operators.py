@@ -372,6 +372,66 @@ def test_machine_learns_pairs():
     assert abs(float(m.v[1] @ m.v[2])) > 0.1
 
 
+def test_machine_sum_by_brute_force():
+    """The factorised sum against every pair, one by one."""
+    r = np.random.default_rng(4)
+    w, v = r.normal(size=9), r.normal(size=(9, toxicity.FACTORS))
+    rows = [r.choice(9, k, replace=False) for k in (0, 1, 2, 5, 9)]
+    got, _ = toxicity._machine_sum(w, v, np.concatenate(rows).astype(int), np.repeat(np.arange(5), [len(x) for x in rows]), 5)
+    naive = [w[x].sum() + sum(v[i] @ v[j] for i, j in itertools.combinations(x, 2)) for x in rows]
+    assert np.allclose(got, naive)
+
+
+def test_pairs_pass_the_screen(spark):
+    """Two words of which neither says anything alone: toxic where both or none are there."""
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(900):
+        a, b = (r.random(2) < 0.5).astype(int)
+        words = [*prose(25, 70_000 + i).split(), *(["vequa"] * a), *(["blim"] * b)]
+        rows.append((i, " ".join(r.permutation(words)), int(a == b)))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 700], "doc_id int, toxic int")
+    docs = frame(spark, [(i, t) for i, t, _ in rows])
+    machine = toxicity.train(docs, labels)
+    buckets = [zlib.crc32(w.encode()) % toxicity.BUCKETS for w in ("vequa", "blim")]
+    assert all(machine.place[b] for b in buckets)
+    got = {x.doc_id: x.score for x in toxicity.score(docs.select("doc_id", "text"), machine).collect()}
+    both = [(y, got[i]) for i, t, y in rows if i >= 700 and "vequa" in t]
+    assert np.mean([s for y, s in both if y]) > np.mean([s for y, s in both if not y]) + 0.4
+
+
+def test_toxicity_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id int, toxic int")
+    docs = frame(spark, [])
+    assert toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, none)).count() == 0
+
+
+def test_risk_and_gradient_by_brute_force():
+    """The fit's gradient is that of the non-negative risk, term by term, on both sides of nought."""
+    r = np.random.default_rng(9)
+    for prior in (0.3, 0.9):
+        logits = r.normal(size=12) + (3 if prior == 0.9 else 0)
+        sp, su = quality._sigmoid(logits[:5]), quality._sigmoid(logits[5:])
+        risk, gp, gu = quality.pu_risk(sp, su, prior)
+        positive = prior * np.mean([-np.log(s) for s in sp])
+        negative = np.mean([-np.log(1 - s) for s in su]) - prior * np.mean([-np.log(1 - s) for s in sp])
+        assert np.isclose(risk, positive + max(0.0, negative))
+        # below nought the step goes back up the negative part alone
+        goal = (lambda z: quality.pu_risk(quality._sigmoid(z[:5]), quality._sigmoid(z[5:]), prior)[0]) if negative >= 0 else (
+            lambda z: prior * np.mean(-np.log(1 - quality._sigmoid(z[:5]))) - np.mean(-np.log(1 - quality._sigmoid(z[5:]))))
+        for k in range(12):
+            up, down = logits.copy(), logits.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            assert np.isclose((goal(up) - goal(down)) / 2e-5, np.concatenate([gp, gu])[k], atol=1e-6)
+
+
+def test_quality_of_nothing(spark):
+    docs = frame(spark, [])
+    none = spark.createDataFrame([], "doc_id int, quality int")
+    assert quality.score(docs, quality.train(docs, none)).count() == 0
+
+
 def test_quality(spark):
     good = [(i, ". ".join(prose(12, 3_000 + 10 * i + k).capitalize() for k in range(5)) + ".") for i in range(300)]
     junk = [(1_000 + i, " ".join(f"{w}{'#$%&'[k % 4] * 3}" for k, w in enumerate(prose(60, 9_000 + i).split()))) for i in range(60)]
