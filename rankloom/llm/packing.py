@@ -67,7 +67,8 @@ class ByteTokens:
         # the vocabulary numbers its tokens in the order of its merges, so an id is a merge's rank
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         ranks = {bytes(of[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
-        self.merge = tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        # the pattern takes a pre-token whole: merging is all that is asked for
+        self.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
 
@@ -77,7 +78,7 @@ class ByteTokens:
 
     def _word(self, word: str) -> bytes:
         if (found := self.words.get(word)) is None:
-            found = array("I", self.merge(word.encode())).tobytes()
+            found = array("I", self.merge(word)).tobytes()
             if len(self.words) < CACHED:
                 self.words[word] = found
         return found

@@ -566,6 +566,18 @@ def test_tokens_are_those_of_the_tokenizer():
     assert all(t.ids(s) == t.whole(s) for s in samples)
 
 
+_tokens = packing.ByteTokens(packing.tokenizer_file())
+_latin = st.text(st.sampled_from("abzAZéßÿʼɏ09²¾ \t\n\r\xa0'`.,;:!?-_&#%sdtrevml"), max_size=60)
+_contractions = st.lists(st.sampled_from(["'s", "'T", "we're", " ", "  ", "\n", " \n", "a1", "x", "…", "\x1f", "<|endoftext|>", "日本", "é"]), max_size=20).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=80), _latin, _contractions))
+def test_tokens_of_any_text(text):
+    text = text.encode("utf-8", "replace").decode()
+    assert _tokens.ids(text) == _tokens.whole(text)
+
+
 def test_packing(spark):
     rows = [*CASES, *[(100 + k, prose(10 + 7 * k % 300, k)) for k in range(150)]]
     got = packing.pack_documents(frame(spark, rows), packing.tokenizer_file()).toPandas()
