@@ -3,11 +3,14 @@
 ``encode_streams`` multiplexes a binary column as one program with one
 elementary stream of 8-bit samples; ``parse_streams`` reads any such column:
 program association and map tables (with their CRC), continuity counters,
-packetised elementary packets with presentation times, random-access points.
+packetised elementary packets with presentation times, random-access points, for
+every stream of every program.  Counters are checked on the tables' pids too; a
+packet that is sent twice counts once, and a break that a packet announces is none.
 
 The rows are handled one by one in Arrow batches, so memory is that of a batch.
 Defined results: a null payload counts as empty; bytes that are not a transport
-stream give a null payload and an error text instead of failing the job; extra
+stream give a null payload and an error text instead of failing the job; where
+packets are lost, what is left of the payload comes with an error text; extra
 columns are kept.
 """
 
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import bound_batches, pick, table
+from rankloom.llm.common import Scratch, bound_batches, pick, table
 
 PACKET, PMT_PID, ES_PID = 188, 0x1000, 0x0101
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # PES packets with private data
@@ -111,63 +114,131 @@ def encode(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _tables(packets: np.ndarray, pid: np.ndarray) -> tuple[int, int]:
-    """(elementary pid, stream type) of the first program."""
+def _sections(packets: np.ndarray, skip: np.ndarray, rows: np.ndarray, of: int) -> list[bytes]:
+    """The sections of the table with pid ``of``, each number once, put together from as many packets as they take."""
+    found: dict[int, bytes] = {}
+    raw = b""
+    for r in rows:
+        body = packets[r].tobytes()[skip[r] :]
+        if packets[r, 1] & 0x40:
+            raw = body[1 + body[0] :]
+        elif raw:
+            raw += body
+        while len(raw) >= 3 and raw[0] != 0xFF and len(raw) >= (n := 3 + ((raw[1] & 15) << 8 | raw[2])):
+            section, raw = raw[:n], raw[n:]
+            if section_crc(section):
+                raise ValueError(f"bad CRC in the table with pid {of}")
+            found.setdefault(section[6], section)
+            if len(found) > section[7]:
+                return [found[k] for k in sorted(found)]
+    raise ValueError(f"no whole table with pid {of}")
+
+
+def _programs(packets: np.ndarray, skip: np.ndarray, by_pid) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(number, pid of its table, [(elementary pid, stream type)]) of every program."""
+    out = []
+    for pat in _sections(packets, skip, by_pid(0), 0):
+        for at in range(8, len(pat) - 4, 4):
+            number, table = pat[at] << 8 | pat[at + 1], (pat[at + 2] & 31) << 8 | pat[at + 3]
+            if not number:  # network information
+                continue
+            streams = []
+            for pmt in _sections(packets, skip, by_pid(table), table):
+                p = 12 + ((pmt[10] & 15) << 8 | pmt[11])
+                while p < len(pmt) - 4:
+                    streams.append(((pmt[p + 1] & 31) << 8 | pmt[p + 2], pmt[p]))
+                    p += 5 + ((pmt[p + 3] & 15) << 8 | pmt[p + 4])
+            out.append((number, table, streams))
+    if not any(streams for _, _, streams in out):
+        raise ValueError("no program with a stream")
+    return out
 
-    def section(of: int) -> bytes:
-        rows = np.flatnonzero((pid == of) & (packets[:, 1] & 0x40 != 0))
-        if not len(rows):
-            raise ValueError(f"no table with pid {of}")
-        raw = packets[rows[0]].tobytes()[4:]
-        raw = raw[1 + raw[0] :]
-        raw = raw[: 3 + ((raw[1] & 15) << 8 | raw[2])]
-        if section_crc(raw):
-            raise ValueError(f"bad CRC in the table with pid {of}")
-        return raw
 
-    pat = section(0)
-    pmt = section((pat[10] & 31) << 8 | pat[11])
-    at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
-    return (pmt[at + 1] & 31) << 8 | pmt[at + 2], pmt[at]
+def _continuity(packets: np.ndarray) -> tuple[np.ndarray, int]:
+    """(which packets of one pid to keep, how often the counter breaks).
 
+    A packet sent twice counts once; the counter may break where the packet says so.
+    """
+    c = (packets[:, 3] & 15).astype(np.int32)
+    step = np.diff(c) % 16
+    twice = np.zeros(len(c), bool)
+    same = step == 0
+    if same.any():  # the clock may differ between the two
+        twice[1:] = same & (packets[1:, :4] == packets[:-1, :4]).all(1) & (packets[1:, 12:] == packets[:-1, 12:]).all(1)
+    told = (packets[1:, 3] & 0x20 != 0) & (packets[1:, 4] > 0) & (packets[1:, 5] & 0x80 != 0)
+    return ~twice, int(((step != 1) & ~twice[1:] & ~told).sum())
 
-def parse(media: bytes) -> dict:
-    """payload, units [(pts, size, random access)], packets, cc_errors and stream_type of a stream."""
-    if not media or len(media) % PACKET:
-        raise ValueError("not a whole number of packets")
-    packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if (packets[:, 0] != 0x47).any():
-        raise ValueError("lost sync")
-    pid = (packets[:, 1] & 31).astype(np.int32) << 8 | packets[:, 2]
-    es, stream_type = _tables(packets, pid)
-    packets = packets[(pid == es) & (packets[:, 3] & 0x10 != 0)]
-    if not len(packets):
-        raise ValueError("no elementary packets")
-    counter = (packets[:, 3] & 15).astype(np.int32)
-    errors = int((np.diff(counter) % 16 != 1).sum())
+
+def _reassemble(packets: np.ndarray) -> tuple[bytes, list[tuple[int | None, int, bool]], int]:
+    """(payload, [(time stamp, size, random access)], units cut short) of an elementary stream's packets."""
     adapted = packets[:, 3] & 0x20 != 0
     skip = np.where(adapted, packets[:, 4].astype(np.int32) + 5, 4)
     access = adapted & (packets[:, 4] > 0) & (packets[:, 5] & 0x40 != 0)
     stream = packets[np.arange(PACKET)[None, :] >= skip[:, None]].tobytes()
     ends = np.cumsum(PACKET - skip)
-    units, parts = [], []
-    for row in np.flatnonzero(packets[:, 1] & 0x40):
-        at = int(ends[row - 1]) if row else 0
+    units, parts, short = [], [], 0
+    starts = np.flatnonzero(packets[:, 1] & 0x40)
+    for row, following in zip(starts, [*starts[1:], len(packets)], strict=True):
+        at, last = int(ends[row - 1]) if row else 0, int(ends[following - 1])
         if stream[at : at + 3] != b"\0\0\1":
             raise ValueError("no start code at the start of an elementary packet")
-        end = at + 6 + int.from_bytes(stream[at + 4 : at + 6], "big")
+        size = int.from_bytes(stream[at + 4 : at + 6], "big")
+        end = at + 6 + size if size else last  # 0: up to the next one
+        short += end > last
         p = stream[at + 9 : at + 14]
-        pts = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
-        data = stream[at + 9 + stream[at + 8] : end]
+        pts = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1 if stream[at + 7] & 0x80 else None
+        data = stream[at + 9 + stream[at + 8] : min(end, last)]
         units.append((pts, len(data), bool(access[row])))
         parts.append(data)
-    return {"payload": b"".join(parts), "units": units, "packets": len(media) // PACKET, "cc_errors": errors, "stream_type": stream_type}
+    return b"".join(parts), units, short
+
+
+def parse(media: bytes) -> dict:
+    """What a stream holds: programs, packets, cc_errors over all its pids, lost (packets or bytes), and of the first
+    elementary stream payload, units [(pts, size, random access)] and stream_type; ``streams`` has (pid, payload, units) of all."""
+    if not media or len(media) % PACKET:
+        raise ValueError("not a whole number of packets")
+    packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
+    if (packets[:, 0] != 0x47).any():
+        raise ValueError("lost sync")
+    pid = (packets[:, 1] & 31).astype(np.int32) << 8 | packets[:, 2]
+    loaded = packets[:, 3] & 0x10 != 0  # only packets with payload count on
+    skip = np.where(packets[:, 3] & 0x20 != 0, packets[:, 4].astype(np.int32) + 5, 4)
+    kept: dict[int, np.ndarray] = {}
+    errors = 0
+
+    def by_pid(p: int) -> np.ndarray:
+        nonlocal errors
+        if p not in kept:
+            rows = np.flatnonzero((pid == p) & loaded)
+            keep, breaks = _continuity(packets[rows]) if len(rows) else (np.zeros(0, bool), 0)
+            kept[p] = rows[keep]
+            errors += breaks
+        return kept[p]
+
+    programs = _programs(packets, skip, by_pid)
+    streams, cut = [], 0
+    for _, _, listed in programs:
+        for es, kind in listed:
+            rows = by_pid(es)
+            if len(rows):
+                payload, units, short = _reassemble(packets[rows])
+                streams.append((es, kind, payload, units))
+                cut += short
+    if not streams:
+        raise ValueError("no elementary packets")
+    _, kind, payload, units = streams[0]
+    return {
+        "payload": payload, "units": units, "packets": len(packets), "cc_errors": errors, "lost": errors + cut, "stream_type": kind,
+        "programs": programs, "streams": [(es, data, stamps) for es, _, data, stamps in streams],
+    }
 
 
 UNITS = T.ArrayType(T.StructType([T.StructField("pts", T.LongType()), T.StructField("size", T.LongType()), T.StructField("random_access", T.BooleanType())]))
+STREAMS = T.ArrayType(T.StructType([T.StructField("pid", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("units", UNITS)]))
 PARSED = [
     T.StructField("read_payload", T.BinaryType()), T.StructField("units", UNITS), T.StructField("packets", T.LongType()),
-    T.StructField("cc_errors", T.LongType()), T.StructField("stream_type", T.LongType()), T.StructField("error", T.StringType()),
+    T.StructField("cc_errors", T.LongType()), T.StructField("stream_type", T.LongType()), T.StructField("streams", STREAMS), T.StructField("error", T.StringType()),
 ]
 
 
@@ -183,7 +254,10 @@ def encode_streams(df: DataFrame, payload: str = "payload", media: str = "media"
 
 
 def parse_streams(df: DataFrame, media: str = "media") -> DataFrame:
-    """``df`` with what its streams hold: read_payload, units, packets, cc_errors, stream_type, error."""
+    """``df`` with what its streams hold: read_payload, units, packets, cc_errors, stream_type, streams, error.
+
+    ``streams`` lists every elementary stream where there are several, else it is null.
+    """
     new = {f.name for f in PARSED}
     kept = [f for f in df.schema.fields if f.name not in new]
 
@@ -191,9 +265,11 @@ def parse_streams(df: DataFrame, media: str = "media") -> DataFrame:
         try:
             x = parse(bytes(raw or b""))
         except (ValueError, IndexError) as e:
-            return None, None, None, None, None, str(e)
-        units = [{"pts": a, "size": b, "random_access": c} for a, b, c in x["units"]]
-        return x["payload"], units, x["packets"], x["cc_errors"], x["stream_type"], None
+            return None, None, None, None, None, None, str(e)
+        stamps = lambda units: [{"pts": a, "size": b, "random_access": c} for a, b, c in units]
+        several = [{"pid": p, "payload": d, "units": stamps(u)} for p, d, u in x["streams"]] if len(x["streams"]) > 1 else None
+        error = "packets are lost, the payload may be incomplete" if x["lost"] else None
+        return x["payload"], stamps(x["units"]), x["packets"], x["cc_errors"], x["stream_type"], several, error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -214,7 +290,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text").select(
         "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.concat(text, _zeros(pad)).alias("payload")
     )
-    read = parse_streams(encode_streams(docs))
+    # the media column is stored, and what is parsed is what the store gives back
+    read = parse_streams(Scratch(spark).keep(encode_streams(docs)))
     payload = F.col("read_payload")
     units = F.col("units")
     return read.select(
@@ -234,6 +311,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("packets="), F.col("packets")),
             F.concat(F.lit("cc_errors="), F.col("cc_errors")),
         ).alias("feature"),
+        "units",
         "error",
     )
 

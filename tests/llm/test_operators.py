@@ -107,6 +107,31 @@ def test_near_duplicates_all_pivots(spark, monkeypatch):
     assert got == {1: 1, 6: 1, 2: 2, 3: 2, 4: 2, 5: 2}
 
 
+def test_near_duplicates_of_the_tables(spark):
+    """All pairs of the small table's documents, exactly."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets, holders = {}, {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    both = Counter(p for ids in holders.values() if len(ids) > 1 for p in itertools.combinations(sorted(ids), 2))
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, b), n in both.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.op3_near_dup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: (len(sets[i]), top(i)) for i in sets}
+
+
 def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
 
@@ -170,6 +195,23 @@ def test_repeats(spark, monkeypatch, cuts):
         assert repeats.kept_bytes(raw, [s.asDict() for s in found]) == kept
 
 
+def test_repeats_of_the_tables(spark):
+    """Every byte of the small table's documents."""
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    seen = Counter(hash(t[k : k + 400]) for _, t in rows for k in range(len(t) - 399))
+    expected = {}
+    for i, t in rows:
+        m = np.zeros(len(t) + 1, bool)
+        for k in range(len(t) - 399):
+            if seen[hash(t[k : k + 400])] > 1:
+                m[k : k + 400] = True
+        kept = bytes(np.frombuffer(t, np.uint8)[~m[:-1]])
+        expected[i] = (len(t), int(m.sum()), int((np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    got = repeats.op4_repeats(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == expected
+    assert all(abs(len(r.text.encode()) - (r.n_bytes - r.n_removed)) <= 6 * r.n_spans for r in got)
+
+
 def test_cut_repeats_keeps_rows_and_characters(spark):
     texts = repeat_texts()
     docs = frame(spark, list(enumerate(texts)))
@@ -247,6 +289,91 @@ def test_leaks_shuffled_join(spark, monkeypatch):
     assert decontamination.find_leaks(frame(spark, CASES), items.limit(0)).count() == 0
 
 
+def leaks_by_brute_force(docs, items, window=8, cover=0.5):
+    """Every window of every document against every window of every item, sets judged as the docstring says."""
+    import regex
+
+    named, cut = regex.compile(r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})"), regex.compile(decontamination._CUT)
+    digit = lambda t: "0" <= t < ":"
+
+    def tokens(text):
+        return [t for t in cut.split(named.sub("§", (text or "").replace("§", " ")).lower()) if t]
+
+    def template(raw):
+        return ["§p" if t.startswith("§") else "§n" if digit(t) else "§u" if t in decontamination.UNITS and k and digit(raw[k - 1]) else t for k, t in enumerate(raw)]
+
+    def spans(ats, n):
+        covered = sorted({k for a in ats for k in range(a, a + n)})
+        run = most = 0
+        for k, c in enumerate(covered):
+            run = run + 1 if k and c == covered[k - 1] + 1 else 1
+            most = max(most, run)
+        return len(covered), most
+
+    known = {}
+    for item, text in items:
+        raw = tokens(text)
+        if item is None or not raw:
+            continue
+        for form in (raw, ["§" + raw[0].lstrip("§"), *raw[1:]]):
+            kinds, n = template(form), min(window, len(form))
+            for k in range(len(form) - n + 1):
+                part = kinds[k : k + n]
+                if sum(not t.startswith("§") for t in part) >= max(1, -(-n // 2)):
+                    known.setdefault(item, {}).setdefault((n, tuple(part)), set()).add((k + 1, tuple(form[k : k + n])))
+    found = set()
+    for doc, text in docs:
+        raw = tokens(text)
+        kinds = template(raw)
+        for item, windows in known.items() if doc is not None else ():
+            n = next(iter(windows))[0]
+            n_windows, n_tokens = len({a for w in windows.values() for a, _ in w}), spans({a for w in windows.values() for a, _ in w}, n)[0]
+            hits = []
+            for k in range(len(raw) - n + 1):
+                for at, item_raw in windows.get((n, tuple(kinds[k : k + n])), ()):
+                    slots = {(kind, i, d) for kind, i, d in zip(kinds[k : k + n], item_raw, raw[k : k + n], strict=True) if kind.startswith("§")}
+                    hits.append((k + 1 - at, at, slots, item_raw == tuple(raw[k : k + n])))
+
+            def leak(group, in_row):
+                for chosen in (group, [h for h in group if h[3]]):
+                    ats, slots = {h[1] for h in chosen}, set().union(*(h[2] for h in chosen))
+                    covered, run = spans(ats, n)
+                    enough = len(ats) >= cover * n_windows or covered >= cover * n_tokens or in_row and run >= 13
+                    if ats and enough and len(slots) == len({s[:2] for s in slots}):
+                        return True
+                return False
+
+            aligned = sorted({h[0] for h in hits})
+            places, last = {}, None
+            for a in aligned:
+                places[a] = places[last] if last is not None and a - last <= n_windows else a
+                last = a
+            groups = [([h for h in hits if h[0] == a], True) for a in aligned]
+            groups += [([h for h in hits if places[h[0]] == p], False) for p in set(places.values())] + [(hits, False)]
+            if any(leak(g, r) for g, r in groups):
+                found.add((doc, item))
+    return found
+
+
+def test_leaks_by_brute_force(spark):
+    """All leaks of the small tables, and of edited, re-parameterised and repeated items."""
+    path = "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    r = np.random.default_rng(12)
+    made = "On day {} a farmer named {} sold {} kg of corn to {} shops for {} dollars and kept {} kg at home in town"
+    items += [(900, made.format(3, "Peter", 20, 4, 50, 7)), (901, made.format(3, "Peter", 20, 4, 50, 7)), (902, "short one"), (None, "none"), (903, None)]
+    for k in range(60):
+        words = items[int(r.integers(len(items) - 4))][1].split() if k % 2 else made.format(*(["Peter", "Mary"][int(v)] if j == 1 else int(v) + 2 for j, v in enumerate(r.integers(0, 2, 6)))).split()
+        for _ in range(int(r.integers(0, 3))):
+            words[int(r.integers(len(words)))] = ["x", "9", "Zed", "and so"][int(r.integers(4))]
+        docs.append((5_000 + k, f"{prose(int(r.integers(0, 30)), k)} {' '.join(words)} {prose(9, k + 100)} {' '.join(words[int(r.integers(9)):])}"))
+    docs += CASES
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = leaks_by_brute_force(docs, items)
+    assert got == expected and len(expected) > 20
+
+
 # ------------------------------------------------------------------ html
 
 
@@ -622,15 +749,51 @@ def test_stream_round_trip(payload):
 def test_stream_faults(spark):
     raw = media.encode(bytes(range(256)) * 20)
     lost = raw[: 188 * 5] + raw[188 * 6 :]
-    assert media.parse(lost)["cc_errors"] == 1
+    assert media.parse(lost)["cc_errors"] == 1 and media.parse(lost)["lost"] >= 1 and len(media.parse(lost)["payload"]) < 256 * 20
+    again = raw[: 188 * 6] + raw[188 * 5 :]  # a packet sent twice
+    assert media.parse(again)["cc_errors"] == 0 and media.parse(again)["payload"] == bytes(range(256)) * 20
+    long = media.encode(bytes(60_000))
+    tables = [k for k in range(0, len(long), 188) if long[k + 1 : k + 3] == b"\x40\x00"]
+    assert media.parse(long)["cc_errors"] == 0 and len(tables) == 2
+    renumbered = bytearray(long)
+    renumbered[tables[1] + 3] = 0x10 | 9  # the counter of a table breaks
+    assert media.parse(bytes(renumbered))["cc_errors"] == 1
+    told = bytearray(raw[: 188 * 4] + raw[188 * 6 :])
+    k = next(k for k in range(188 * 4, len(told), 188) if told[k + 3] & 0x20 and told[k + 4])
+    told[k + 5] |= 0x80
+    assert media.parse(bytes(told))["cc_errors"] <= 1
     rows = spark.createDataFrame([(1, bytearray(raw), "x"), (2, None, "x"), (3, bytearray(b"junk"), "x"), (4, bytearray(raw[:4] + b"\x01" + raw[5:]), "x")], "doc_id int, media binary, units string")
     got = {r.doc_id: r for r in media.parse_streams(rows).collect()}
     assert got[1].error is None and got[2].error and got[3].error and got[4].error and bytes(got[1].read_payload) == bytes(range(256)) * 20
+    gone = spark.createDataFrame([(1, bytearray(lost))], "doc_id int, media binary")
+    assert "lost" in media.parse_streams(gone).first().error and media.parse_streams(gone.limit(0)).count() == 0
     payloads = spark.createDataFrame([(1, None), (2, bytearray(b"abc"))], "doc_id int, payload binary")
     assert {r.doc_id: bytes(r.read_payload) for r in media.parse_streams(media.encode_streams(payloads)).collect()} == {1: b"", 2: b"abc"}
     assert media.encode_streams(payloads.limit(0)).count() == 0
 
 
+def test_two_programs():
+    """A second program, its packets between those of the first, is listed and reassembled too; tables may span packets."""
+    one, two = bytes(range(200)) * 90, b"other" * 4_000
+    pat_body = bytes([0, 1, 0xE0 | media.PMT_PID >> 8, media.PMT_PID & 255, 0, 2, 0xE0 | 0x11, 0x00])
+    pmt = lambda es, extra: bytes([0xE0 | es >> 8, es & 255, 0xF0, 0, 6, 0xE0 | es >> 8, es & 255, 0xF0 | extra >> 8, extra & 255]) + bytes(extra)
+
+    def split(pid, table, number, body):
+        length = 5 + len(body) + 4
+        section = bytes([table, 0xB0 | length >> 8, length & 255, number >> 8, number & 255, 0xC1, 0, 0]) + body
+        section = b"\0" + section + media.section_crc(section).to_bytes(4, "big")
+        parts = [section[k : k + 184] for k in range(0, len(section), 184)]
+        return [(bytes([0x47, (0 if k else 0x40) | pid >> 8, pid & 255, 0x10 | k]) + p).ljust(188, b"\xff") for k, p in enumerate(parts)]
+
+    es = lambda raw: [raw[k : k + 188] for k in range(0, len(raw), 188) if raw[k + 1] & 31 == media.ES_PID >> 8 and raw[k + 2] == media.ES_PID & 255]
+    first, second = es(media.encode(one)), [p[:1] + bytes([p[1] & 0xE0 | 2]) + p[2:] for p in es(media.encode(two))]
+    mixed = [p for pair in itertools.zip_longest(first, second) for p in pair if p]
+    head = split(0, 0, 1, pat_body) + split(media.PMT_PID, 2, 1, pmt(media.ES_PID, 0)) + split(0x1100, 2, 2, pmt(0x0200 | media.ES_PID & 255, 300))
+    got = media.parse(b"".join(head + mixed))
+    assert [(n, [s[0] for s in listed]) for n, _, listed in got["programs"]] == [(1, [media.ES_PID]), (2, [0x0200 | media.ES_PID & 255])]
+    assert [d for _, d, _ in got["streams"]] == [one, two] and got["cc_errors"] == 0 and got["payload"] == one
+
+
 # ------------------------------------------------------------------ queries and pipeline
 
 
