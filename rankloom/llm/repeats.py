@@ -45,7 +45,7 @@ from rankloom.llm.shingles import mix
 from rankloom.llm.suffix_array import repeated_starts
 
 LEAST, ANCHOR = 400, 64
-CUTS, SHARD_BYTES, CHUNK = 1_024, 1 << 20, 1 << 17
+CUTS, SHARD_BYTES, CHUNK = 1_024, 1 << 18, 1 << 17
 BROADCAST_TEXTS = 1_000_000
 _rng = np.random.default_rng(97)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
