@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import Scratch, bound_batches, pick, table, unused
@@ -301,16 +301,6 @@ def long_enough(raw: bytes, spans, words: int) -> list:
     return [s for s in spans if not words or len(raw[s["a"] : s["b"]].split()) >= words]
 
 
-def _key_of(text: Column) -> Column:
-    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
-
-
-def _with_spans(docs: DataFrame, least: int, key: str, spans: str) -> DataFrame:
-    """``docs`` with a column ``spans``, null where no byte repeats."""
-    found = repeated_spans(docs, least).select(F.col("text_key").alias(key), F.col("spans").alias(spans))
-    return docs.withColumn(key, _key_of(F.col("text"))).join(found, key, "left")
-
-
 def cut_repeats(docs: DataFrame, least: int = LEAST, words: int = 0) -> DataFrame:
     """``docs`` without the repeated bytes of its column text (in spans of at least ``words`` words); all columns stay."""
     columns, key, spans = docs.columns, unused(docs, "_key"), unused(docs, "_spans")
@@ -325,7 +315,9 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, words: int = 0) -> DataFram
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    joined, has = _with_spans(docs, least, key, spans), F.col(spans).isNotNull()
+    found = repeated_spans(docs, least).select(F.col("text_key").alias(key), F.col("spans").alias(spans))
+    text_key = F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32))
+    joined, has = docs.withColumn(key, text_key).join(found, key, "left"), F.col(spans).isNotNull()
     # texts without spans do not travel to Python
     kept = F.when(has, cut(F.when(has, F.col("text")), F.col(spans))).otherwise(F.col("text"))
     return joined.withColumn("text", kept).select(*[F.col(f"`{c}`") for c in columns])
@@ -341,13 +333,16 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = [(None, None) if s is None else (hashlib.sha256(kept_bytes(bytes(r), s)).hexdigest(), kept_text(bytes(r), s)) for r, s in zip(raw, spans, strict=True)]
         return pd.DataFrame(rows, columns=["kept_sha256", "text"], dtype=object)
 
-    joined, has = _with_spans(docs, LEAST, "text_key", "spans"), F.col("spans").isNotNull()
-    rows = joined.select("doc_id", "text", "spans", raw.alias("raw"), cut(F.when(has, raw), F.col("spans")).alias("cut"))
+    # the digest of the whole text, made once, names it and is that of what is kept where nothing repeats
+    named = docs.withColumn("sha", F.sha2(raw, 256))
+    found = repeated_spans(docs).select("text_key", "spans")
+    joined, has = named.withColumn("text_key", F.unhex(F.substring("sha", 1, 32))).join(found, "text_key", "left"), F.col("spans").isNotNull()
+    rows = joined.select("doc_id", "text", "spans", "sha", cut(F.when(has, raw), F.col("spans")).alias("cut"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
     return rows.select(
-        "doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
         F.when(has, F.size("spans")).otherwise(0).cast("long").alias("n_spans"),
-        F.when(has, F.col("cut.kept_sha256")).otherwise(F.sha2("raw", 256)).alias("kept_sha256"),
+        F.when(has, F.col("cut.kept_sha256")).otherwise(F.col("sha")).alias("kept_sha256"),
         F.when(has, F.col("cut.text")).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
     )
 
