@@ -1,11 +1,14 @@
 """Minimum-cost-flow resharding: move the fewest bytes from an old layout to new row capacities.
 
-A layout is a folder of Parquet files for each shard; ``read_layout`` reads one,
-``reshard_layout`` solves the moves from the sizes it finds there and writes anew
-the folders of those shards that gain, lose or number rows.  Folders that nothing
-changes stay where they are, nothing is overwritten, and a shard that loses all
-its rows has no folder in the new layout, so a row is never in two shards and a
-lost job leaves the old layout whole.
+A layout is a folder of Parquet files for each shard; a row's slot is its place in
+the shard's files, one after the other.  ``read_layout`` reads one; ``reshard_layout``
+solves the moves from the sizes it finds there and writes anew the folders of those
+shards that gain or lose rows.  Folders that nothing changes stay where they are,
+nothing is overwritten, and a shard that loses all its rows has no folder in the
+new layout, so a row is never in two shards and a lost job leaves the old layout
+whole.  Texts are shuffled once, to the task that writes them: most rows know their
+shard from the group they are in, and only those of groups that a move divides are
+ranked.
 
 Law ``rows``: after the move, shards hold counts at most one apart.  Rows of an
 old shard are summed into blocks (old shard, power-of-two size class).  A
@@ -112,46 +115,60 @@ def solve_moves(blocks: list[tuple[int, int, int, int]], new_shards: int) -> lis
     return plan
 
 
-def _assign(rows: DataFrame, old: str, size: str, new_shards: int, tie: list, shard: str, slot: str) -> tuple[DataFrame, list[tuple]]:
-    """``rows`` with columns ``shard`` and ``slot`` in the new layout, and the plan; ``tie`` orders rows of like size."""
+class _Names(NamedTuple):
+    """Working columns that the rows do not have."""
+
+    size_class: str
+    step: str
+    sub: str
+    in_sub: str
+    before: str
+    moves: str
+    whole: str
+    move: str
+
+
+def _groups(rows: DataFrame, old: str, size: str, new_shards: int, tie: list) -> tuple[DataFrame, DataFrame, list, _Names]:
+    """``rows`` with the columns of their group, the moves of each group (a small table), and the plan."""
     spark = rows.sparkSession
-    made, names = rows, []
-    for name in ("size_class", "step", "sub", "in_sub", "before", "moves", "rank", "move"):
-        names.append(unused(made, f"_{name}"))
-        made = made.withColumn(names[-1], F.lit(None))
-    size_class, step, sub, in_sub, before, moves, rank, move = names
+    taken, names = rows, []
+    for name in _Names._fields:
+        names.append(unused(taken, f"_{name}"))
+        taken = taken.withColumn(names[-1], F.lit(None))
+    n = _Names(*names)
     as_double = F.col(size).cast("double")
     rows = (
-        rows.withColumn(size_class, F.floor(F.log2(as_double)).cast("int"))
+        rows.withColumn(n.size_class, F.floor(F.log2(as_double)).cast("int"))
         # large rows first: what leaves a block are its last ranks
-        .withColumn(step, F.floor((2 - as_double / F.pow(F.lit(2.0), F.col(size_class))) * STEPS).cast("int"))
-        .withColumn(sub, F.pmod(F.xxhash64(*tie, F.lit("part")), F.lit(SUB_BLOCKS)).cast("int"))
+        .withColumn(n.step, F.floor((2 - as_double / F.pow(F.lit(2.0), F.col(n.size_class))) * STEPS).cast("int"))
+        .withColumn(n.sub, F.pmod(F.xxhash64(*tie, F.lit("part")), F.lit(SUB_BLOCKS)).cast("int"))
     )
-    keys = [old, size_class, step, sub]
+    keys = [old, n.size_class, n.step, n.sub]
     # at most old shards x size classes x STEPS x SUB_BLOCKS rows, whatever the corpus
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(size).alias("b")).collect()
     blocks, offsets = {}, []
     for r in sorted(sums, key=lambda r: tuple(r[k] for k in keys)):
-        n, b = blocks.get((r[old], r[size_class]), (0, 0))
-        offsets.append((*[r[k] for k in keys], n))
-        blocks[r[old], r[size_class]] = (n + r.n, b + r.b)
+        done, b = blocks.get((r[old], r[n.size_class]), (0, 0))
+        offsets.append((*[r[k] for k in keys], done, done + r.n))
+        blocks[r[old], r[n.size_class]] = (done + r.n, b + r.b)
     plan = solve_moves([(*k, *v) for k, v in blocks.items()], new_shards)
     by_block: dict = {}
     for o, c, a, b, to, first in plan:
         by_block.setdefault((o, c), []).append((a, b, to, first))
-    sent = spark.createDataFrame(
-        [(*o, by_block[o[0], o[1]]) for o in offsets],
-        f"{old} int, {size_class} int, {step} int, {sub} int, {before} long, {moves} array<struct<a:long,b:long,shard:int,slot:long>>",
-    )
-    placed = (
-        rows.withColumn(in_sub, F.row_number().over(Window.partitionBy(*keys).orderBy(*tie)))
-        .join(F.broadcast(sent), keys)
-        .withColumn(rank, F.col(before) + F.col(in_sub) - 1)
-        .withColumn(move, F.filter(moves, lambda m: (m.a <= F.col(rank)) & (F.col(rank) < m.b))[0])
-        .withColumn(shard, F.col(move).shard)
-        .withColumn(slot, F.col(move).slot + F.col(rank) - F.col(move).a)
-    )
-    return placed.drop(*names), plan
+    sent = []
+    for o, c, step, sub, begin, end in offsets:
+        met = [m for m in by_block[o, c] if m[0] < end and m[1] > begin]
+        sent.append((o, c, step, sub, begin, met, met[0][2] if len(met) == 1 else None))
+    kinds = f"{old} int, {n.size_class} int, {n.step} int, {n.sub} int, {n.before} long, {n.moves} array<struct<a:long,b:long,shard:int,slot:long>>, {n.whole} int"
+    return rows, F.broadcast(spark.createDataFrame(sent, kinds)), plan, n
+
+
+def _ranked(joined: DataFrame, old: str, tie: list, n: _Names) -> tuple[DataFrame, Column, Column]:
+    """Rows joined with their group's moves, and their shard and slot by rank."""
+    in_group = Window.partitionBy(old, n.size_class, n.step, n.sub).orderBy(*tie)
+    rank = F.col(n.before) + F.col(n.in_sub) - 1
+    ranked = joined.withColumn(n.in_sub, F.row_number().over(in_group)).withColumn(n.move, F.filter(n.moves, lambda m: (m.a <= rank) & (rank < m.b))[0])
+    return ranked, F.col(n.move).shard, F.col(n.move).slot + rank - F.col(n.move).a
 
 
 def _size_of(text: Column) -> Column:
@@ -166,8 +183,10 @@ def reshard(docs: DataFrame, old_shard: Column, new_shards: int) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard, slot of every row; ``old_shard``: a column of ints >= 0."""
     text = F.col("text")
     rows = docs.select("doc_id", _size_of(text).alias("size"), _crc_of(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
-    placed, _ = _assign(rows, "old_shard", "size", new_shards, [F.col(c) for c in ("doc_id", "size", "text_crc32")], "shard", "slot")
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
+    tie = [F.col(c) for c in ("doc_id", "size", "text_crc32")]
+    rows, moves, _, n = _groups(rows, "old_shard", "size", new_shards, tie)
+    placed, shard, slot = _ranked(rows.join(moves, ["old_shard", n.size_class, n.step, n.sub]), "old_shard", tie, n)
+    return placed.select("doc_id", "size", "text_crc32", "old_shard", shard.alias("shard"), slot.alias("slot"))
 
 
 class Layout(NamedTuple):
@@ -193,34 +212,46 @@ def store_layout(docs: DataFrame, shard: Column, path: str) -> Layout:
 
 
 def read_layout(spark: SparkSession, layout: Layout) -> DataFrame:
-    """The rows of a layout with their shard in ``SHARD``."""
+    """The rows of a layout with their shard in ``SHARD`` and their place in it in ``SLOT``."""
     roots: dict[str, list[str]] = {}
     for folder in layout.folders.values():
         roots.setdefault(folder.rsplit("/", 1)[0], []).append(folder)
     schema = T.StructType([*layout.schema.fields, T.StructField(SHARD, T.IntegerType())])
+    if not roots:
+        return spark.createDataFrame([], schema).withColumn(SLOT, F.lit(None).cast("long"))
     read = [spark.read.schema(schema).option("basePath", root).parquet(*sorted(folders)) for root, folders in sorted(roots.items())]
-    return reduce(DataFrame.union, read) if read else spark.createDataFrame([], schema)
+    file, at = unused(read[0], "_file"), unused(read[0], "_at")
+    placed = reduce(DataFrame.union, [r.select(*r.columns, F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at)) for r in read])
+    # one number per file: where it begins in its shard
+    sizes = sorted((r[SHARD], r[file], r.n) for r in placed.groupBy(SHARD, file).agg(F.count("*").alias("n")).collect())
+    begins, last, done = [], None, 0
+    for shard, name, n in sizes:
+        done = done if shard == last else 0
+        begins.append((name, done))
+        last, done = shard, done + n
+    starts = spark.createDataFrame(begins, f"{file} string, {SLOT} long")
+    return placed.join(F.broadcast(starts), file).withColumn(SLOT, F.col(SLOT) + F.col(at)).drop(file, at)
 
 
 def reshard_layout(spark: SparkSession, layout: Layout, new_shards: int, path: str, keep_old: str | None = None) -> Layout:
     """The layout of ``new_shards`` shards; what changes is written under ``path``, a new folder.
 
-    A layout without slots gets them, so all its shards are written.  ``keep_old`` names a column for the old shard.
+    ``keep_old`` names a column to add for the old shard; then every shard is written.
     """
-    stored = read_layout(spark, layout)
-    numbered = SLOT in stored.columns
-    old, size, to, slot = (unused(stored, n) for n in ("_old", "_size", "_to", "_slot"))
-    tie = [F.xxhash64(*[F.col(f"`{c}`") for c in stored.columns if c not in (SHARD, SLOT)]), *[F.col(c) for c in ("doc_id", "text") if c in stored.columns]]
-    rows = stored.withColumnRenamed(SHARD, old).withColumn(size, _size_of(F.col("text")))
-    placed, plan = _assign(rows, old, size, new_shards, tie, to, slot)
-    moved = {s for o, _, _, _, j, _ in plan if o != j for s in (o, j)}
-    affected = moved if numbered and keep_old is None else set(layout.folders) | {p[4] for p in plan}
-    columns = [F.col(f"`{c}`") for c in stored.columns if c not in (SHARD, SLOT, keep_old)]
-    columns += [F.col(old).alias(keep_old)] if keep_old else []
-    new = placed.where(F.col(to).isin(sorted(affected))).select(*columns, F.col(slot).alias(SLOT), F.col(to).alias(SHARD))
+    stored = read_layout(spark, layout).drop(SLOT)
+    old = unused(stored, "_old")
+    rows = stored.withColumnRenamed(SHARD, old)
+    size = unused(rows, "_size")
+    tie = [F.xxhash64(*[F.col(f"`{c}`") for c in stored.columns if c != SHARD]), *[F.col(c) for c in ("doc_id", "text") if c in stored.columns]]
+    rows, moves, plan, n = _groups(rows.withColumn(size, _size_of(F.col("text"))), old, size, new_shards, tie)
+    affected = {s for o, _, _, _, j, _ in plan if o != j for s in (o, j)} if keep_old is None else set(layout.folders) | {p[4] for p in plan}
     if not affected:
         return layout
-    written = _write(new, path)
+    columns = [F.col(f"`{c}`") for c in stored.columns if c not in (SHARD, keep_old)] + ([F.col(old).alias(keep_old)] if keep_old else [])
+    joined = rows.join(moves, [old, n.size_class, n.step, n.sub])
+    divided, shard, _ = _ranked(joined.where(F.col(n.whole).isNull()), old, tie, n)
+    new = joined.where(F.col(n.whole).isNotNull()).select(*columns, F.col(n.whole).alias(SHARD)).union(divided.select(*columns, shard.alias(SHARD)))
+    written = _write(new.where(F.col(SHARD).isin(sorted(affected))), path)
     return Layout({j: f for j, f in layout.folders.items() if j not in affected} | written.folders, written.schema)
 
 
