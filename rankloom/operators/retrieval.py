@@ -1,18 +1,22 @@
 """Hybrid retrieval over query x corpus: BM25, TF-IDF cosine, dense dot, rank fusion, rerank cascade.
 
-Postings are pruned to the query vocabulary by a hash join before anything is
-shuffled; only document frequencies see the whole vocabulary, as one partial
-aggregate.  Ranks partition by query and order by a bucketed score, then doc_id,
+Documents are cut into postings once; every signal joins those with the query
+terms, and only document frequencies and norms see the whole vocabulary.  Ranks partition by query and order by a bucketed score, then doc_id,
 so that equal scores cannot rank by noise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import DEFAULT, Config
+from rankloom.functions.shared import keep
 from rankloom.functions.text import bucket, clamp, logit, tokens
+from rankloom.functions.text import ngrams as runs_of
 
 #: Query-side tables up to this many rows may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
@@ -27,38 +31,47 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame) -> DataFrame:
+    """doc_id, term, tf, dl: what every lexical signal reads; keep it (``shared.keep``) where several do."""
+    # tokens are a column of their own, so that a document is cut once and not once per exploded row
+    cut = docs.select("doc_id", tokens("text").alias("ts"))
+    of = cut.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    return of.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def corpus_stats(docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """One row: n documents and their mean length in tokens."""
-    return docs.select(F.size(tokens("text")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    if index is None:
+        return docs.select(F.size(tokens("text")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    total = index.agg(F.sum("tf").alias("total"))
+    return docs.agg(F.count("*").alias("n")).join(F.broadcast(total)).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
+def document_frequency(docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """term, df; terms are combined on the map side."""
+    if index is not None:
+        return index.groupBy("term").agg(F.count("*").alias("df"))
     return docs.select(F.explode(F.array_distinct(tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def idf_table(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def idf_table(docs: DataFrame, config: Config = DEFAULT, index: DataFrame | None = None) -> DataFrame:
     """term, df, idf; negative values become epsilon times the mean of all raw ones."""
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    table = document_frequency(docs).join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", raw.alias("raw"))
+    table = document_frequency(docs, index).join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", raw.alias("raw"))
     mean = table.agg(F.avg("raw").alias("mean"))
     return table.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, config.bm25_epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_hits(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """query_id, doc_id, score of documents with any query term."""
+def bm25_hits(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT, index: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score of documents with any query term; ``index``: kept postings of the documents."""
+    index = keep(postings(docs)) if index is None else index
     asked = query_terms(queries)
-    vocabulary = _small(asked.select("term").distinct())
-    # tokens are a column of their own, so that a document is cut once and not once per exploded row
-    cut = docs.select("doc_id", tokens("text").alias("ts"))
-    of = cut.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    postings = of.join(vocabulary, "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    weights = asked.join(idf_table(docs, config), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    weights = asked.join(idf_table(docs, config, index), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     k1, b = config.bm25_k1, config.bm25_b
     saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return (
-        postings.join(F.broadcast(corpus_stats(docs).select("avgdl")))
-        .join(_small(weights), "term")
+        index.join(_small(weights), "term")
+        .join(F.broadcast(corpus_stats(docs, index).select("avgdl")))
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("w") * saturated).alias("score"))
     )
@@ -69,37 +82,55 @@ def all_pairs(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return docs.select("doc_id").crossJoin(_small(queries.select("query_id")))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def _scored(docs: DataFrame, queries: DataFrame, hits: DataFrame) -> DataFrame:
+    return all_pairs(docs, queries).join(hits, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT, index: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score of every pair; 0 without a common term."""
-    return all_pairs(docs, queries).join(bm25_hits(docs, queries, config), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return _scored(docs, queries, bm25_hits(docs, queries, config, index))
+
 
+def _features(df: DataFrame, key: str, stop_words: list[str], min_length: int, ngrams: int, index: DataFrame | None) -> DataFrame:
+    """key, term, tf with the terms of up to ``ngrams`` words that are left without stop words and shorter words."""
+    if ngrams == 1:
+        of = df.select(key, F.explode(tokens("text")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")) if index is None else index
+        of = of.where(F.length("term") >= min_length)
+        return of.where(~F.col("term").isin(list(stop_words))) if stop_words else of
+    kept = df.select(key, F.filter(tokens("text"), lambda t: (F.length(t) >= min_length) & ~t.isin(list(stop_words) or [""])).alias("ws"))
+    runs = F.concat("ws", *[runs_of(F.col("ws"), k) for k in range(2, ngrams + 1)])
+    return kept.select(key, F.explode(runs).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
-def tfidf_hits(docs: DataFrame, queries: DataFrame, stop_words: list[str] = (), min_length: int = 2) -> DataFrame:
-    """query_id, doc_id, cosine with sublinear tf, smooth idf and L2 norms, fitted on the documents only."""
 
-    def counted(df: DataFrame, key: str) -> DataFrame:
-        of = df.select(key, F.explode(tokens("text")).alias("term")).where(F.length("term") >= min_length)
-        if stop_words:
-            of = of.where(~F.col("term").isin(list(stop_words)))
-        return of.groupBy(key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+def tfidf_hits(
+    docs: DataFrame, queries: DataFrame, stop_words: list[str] = (), min_length: int = 2, index: DataFrame | None = None, ngrams: int = 1, max_features: int | None = None, fit_queries: bool = False,
+) -> DataFrame:
+    """query_id, doc_id, cosine with sublinear tf, smooth idf and L2 norms.
 
+    Fitted on the documents, or with ``fit_queries`` on documents and queries together; of terms of up to ``ngrams`` words
+    the ``max_features`` most frequent ones take part (ties by name).
+    """
+    of_docs, of_queries = _features(docs, "doc_id", stop_words, min_length, ngrams, index), _features(queries, "query_id", stop_words, min_length, ngrams, None)
     n = docs.agg(F.count("*").alias("n"))
-    postings = counted(docs, "doc_id")
-    idf = (
-        postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))
-        .select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    )
-    weighted = postings.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    df = of_docs.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    if fit_queries:
+        n = n.join(F.broadcast(queries.agg(F.count("*").alias("m")))).select((F.col("n") + F.col("m")).alias("n"))
+        df = df.union(of_queries.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    if max_features is not None:  # a top-k by definition: ordered and limited per partition first
+        df = df.orderBy(F.desc("cf"), "term").limit(max_features)
+    idf = df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    sublinear = (1 + F.log("tf")) * F.col("idf")
+    weighted = of_docs.join(F.broadcast(idf) if max_features is not None and max_features <= BROADCAST_ROWS else idf, "term").select("doc_id", "term", sublinear.alias("w"))
     norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = counted(queries, "query_id").join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    asked = of_queries.join(idf, "term").select("query_id", "term", sublinear.alias("qw"))
     q_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
     dots = weighted.join(_small(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     return dots.join(norms, "doc_id").join(_small(q_norms), "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score"))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, stop_words: list[str] = ()) -> DataFrame:
-    """query_id, doc_id, cosine of every pair; 0 without a common term."""
-    return all_pairs(docs, queries).join(tfidf_hits(docs, queries, stop_words), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+def tfidf(docs: DataFrame, queries: DataFrame, stop_words: list[str] = (), **options) -> DataFrame:
+    """query_id, doc_id, cosine of every pair; 0 without a common term; options as of ``tfidf_hits``."""
+    return _scored(docs, queries, tfidf_hits(docs, queries, stop_words, **options))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -157,30 +188,67 @@ def rerank_cascade(fused: DataFrame, rerank: Column | None, config: Config = DEF
     return ranked(out, "probability", "final_rank")
 
 
-def query_coverage(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def query_coverage(docs: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, coverage: share of a query's distinct terms in the document, the offline reranker."""
     asked = query_terms(queries)
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    there = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    there = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term")) if index is None else index.select("doc_id", "term")
     hits = there.join(_small(asked.select("query_id", "term")), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("c"))
     return hits.join(_small(sizes), "query_id").select("query_id", "doc_id", (F.col("c") / F.col("n_terms")).alias("coverage"))
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, second: DataFrame | None = None, rerank: bool = True, config: Config = DEFAULT) -> DataFrame:
+def hybrid_search(docs: DataFrame, queries: DataFrame, second: DataFrame | None = None, rerank: bool = True, config: Config = DEFAULT, index: DataFrame | None = None) -> DataFrame:
     """All stages at once: BM25 and a second signal (TF-IDF unless given), fused, reranked, ranked.
 
-    Gives query_id, doc_id, bm25, second, rrf, rrf_rank, probability, logit, final_rank of every pair.
+    Gives query_id, doc_id, bm25, bm25_rank, second, second_rank, rrf, rrf_rank, probability, logit, final_rank of every
+    pair.  Documents are cut into postings once (``index``, else made and kept here); every signal reads those.
     """
-    lexical = bm25(docs, queries, config)
-    second = tfidf(docs, queries) if second is None else second
-    both = lexical.withColumnRenamed("score", "bm25").join(second.withColumnRenamed("score", "second"), ["query_id", "doc_id"])
+    index = keep(postings(docs)) if index is None else index
+    signals = bm25_hits(docs, queries, config, index).withColumnRenamed("score", "bm25")
+    if second is None:
+        signals = signals.join(tfidf_hits(docs, queries, index=index).withColumnRenamed("score", "second"), ["query_id", "doc_id"], "full")
+    else:
+        signals = signals.join(second.withColumnRenamed("score", "second"), ["query_id", "doc_id"], "full")
+    if rerank:
+        signals = signals.join(query_coverage(docs, queries, index), ["query_id", "doc_id"], "left")
+    # hits only are joined with each other; the pairs come in once, and a missing score is 0
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    both = all_pairs(docs, queries).join(signals, ["query_id", "doc_id"], "left").select("query_id", "doc_id", zero("bm25"), zero("second"), *([zero("coverage")] if rerank else []))
     # both ranks in one frame: two sorts of one partitioning by query, no self join
     with_ranks = ranked(ranked(both, "bm25", "bm25_rank"), "second", "second_rank")
     fused = with_ranks.withColumn("rrf", 1.0 / (config.rrf_k + F.col("bm25_rank")) + 1.0 / (config.rrf_k + F.col("second_rank")))
-    if rerank:
-        fused = fused.join(query_coverage(docs, queries), ["query_id", "doc_id"], "left")
-    found = rerank_cascade(fused, F.coalesce("coverage", F.lit(0.0)) if rerank else None, config)
-    return found.select("query_id", "doc_id", "bm25", "second", "rrf", "rrf_rank", "probability", "logit", "final_rank")
+    found = rerank_cascade(fused, F.col("coverage") if rerank else None, config)
+    return found.select("query_id", "doc_id", "bm25", "bm25_rank", "second", "second_rank", "rrf", "rrf_rank", *(["coverage"] if rerank else []), "probability", "logit", "final_rank")
+
+
+def rerank_head(fused: DataFrame, rerank: Column, most: int = 20) -> DataFrame:
+    """Adds head_rank to (query_id, doc_id, rrf_rank, ...): the first ``most`` in the order of ``rerank``, the rest as they were."""
+    inside = F.col("rrf_rank") <= most
+    order = Window.partitionBy("query_id").orderBy(F.desc(inside), F.desc(F.when(inside, F.floor(rerank * 1e6 + 0.5))), F.when(~inside, F.col("rrf_rank")), "doc_id")
+    return fused.withColumn("head_rank", F.row_number().over(order))
+
+
+#: Who gives the second signal: a vector service, a local encoder, or TF-IDF where there is neither.
+PROVIDERS = ("service", "local", "tfidf")
+
+
+def choose_provider(has_key: bool, has_local_model: bool) -> str:
+    return PROVIDERS[0] if has_key else PROVIDERS[1] if has_local_model else PROVIDERS[2]
+
+
+def encode(df: DataFrame, key: str, encoder: Callable[[list[str]], list], text_column: str = "text", most_chars: int = 6_000, batch: int = 50) -> DataFrame:
+    """key, vector: L2-normalised vectors of texts cut to ``most_chars``, ``encoder`` being called with at most ``batch`` texts."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for at in range(0, len(x), batch):
+                part = x.iloc[at : at + batch]
+                made = encoder([(t or "")[:most_chars] for t in part[text_column]])
+                yield pd.DataFrame({key: part[key].to_numpy(), "vector": [[float(v) for v in row] for row in made]})
+
+    found = df.select(key, text_column).mapInPandas(run, f"{key} {kind}, vector array<double>")
+    return found.withColumn("vector", normalized(F.col("vector")))
 
 
 def bucketed(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

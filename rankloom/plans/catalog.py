@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.functions.shared import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -28,8 +30,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and text, spread over the cores before anything is exploded."""
-    return load(spark, sf_dir, "documents").select("doc_id", "text").repartition(max(spark.sparkContext.defaultParallelism, 8), "doc_id")
+    """doc_id and text; only a table of fewer splits than cores is dealt over the cores, no larger one is shuffled."""
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

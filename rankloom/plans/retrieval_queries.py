@@ -107,10 +107,8 @@ def r02(spark, sf_dir):
 @query("r04_rrf", f"WITH {BM25}, {TFIDF}, {FUSED} SELECT query_id, doc_id, r1 AS bm25_rank, r2 AS second_rank, {SIX.format('rrf')} AS rrf FROM f")
 def r04(spark, sf_dir):
     docs, asked = documents(spark, sf_dir), benchmark_queries(spark, sf_dir)
-    both = retrieval.bm25(docs, asked).withColumnRenamed("score", "bm25").join(retrieval.tfidf(docs, asked).withColumnRenamed("score", "second"), ["query_id", "doc_id"])
-    found = retrieval.ranked(retrieval.ranked(both, "bm25", "bm25_rank"), "second", "second_rank")
-    rrf = 1.0 / (60 + F.col("bm25_rank")) + 1.0 / (60 + F.col("second_rank"))
-    return found.select("query_id", "doc_id", F.col("bm25_rank").cast("long"), F.col("second_rank").cast("long"), bucket(rrf).alias("rrf"))
+    found = retrieval.hybrid_search(docs, asked, rerank=False)
+    return found.select("query_id", "doc_id", F.col("bm25_rank").cast("long"), F.col("second_rank").cast("long"), bucket(F.col("rrf")).alias("rrf"))
 
 
 @query(
@@ -171,7 +169,6 @@ def r12(spark, sf_dir):
     """The ladder of rankers, one metric aggregate over their union."""
     docs, asked = documents(spark, sf_dir), benchmark_queries(spark, sf_dir)
     found = retrieval.hybrid_search(docs, asked)
-    found = retrieval.ranked(retrieval.ranked(found, "bm25", "bm25_rank"), "second", "second_rank")
     ladder = [(1, "tfidf", "second_rank"), (2, "bm25", "bm25_rank"), (3, "rrf", "rrf_rank"), (4, "cascade", "final_rank")]
     # one pass over the pairs: an array of the ranks instead of a union of four plans
     ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(n).alias("approach"), F.col(c).cast("long").alias("rank")) for i, n, c in ladder]))
