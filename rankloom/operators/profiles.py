@@ -8,8 +8,27 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import text, tolerant_int
 
 LEVELS, IMPORTANCE = ["BUILT_WITH", "USED", "LISTED"], ["core", "nice"]
-SENIORITY = {"jr": "junior", "junior": "junior", "entry": "junior", "intern": "junior", "mid": "mid", "intermediate": "mid", "sr": "senior", "senior": "senior", "staff": "staff", "principal": "staff", "lead": "lead", "manager": "lead", "director": "executive", "vp": "executive", "executive": "executive"}
-DOMAINS = {"finance": "fintech", "fintech": "fintech", "payments": "fintech", "banking": "fintech", "saas": "enterprise_saas", "enterprise": "enterprise_saas", "b2b": "enterprise_saas", "ai": "ai_ml", "ml": "ai_ml", "health": "healthcare", "healthcare": "healthcare", "devops": "platform_devops", "platform": "platform_devops", "infrastructure": "platform_devops", "retail": "ecommerce", "ecommerce": "ecommerce"}
+# Names of levels.
+SENIORITY = {
+    "junior": "junior", "jr": "junior", "entry": "junior",
+    "mid": "mid", "mid-level": "mid", "middle": "mid",
+    "senior": "senior", "sr": "senior",
+    "staff": "staff", "principal": "staff",
+    "lead": "lead", "tech lead": "lead",
+    "executive": "executive", "director": "executive", "vp": "executive",
+}
+# Names of domains; functions of people are no domain.
+DOMAINS = {
+    "fintech": "fintech", "payments": "fintech", "banking": "fintech", "financial": "fintech", "financial services": "fintech",
+    "fintech/payments": "fintech", "fintech payments": "fintech",
+    "enterprise_saas": "enterprise_saas", "enterprise": "enterprise_saas", "saas": "enterprise_saas", "b2b": "enterprise_saas",
+    "ai_ml": "ai_ml", "ai": "ai_ml", "machine learning": "ai_ml", "ml": "ai_ml", "nlp": "ai_ml",
+    "healthcare": "healthcare", "medical": "healthcare",
+    "platform_devops": "platform_devops", "platform": "platform_devops", "devops": "platform_devops", "infrastructure": "platform_devops",
+    "ecommerce": "ecommerce", "marketplace": "ecommerce", "retail": "ecommerce",
+    "backend development": "other", "backend": "other", "frontend development": "other", "frontend": "other", "fullstack": "other",
+    "full stack": "other", "software engineering": "other", "product development": "other", "engineering": "other",
+}
 
 QUERY_PROFILE = "struct<required_skills:array<struct<name:string,importance:string>>,years_required:string,domain:string,seniority:string,hard_constraints:array<string>>"
 DOC_PROFILE = "struct<skills:array<struct<name:string,level:string,evidence:string>>,total_years:string,domains:array<string>,seniority_signals:struct<leadership:string,architecture:string,scale:string,ownership:string>,highlights:array<string>>"

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import text
+from rankloom.functions.text import ngrams, text
 
 #: surface | canonical | group | importance | adjacent canonicals | parents
 SEED = """
@@ -75,8 +75,11 @@ def skill_graph(spark: SparkSession, rows: str = SEED) -> Graph:
 
 
 def extract_skills(docs: DataFrame, graph: Graph) -> DataFrame:
-    """doc_id, canonical: surface forms found at word boundaries; single-word surfaces by an equi-join on tokens."""
-    of = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text("text")), F.lit(r"[a-z0-9_+#./-]*[a-z0-9_+#]"), F.lit(0)))).alias("surface"))
+    """doc_id, canonical: surface forms found at word boundaries, those of several words too, by an equi-join on runs of tokens."""
+    most = max((len(x.split()) for x in graph.surfaces), default=1)
+    cut = docs.select("doc_id", F.regexp_extract_all(F.lower(text("text")), F.lit(r"[a-z0-9_+#./-]*[a-z0-9_+#]"), F.lit(0)).alias("_ts"))
+    runs = F.concat("_ts", *[ngrams(F.col("_ts"), k) for k in range(2, most + 1)]) if most > 1 else F.col("_ts")
+    of = cut.select("doc_id", F.explode(F.array_distinct(runs)).alias("surface"))
     return of.join(F.broadcast(graph.skill.select("surface", "canonical")), "surface").select("doc_id", "canonical").distinct()
 
 
@@ -146,18 +149,56 @@ def overlap(wanted: DataFrame, owned: DataFrame, graph: Graph) -> DataFrame:
     )
 
 
+# Further names of skills; they go before what the graph says.
+ALIASES = {
+    "node.js": "node", "nodejs": "node",
+    "rest api": "rest_api", "rest apis": "rest_api", "restful": "rest_api", "restful api": "rest_api",
+    "sql": "sql", "nosql": "mongodb",
+    "event-driven": "event_driven", "event driven": "event_driven",
+    "microservice": "microservices", "micro-services": "microservices", "distributed systems": "distributed_systems",
+    "ci cd": "ci_cd", "cicd": "ci_cd", "continuous integration": "ci_cd",
+    "machine learning": "machine_learning", "deep learning": "deep_learning",
+    "data pipeline": "data_pipeline", "data pipelines": "data_pipeline",
+    "scikit-learn": "scikit_learn", "scikit learn": "scikit_learn",
+}
+# Separators of compound names, the first that occurs is the one that counts.
+SEPARATORS = ("/", ",", " and ", " or ")
+
+
+def canonical_map(rows: str = SEED) -> dict[str, str]:
+    """Names of a graph's lines: surfaces own their canonical, neighbours without a line of their own go to the first that names them."""
+    parsed = [x.split("|") for x in rows.strip().splitlines()]
+    found = {}
+    for surface, name, _, _, near, _ in parsed:
+        found[surface] = name
+        for other in near.split(","):
+            if other and other not in found:
+                found[other] = name
+    return found | {surface: name for surface, name, *_ in parsed} | ALIASES
+
+
 def canonical(name: Column, alias: dict[str, str], keys: dict[str, str], min_key: int = 1) -> Column:
-    """Alias, exact key, first hit of a compound's parts, longest key contained either way, else the name itself; '' below two characters."""
-    n = F.trim(F.lower(text(name)))
+    """Alias, exact key, first known part of a compound, longest key contained either way, else the name itself; '' below two characters.
 
-    def lookup(x: Column) -> Column:
-        table = F.create_map(*[F.lit(v) for kv in (keys | alias).items() for v in kv])
-        return F.get(F.filter(F.array(F.try_element_at(table, x)), lambda v: v.isNotNull()), F.lit(0))
-
-    parts = F.split(n, r"\s*(?:/|,|\||&)\s*")
-    in_parts = F.get(F.filter(F.transform(parts, lookup), lambda v: v.isNotNull()), F.lit(0))
-    longest = None
-    for key in sorted((k for k in keys if len(k) >= min_key), key=lambda k: (-len(k), k)):
-        hit = n.contains(key) | F.lit(key).contains(n)
-        longest = F.when(hit, keys[key]) if longest is None else longest.when(hit, keys[key])
-    return F.when(F.length(n) < 2, "").otherwise(F.coalesce(lookup(n), in_parts, longest, n))
+    The first part of a compound without any known part is looked up in turn.  Of keys of one length the first counts.
+    """
+    table = F.create_map(*[F.lit(v) for kv in (keys | alias).items() for v in kv]) if keys or alias else None
+    lookup = lambda x: F.try_element_at(table, x) if table is not None else F.lit(None).cast("string")
+    ordered = sorted((k for k in keys if len(k) >= min_key), key=lambda k: -len(k))
+    longest = F.array(*[F.lit(k) for k in ordered]) if ordered else F.array().cast("array<string>")
+
+    def alone(x: Column) -> Column:
+        near = lookup(F.get(F.filter(longest, lambda k: x.contains(k) | k.contains(x)), F.lit(0)))
+        return F.when(F.length(x) < 2, "").otherwise(F.coalesce(lookup(x), near, x))
+
+    def resolve(x: Column, separators: tuple[str, ...]) -> Column:
+        if not separators:
+            return alone(x)
+        parts = F.filter(F.transform(F.split(x, separators[0]), lambda p: F.trim(p)), lambda p: p != "")
+        known = F.get(F.filter(F.transform(parts, lookup), lambda v: v.isNotNull()), F.lit(0))
+        first = F.get(parts, F.lit(0))
+        inside = F.coalesce(known, F.nullif(resolve(first, separators[1:]), F.lit("")), first, x)
+        return F.when(x.contains(separators[0]), inside).otherwise(resolve(x, separators[1:]))
+
+    n = F.trim(F.lower(text(name)))
+    return F.when(F.length(n) < 2, "").otherwise(F.coalesce(lookup(n), resolve(n, SEPARATORS)))

@@ -215,7 +215,11 @@ def f20(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", parse_json_column(F.col("props"), "k int").k.alias("k"))
 
 
-@query("a19_corpus_hash")
+@query(
+    "a19_corpus_hash",
+    """WITH h AS (SELECT sha256(doc_id::VARCHAR || ':' || coalesce(text, '')) AS h FROM documents), p AS (SELECT ('0x' || substr(h, 1, 12))::BIGINT AS a, ('0x' || substr(h, 13, 12))::BIGINT AS b FROM h)
+SELECT substr(sha256(concat_ws(':', count(*), bit_xor(a), sum(b)::HUGEINT)), 1, 16) AS corpus_hash, count(*) AS n FROM p""",
+)
 def a19(spark, sf_dir):
     """One row, independent of order and partitioning."""
     return sinks.corpus_hash(load(spark, sf_dir, "documents"))

@@ -83,7 +83,8 @@ SELECT doc_id, CASE WHEN len(list_filter(h, lambda x: {_any(dims.BUILD)})) > 0 T
 )
 def s10(spark, sf_dir):
     terms = F.array(*[F.lit(t) for t in ("platform", "users", "kafka", "team")])
-    return cv(spark, sf_dir).select("doc_id", dims.skill_evidence(terms, F.col("text")).level.alias("level"))
+    cut = cv(spark, sf_dir).select("doc_id", dims.evidence_sentences(F.col("text")).alias("ss"))
+    return cut.select("doc_id", dims.skill_evidence(F.array(terms), F.col("ss"))[0].level.alias("level"))
 
 
 @query(

@@ -146,9 +146,34 @@ def d08(spark, sf_dir):
     return planted(spark, sf_dir).select("doc_id", sanitize.off_kind(F.col("text")).alias("score"))
 
 
-@query("d09_sanitize")
+def _without_sql(c: str) -> str:
+    out = f"regexp_replace({c}, '(?s)<!--.*?-->', '', 'g')"
+    for p, _ in sanitize.INJECTIONS:
+        out = f"regexp_replace({out}, '{_quoted(p)}', ' ', 'g')"
+    return out
+
+
+SPAN = "'(20[0-9]{2})\\s*[-–—to]+\\s*(20[0-9]{2}|present|current|now)'"
+
+
+@query(
+    "d09_sanitize",
+    f"""WITH p0 AS (SELECT doc_id, {PLANTED} AS t FROM documents), p1 AS (SELECT doc_id, len(regexp_extract_all(t, '{sanitize.INVISIBLE}')) AS inv, regexp_replace(t, '{sanitize.INVISIBLE}', '', 'g') AS t FROM p0),
+p2 AS (SELECT doc_id, inv, length(t) - length(regexp_replace(t, '[аеорсухі]', '', 'g')) AS homo, translate(t, 'аеорсухі', 'aeopcyxi') AS t FROM p1),
+p3 AS (SELECT doc_id, inv, homo, {COUNTED} AS tries, {WORST} AS inj, {_without_sql('t')} AS t FROM p2),
+p4 AS (SELECT *, len({WORDS}) AS n, {_hits(KEYS)} AS f, {_hits(sanitize.VERBS)} AS v, len({CERTS}) AS c, len(regexp_extract_all(t, '{sanitize.MARKERS}')) AS h,
+  coalesce(list_max(list_transform(regexp_extract_all(lower(t), '([0-9]+)\\+?\\s*years?\\s*(?:of\\s*)?(?:experience|exp)', 1), lambda y: try_cast(y AS INT))), 0) AS claim,
+  regexp_extract_all(lower(t), {SPAN}, 1) AS b, regexp_extract_all(lower(t), {SPAN}, 2) AS e FROM p3),
+p5 AS (SELECT *, claim - coalesce(list_max(list_transform(e, lambda y: CASE WHEN y IN ('present', 'current', 'now') THEN 2026 ELSE try_cast(y AS INT) END)) - list_min(list_transform(b, lambda y: y::INT)), 0) AS beyond FROM p4),
+p6 AS (SELECT *, CASE WHEN n >= 20 AND f / n > 0.08 AND f / greatest(v, 1) > 5 THEN least(0.9, f / n * 5) ELSE 0 END AS stuff, CASE WHEN len(b) > 0 AND claim > 0 AND beyond > 2 THEN least(0.7, beyond * 0.15) ELSE 0 END AS infl,
+  CASE WHEN c > 7 THEN least(0.6, (c - 7) * 0.1) ELSE 0 END AS cred, CASE WHEN n < 30 THEN 0.0 WHEN h < 3 THEN 0.6 WHEN h < 5 THEN 0.25 ELSE 0.0 END AS off FROM p5),
+p7 AS (SELECT *, least(0.95, 1 - (1.0 - inj) * (1.0 - CASE WHEN inv > 10 THEN 0.15 ELSE 0 END) * (1.0 - CASE WHEN homo > 5 THEN 0.1 ELSE 0 END) * (1.0 - CASE WHEN stuff > 0.4 THEN stuff * 0.4 ELSE 0 END) * (1.0 - infl * 0.3) * (1.0 - cred * 0.2) * (1.0 - off * 0.5)) AS penalty FROM p6)
+SELECT doc_id, CASE WHEN penalty >= 0.6 THEN 'CRITICAL' WHEN penalty >= 0.35 THEN 'HIGH' WHEN penalty >= 0.15 THEN 'MEDIUM' WHEN penalty >= 0.05 THEN 'LOW' ELSE 'NONE' END AS threat_level, floor(penalty * 1e6 + 0.5) / 1e6 AS total_penalty,
+penalty < 0.15 AS is_clean, ((inv > 0)::INT + (homo > 5)::INT + (tries > 0)::INT + (stuff > 0.4)::INT + (infl > 0)::INT + (cred > 0)::INT + (off > 0)::INT)::INT AS n_flags,
+length(trim(regexp_replace(t, '\\s+', ' ', 'g')))::INT AS n_clean FROM p7""",
+)
 def d09(spark, sf_dir):
-    """All detectors in one scan; nested, so the parts are compared by the queries above."""
+    """All detectors in one scan (D9s, A4, PF7)."""
     found = sanitize.sanitize(planted(spark, sf_dir), KEYS)
     return found.select("doc_id", "threat.threat_level", bucket(F.col("threat.total_penalty")).alias("total_penalty"), "threat.is_clean", F.size("threat.flags").alias("n_flags"), F.length("clean_text").alias("n_clean"))
 
@@ -208,7 +233,7 @@ def j12(spark, sf_dir):
 
 @query("n01_canonical_domain", "SELECT source, lang, CASE lang WHEN 'en' THEN 'fintech' WHEN 'de' THEN 'healthcare' ELSE 'other' END AS domain, count(*) AS n FROM documents GROUP BY ALL")
 def n01(spark, sf_dir):
-    named = F.when(F.col("lang") == "en", " Finance").when(F.col("lang") == "de", "HEALTH ").otherwise("x")
+    named = F.when(F.col("lang") == "en", " Banking").when(F.col("lang") == "de", "MEDICAL ").otherwise("x")
     return load(spark, sf_dir, "documents").groupBy("source", "lang", profiles.canonical_domain(named).alias("domain")).agg(F.count("*").alias("n"))
 
 
@@ -352,17 +377,58 @@ UNION_DOMAINS = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, '{n}' AS d, {_stre
     "s12_domain_fit",
     f"""WITH p AS (SELECT doc_id, lower({CV}) AS t FROM documents), u AS ({UNION_DOMAINS}), k AS (SELECT * FROM u WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i) <= 2),
 a AS (SELECT doc_id, list(d) AS d FROM k GROUP BY doc_id)
-SELECT doc_id, CASE WHEN d IS NULL THEN 0.3 WHEN list_contains(d, 'fintech') THEN 0.7 WHEN list_contains(d, 'enterprise_saas') OR list_contains(d, 'ecommerce') THEN 0.55 ELSE 0.25 END::DOUBLE AS d3 FROM documents LEFT JOIN a USING (doc_id)""",
+SELECT doc_id, CASE WHEN d IS NULL THEN 0.3 WHEN list_contains(d, 'fintech') THEN 0.7 WHEN list_contains(d, 'enterprise_saas') OR list_contains(d, 'platform_devops') OR list_contains(d, 'ai_ml') THEN 0.55 ELSE 0.25 END::DOUBLE AS d3 FROM documents LEFT JOIN a USING (doc_id)""",
 )
 def s12(spark, sf_dir):
     return cv(spark, sf_dir).select("doc_id", bucket(dims.domain_fit(F.lit("payment and banking"), F.lower("text")), 4).alias("d3"))
 
 
-@query("s14_deterministic")
+REQUIRED = ["python and kafka in production", "led a team of engineers"]
+ASKED = "- python and kafka in production\n- led a team of engineers\n5+ years of experience, aws, payment"
+#: The terms of the two requirements, written out.
+REQUIRED_TERMS = [
+    ["python and kafka in production", "python", "and", "kafka", "production", "django", "flask", "fastapi", "event-driven", "message queue", "rabbitmq"],
+    ["led a team of engineers", "led", "team", "engineers"],
+]
+
+
+def _raw_signal_sql(name: str) -> str:
+    hits = [f"CASE WHEN regexp_matches(t, '{p}') THEN {w} ELSE 0 END" for p, w in dims.RAW_SIGNALS[name]]
+    if name == "leadership":
+        hits.append("coalesce(least(1.0, try_cast(regexp_extract(t, '([0-9]+)[\\s-]*(engineer|person|member|people)\\s*(team|group)', 1) AS INT) / 6), 0)")
+    return f"greatest(0, {', '.join(hits)})"
+
+
+def _any_sql(c: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{t}')" for t in terms) + ")"
+
+
+def _evidence_sql(terms: list[str]) -> str:
+    hit = f"list_filter(ss, lambda s: {_any_sql('lower(s)', terms)})"
+    verb = lambda verbs: f"len(list_filter({hit}, lambda s: {_any_sql('lower(s)', verbs)})) > 0"
+    return f"CASE WHEN {verb(dims.BUILD)} THEN 1.0 WHEN {verb(dims.USE)} THEN 0.7 WHEN len({hit}) > 0 THEN 0.3 ELSE 0.0 END"
+
+
+@query(
+    "s14_deterministic",
+    f"""WITH p AS (SELECT doc_id, {CV} AS c, lower({CV}) AS t FROM documents),
+u AS ({UNION_DOMAINS}), k AS (SELECT * FROM u WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i) <= 2), a AS (SELECT doc_id, list(d) AS d FROM k GROUP BY doc_id),
+q AS (SELECT doc_id, t, list_filter(list_transform(regexp_split_to_array(c, '[.\n•]+'), lambda s: trim(s, chr(32) || chr(9) || chr(13) || chr(10))), lambda s: length(s) >= 10) AS ss,
+  regexp_extract_all(t, '(20[0-9]{{2}})\\s*[-–—]+\\s*(20[0-9]{{2}}|present|current|now)', 1) AS b, regexp_extract_all(t, '(20[0-9]{{2}})\\s*[-–—]+\\s*(20[0-9]{{2}}|present|current|now)', 2) AS e,
+  {", ".join(f"{_raw_signal_sql(n)} AS {n}" for n in dims.RAW_SIGNALS)} FROM p),
+r AS (SELECT *, coalesce(list_max(list_transform(e, lambda y: CASE WHEN y IN ('present', 'current', 'now') THEN 2026 ELSE try_cast(y AS INT) END)) - list_min(list_transform(b, lambda y: y::INT)), 0) AS span,
+  {_evidence_sql(REQUIRED_TERMS[0])} AS one, {_evidence_sql(REQUIRED_TERMS[1])} AS two FROM q),
+v AS (SELECT *, CASE WHEN span > 0 THEN CASE WHEN span >= 5 THEN 1.0 WHEN span >= 4 THEN 0.8 WHEN span >= 3 THEN 0.5 ELSE 0.2 END ELSE 0.3 END AS years,
+  CASE WHEN span >= 5 THEN 1.0 WHEN span >= 4 THEN 0.5 ELSE 0.0 END + contains(t, 'python')::INT + {_any_sql('t', ['aws', 'ec2', 's3', 'lambda', 'ecs'])}::INT + {_any_sql('t', ['kafka', 'kinesis', 'event-driven', 'message queue'])}::INT AS checks FROM r)
+SELECT doc_id, floor((one + two) / 2 * 1e4 + 0.5) / 1e4 AS d1, floor((0.25 * leadership + 0.25 * architecture + 0.2 * scale + 0.15 * ownership + 0.15 * years) * 1e4 + 0.5) / 1e4 AS d2,
+CASE WHEN d IS NULL THEN 0.3 WHEN list_contains(d, 'fintech') THEN 0.7 WHEN list_contains(d, 'enterprise_saas') OR list_contains(d, 'platform_devops') OR list_contains(d, 'ai_ml') THEN 0.55 ELSE 0.25 END::DOUBLE AS d3,
+floor(checks / 4 * 1e4 + 0.5) / 1e4 AS d4,
+CASE WHEN (one = 1)::INT + (two = 1)::INT >= 1 AND one > 0 AND two > 0 THEN 'HIGH' WHEN one = 0 OR two = 0 THEN 'LOW' ELSE 'MEDIUM' END AS confidence FROM v LEFT JOIN a USING (doc_id)""",
+)
 def s14(spark, sf_dir):
-    """All dimensions from texts alone; its parts are compared above, the whole in tests."""
-    asked = "- python and kafka in production\n- led a team of engineers\n5+ years of experience, aws, payment"
-    found = dims.deterministic_scores(cv(spark, sf_dir).withColumn("query_text", F.lit(asked)))
+    """All dimensions from texts alone."""
+    asked = dims.with_terms(spark.createDataFrame([(1, ASKED)], "query_id int, query_text string"))
+    found = dims.deterministic_scores(cv(spark, sf_dir).crossJoin(F.broadcast(asked)))  # one query
     return found.select("doc_id", *[bucket(F.col(f"d{i}"), 4).alias(f"d{i}") for i in (1, 2, 3, 4)], "confidence")
 
 

@@ -28,13 +28,27 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def corpus_hash(docs: DataFrame) -> DataFrame:
-    """One row: a hash of all (id, text), independent of row order and partitioning, by a partial aggregate."""
-    row = F.xxhash64("doc_id", "text")
-    return docs.agg(F.count("*").alias("n"), F.bit_xor(row).alias("x"), F.sum(F.pmod(row, F.lit(1 << 31))).alias("s")).select(
+    """One row: a hash of all (id, text), independent of row order and partitioning, by a partial aggregate.
+
+    Every row's sha-256 gives two numbers of 48 bits; their exclusive or, their sum and the count are hashed again.
+    """
+    row = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
+    parts = docs.select(*[F.conv(F.substring(row, at, 12), 16, 10).cast("long").alias(name) for at, name in ((1, "a"), (13, "b"))])
+    return parts.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor("a"), F.lit(0)).alias("x"), F.coalesce(F.sum(F.col("b").cast("decimal(28,0)")), F.lit(0)).alias("s")).select(
         F.substring(F.sha2(F.concat_ws(":", "n", "x", "s"), 256), 1, 16).alias("corpus_hash"), "n"
     )
 
 
+def corpus_hash_exact(docs: DataFrame) -> str:
+    """sha-256 of all ids and texts in the order of the ids, 16 digits, for corpora that one machine may read row by row."""
+    import hashlib
+
+    digest = hashlib.sha256()
+    for r in docs.select("doc_id", "text").orderBy("doc_id").toLocalIterator():
+        digest.update(f"{r.doc_id}:{r.text or ''}\n".encode())
+    return digest.hexdigest()[:16]
+
+
 def build_index(docs: DataFrame, path: str, model: str, config_hash: str) -> None:
     """Postings and one meta row, keyed by the raw corpus and the configuration."""
     cut = docs.select("doc_id", tokens("text").alias("ts"))
