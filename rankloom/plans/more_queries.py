@@ -65,9 +65,13 @@ def pf6(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", profiles.is_verbatim(said, F.col("text")).alias("is_verbatim"))
 
 
-@query("s07_profile_domain", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.2 END::DOUBLE AS d3 FROM documents")
+@query(
+    "s07_profile_domain",
+    "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.6 WHEN 3 THEN 0.2 WHEN 4 THEN 0.6 WHEN 5 THEN 0.2 ELSE 0.2 END::DOUBLE AS d3 FROM documents",
+)
 def s07(spark, sf_dir):
-    owned = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("fintech"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("ecommerce"))).otherwise(F.array(F.lit("healthcare")))
+    names = ["fintech", "enterprise_saas", "ai_ml", "healthcare", "platform_devops", "ecommerce", "other"]
+    owned = F.array(F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 7 + 1).cast("int")))
     return load(spark, sf_dir, "documents").select("doc_id", dims.profile_domain_fit(F.lit("fintech"), owned).alias("d3"))
 
 

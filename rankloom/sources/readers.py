@@ -13,6 +13,7 @@ import io
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -76,18 +77,36 @@ def squeeze(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
-def members(files: DataFrame, most_bytes: int = 50_000_000) -> DataFrame:
-    """path, content of the members of zip files (path ends in archive!member); larger members are refused, not cut."""
+def members(files: DataFrame, most_bytes: int | None = 50_000_000) -> DataFrame:
+    """path, content, reason of the members of zip files (path ends in archive!member).
+
+    Members over ``most_bytes`` (None: no bound) and archives that cannot be read give a row without content and with a
+    reason; nothing is left out or cut.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = lambda path, content, reason: pd.DataFrame({"path": [path], "content": [content], "reason": [reason]}, dtype=object)
         for x in batches:
             for path, content in zip(x["path"], x["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in z.infolist():
-                        if not m.is_dir() and m.file_size <= most_bytes:
-                            yield pd.DataFrame({"path": [f"{path}!{m.filename}"], "content": [z.read(m)]})
-
-    return files.select("path", "content").mapInPandas(run, "path string, content binary")
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                except (zipfile.BadZipFile, TypeError) as e:
+                    yield row(path, None, f"{type(e).__name__}: {e}")
+                    continue
+                for m in archive.infolist():
+                    name = f"{path}!{m.filename}"
+                    if m.is_dir():
+                        continue
+                    if most_bytes is not None and m.file_size > most_bytes:
+                        yield row(name, None, f"member of {m.file_size} bytes, more than {most_bytes}")
+                        continue
+                    try:
+                        body, reason = archive.read(m), None
+                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error) as e:  # damaged, locked, or packed in another way
+                        body, reason = None, f"{type(e).__name__}: {e}"
+                    yield row(name, body, reason)
+
+    return files.select("path", "content").mapInPandas(run, "path string, content binary, reason string")
 
 
 def docx_text(content: bytes) -> str:
@@ -100,6 +119,61 @@ def docx_text(content: bytes) -> str:
     return "\n".join(x for x in lines if x.strip())
 
 
+def odt_text(content: bytes) -> str:
+    """Headings and paragraphs of an open document."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        xml = z.read("content.xml").decode("utf-8")
+    import html
+
+    blocks = re.findall(r"<text:(?:p|h)(?: [^>]*)?(?<!/)>(.*?)</text:(?:p|h)>", xml, re.S)
+    lines = [html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<text:(?:s|tab|line-break)\b[^>]*/>", " ", b))) for b in blocks]
+    return "\n".join(x for x in lines if x.strip())
+
+
+#: One step through rich text: a brace, an escaped byte, a control word with its number, another control sign, or plain text.
+_RTF = re.compile(r"(?P<brace>[{}])|\\'(?P<byte>[0-9a-fA-F]{2})|\\(?P<word>[a-zA-Z]+)(?P<number>-?\d+)? ?|\\(?P<sign>[^a-zA-Z])|(?P<plain>[^{}\\]+)")
+#: Groups that hold no text of the document, and control words that stand for characters.
+_RTF_ASIDE = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer", "generator", "listtable", "listoverridetable", "themedata", "object"}
+_RTF_CHARS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "row": "\n", "tab": "\t", "cell": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
+
+
+def rtf_text(content: bytes) -> str:
+    """The text of a rich-text file; its bytes are read as the western code page that they default to."""
+    out, aside, stack, skip, width = [], False, [], 0, 1
+    for m in _RTF.finditer(content.decode("cp1252", "replace")):
+        kind, said = m.lastgroup, m.group()
+        if m["brace"]:
+            if said == "{":
+                stack.append((aside, width))
+            elif stack:
+                aside, width = stack.pop()
+            skip = 0
+            continue
+        word = m["word"]
+        if m["sign"] == "*" or word in _RTF_ASIDE:
+            aside = True
+        elif word == "uc":
+            width = int(m["number"] or 1)
+        elif aside or word and word != "u" and word not in _RTF_CHARS:
+            pass
+        elif word == "u":
+            out.append(chr(int(m["number"] or 0) % 65_536))
+            skip = width  # so many characters follow for readers without Unicode
+        elif word:
+            out.append(_RTF_CHARS[word])
+        elif kind == "byte" or kind == "sign":
+            if skip:
+                skip -= 1
+            else:
+                out.append(bytes([int(m["byte"], 16)]).decode("cp1252", "replace") if m["byte"] else {"~": "\u00a0", "_": "-", "\n": "\n"}.get(said[1], said[1] if said[1] in "{}\\" else ""))
+        else:
+            plain = re.sub(r"[\r\n]", "", said)
+            out.append(plain[skip:])
+            skip = max(0, skip - len(plain))
+    text = "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
+
+
 def _plugged(df: DataFrame, plugins: dict[str, Callable[[bytes], str]]) -> DataFrame:
     """Adds plugged text and a reason for formats without an expression."""
 
@@ -121,20 +195,26 @@ def _plugged(df: DataFrame, plugins: dict[str, Callable[[bytes], str]]) -> DataF
 def extract_text(files: DataFrame, plugins: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """path, format, text, reason for binary files (path, content)."""
     found = files.select("path", "content").withColumn("format", sniff(F.col("content"), F.col("path")))
-    plain = ["text", "latex", "html", "rtf"]
+    plain = ["text", "latex", "html"]
     raw = F.make_valid_utf8(F.col("content").cast("string"))  # what is no UTF-8 is replaced
     own = found.where(F.col("format").isin(plain)).select(
         "path", "format", squeeze(F.when(F.col("format") == "latex", strip_latex(raw)).when(F.col("format") == "html", strip_html(raw)).otherwise(raw)).alias("text"), F.lit(None).cast("string").alias("reason"),
     )
-    return own.union(_plugged(found.where(~F.col("format").isin(plain)), {"docx": docx_text} | (plugins or {})))
+    return own.union(_plugged(found.where(~F.col("format").isin(plain)), {"docx": docx_text, "odt": odt_text, "rtf": rtf_text} | (plugins or {})))
 
 
 def read_directory(spark: SparkSession, path: str, recursive: bool = False, min_chars: int = DEFAULT.min_chars, plugins=None) -> DataFrame:
-    """doc_id (file stem; parent_stem where stems clash), path, format, text of files with enough text; hidden files and archives are skipped."""
+    """doc_id (file stem; parent_stem where stems clash), path, format, text of files with enough text, those in zip files too.
+
+    Hidden files, other archives and archives in archives are skipped; ``members`` tells which members have no content, and why.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.regexp_extract("path", r"([^/!]+)$", 1)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    found = extract_text(files.where(~name.rlike(r"^(\.|__)") & ~ext.isin(ARCHIVES)), plugins).where(F.length(F.trim("text")) > min_chars)
+    shown = ~name.rlike(r"^(\.|__)") & ~F.col("path").contains("!__MACOSX/")
+    inside = members(files.where(shown & (ext == "zip"))).where(F.col("content").isNotNull())
+    files = files.select("path", "content").where(~ext.isin(ARCHIVES)).union(inside.select("path", "content").where(~ext.isin(ARCHIVES)))
+    found = extract_text(files.where(shown), plugins).where(F.length(F.trim("text")) > min_chars)
     return with_stems(found)
 
 

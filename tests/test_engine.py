@@ -154,6 +154,21 @@ def test_profiles(spark):
     assert [(s.name, s.level) for s in p.skills] == [("go", "BUILT_WITH"), ("rust", "LISTED")] and p.total_years == 50 and list(p.domains) == ["fintech"]
 
 
+def test_fixed_tables(spark):
+    """Values written out, so that a changed table cannot agree with itself."""
+    domain = {"Fintech/Payments": "fintech", "enterprise_saas": "enterprise_saas", "ai_ml": "ai_ml", "platform_devops": "platform_devops", "medical": "healthcare", "marketplace": "ecommerce", "Frontend": "other", "space": "other"}
+    level = {"tech lead": "lead", "manager": "mid", "intern": "mid", "Jr": "junior", "principal": "staff", "vp": "executive", "": "mid"}
+    for table, canonical in ((domain, profiles.canonical_domain), (level, profiles.canonical_seniority)):
+        rows = spark.createDataFrame([(k,) for k in table], "k string").select("k", canonical(F.col("k")).alias("v")).collect()
+        assert {r.k: r.v for r in rows} == table
+    near = {("fintech", "enterprise_saas"), ("enterprise_saas", "ai_ml"), ("platform_devops", "fintech"), ("fintech", "ai_ml")}
+    names = [*dimensions.DOMAIN_WORDS, "other"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string").select("a", "b", dimensions.profile_domain_fit(F.col("a"), F.array("b")).alias("v"))
+    for r in pairs.collect():
+        assert r.v == (1.0 if r.a == r.b else 0.6 if (r.a, r.b) in near or (r.b, r.a) in near else 0.2)
+    assert {"orchestrated", "integrated", "led"} <= set(dimensions.BUILD) and len(dimensions.BUILD) == 19 and len(dimensions.USE) == 9
+
+
 def test_labels_and_json():
     assert readers.parse_labels('{"a": {"x": 1}}\n,{"a": {"x": 0.5, "y": 0}} {"b": {"z": 1}} junk') == {"a": {"x": 0.5, "y": 0.0}, "b": {"z": 1.0}}
     assert readers.repair_json('```json\n{"a": [1, 2, {"b": "c"') == {"a": [1, 2, {"b": "c"}]}
@@ -173,8 +188,22 @@ def test_read_directory(spark, tmp_path):
     (tmp_path / "short.txt").write_text("short")
     with zipfile.ZipFile(tmp_path / "w.docx", "w") as z:
         z.writestr("word/document.xml", f"<w:p><w:t>{body}</w:t></w:p>")
+    (tmp_path / "rich.rtf").write_text(r"{\rtf1\ansi{\fonttbl{\f0 Arial;}}\b Caf\'e9\b0  \u8364?5\par " + body + r"{\*\generator x;}}")
+    with zipfile.ZipFile(tmp_path / "open.odt", "w") as z:
+        z.writestr("content.xml", f"<text:h>Head &amp; tail</text:h><text:p>a<text:tab/>b {body}</text:p>")
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        z.writestr("in/deep.txt", body)
+        z.writestr("__MACOSX/in/ghost.txt", body)
+        z.writestr("in/.hidden.txt", body)
+    (tmp_path / "broken.zip").write_bytes(b"PK no archive")
     found = {r.doc_id: r for r in readers.read_directory(spark, str(tmp_path), recursive=True).collect()}
-    assert set(found) == {f"{tmp_path.name}_one", "a_one", "page", "bytes", "w"} and "x" not in found["page"].text.split()
+    assert found["rich"].text.startswith("Café €5\nplain words") and "Arial" not in found["rich"].text and "rtf1" not in found["rich"].text
+    assert found["open"].text.startswith("Head & tail\na b plain")
+    zips = spark.read.format("binaryFile").load(str(tmp_path / "*.zip"))
+    told = {r.path.rsplit("/", 1)[-1]: r for r in readers.members(zips, most_bytes=50).collect()}
+    assert told["broken.zip"].reason and told["deep.txt"].content is None and "more than 50" in told["deep.txt"].reason
+    assert all(r.content for r in readers.members(zips, most_bytes=None).collect() if "!" in r.path)
+    assert set(found) == {f"{tmp_path.name}_one", "a_one", "page", "bytes", "w", "rich", "open", "deep"} and "x" not in found["page"].text.split()
     files = spark.read.format("binaryFile").load(str(tmp_path / "bad.pdf"))
     assert readers.extract_text(files).first().reason == "no extractor for pdf"
     assert readers.members(spark.read.format("binaryFile").load(str(tmp_path / "w.docx"))).first().path.endswith("!word/document.xml")
