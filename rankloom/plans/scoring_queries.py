@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import bucket
 from rankloom.operators import dimensions as dims
-from rankloom.operators import profiles, sanitize, skills
+from rankloom.operators import matching, profiles, sanitize, skills
 from rankloom.plans.catalog import documents, load, query
 from rankloom.sources import readers
 
@@ -477,3 +477,13 @@ SELECT doc_id, CASE WHEN a + b + c = 0 THEN 'MEDIUM' WHEN c > 0 OR b > a THEN 'L
 def x07(spark, sf_dir):
     i = F.col("doc_id")
     return load(spark, sf_dir, "documents").select("doc_id", dims.confidence_from_counts(i % 5, i % 3, (i % 4 == 3).cast("int")).alias("confidence"))
+
+
+# ------------------------------------------------------------------ the whole match
+
+
+@query("x10_match")
+def x10(spark, sf_dir):
+    """Sanitize, retrieve, score, blend and rank the whole corpus for one query."""
+    found = matching.match(cv(spark, sf_dir), spark.createDataFrame([(1, ASKED)], "query_id int, text string"), KEYS)
+    return found.select("doc_id", F.col("rank").cast("long").alias("rank"), "final_score", "recommendation", "confidence", "threat_level", bucket(F.col("penalty")).alias("penalty"))
