@@ -6,9 +6,10 @@ solves the moves from the sizes it finds there and writes anew the folders of th
 shards that gain or lose rows.  Folders that nothing changes stay where they are,
 nothing is overwritten, and a shard that loses all its rows has no folder in the
 new layout, so a row is never in two shards and a lost job leaves the old layout
-whole.  Texts are shuffled once, to the task that writes them: most rows know their
-shard from the group they are in, and only those of groups that a move divides are
-ranked.
+whole.  Rows that stay in their shard are not shuffled: the task that reads their
+file writes them.  The text of a moving row is shuffled once, to the task that
+writes it: most rows know their shard from the group they are in, and only those of
+groups that a move divides are ranked.
 
 Law ``rows``: after the move, shards hold counts at most one apart.  Rows of an
 old shard are summed into blocks (old shard, power-of-two size class).  A
@@ -196,9 +197,11 @@ class Layout(NamedTuple):
     schema: T.StructType
 
 
-def _write(rows: DataFrame, path: str) -> Layout:
+def _write(rows: DataFrame, path: str, in_place: DataFrame | None = None) -> Layout:
+    """Store ``rows``, each shard by ``FILES`` tasks, and ``in_place``, rows that lie together by shard already, as they lie."""
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != SHARD]), F.lit(FILES))
-    rows.repartition(F.col(SHARD), spread).write.option("compression", "zstd").partitionBy(SHARD).parquet(path)
+    dealt = rows.repartition(F.col(SHARD), spread)
+    (dealt if in_place is None else in_place.union(dealt)).write.option("compression", "zstd").partitionBy(SHARD).parquet(path)
     jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     names = [f.getPath().getName() for f in at.getFileSystem(conf).listStatus(at)]
@@ -250,8 +253,10 @@ def reshard_layout(spark: SparkSession, layout: Layout, new_shards: int, path: s
     columns = [F.col(f"`{c}`") for c in stored.columns if c not in (SHARD, keep_old)] + ([F.col(old).alias(keep_old)] if keep_old else [])
     joined = rows.join(moves, [old, n.size_class, n.step, n.sub])
     divided, shard, _ = _ranked(joined.where(F.col(n.whole).isNull()), old, tie, n)
-    new = joined.where(F.col(n.whole).isNotNull()).select(*columns, F.col(n.whole).alias(SHARD)).union(divided.select(*columns, shard.alias(SHARD)))
-    written = _write(new.where(F.col(SHARD).isin(sorted(affected))), path)
+    whole = lambda stays: joined.where((F.col(n.whole) == F.col(old)) == stays).select(*columns, F.col(n.whole).alias(SHARD))
+    moved, met = whole(False).union(divided.select(*columns, shard.alias(SHARD))), F.col(SHARD).isin(sorted(affected))
+    # rows that stay are written by the task that reads their file; the rest is shuffled
+    written = _write(moved.where(met), path, whole(True).where(met))
     return Layout({j: f for j, f in layout.folders.items() if j not in affected} | written.folders, written.schema)
 
 
