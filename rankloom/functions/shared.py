@@ -20,10 +20,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """``df`` written once and read back."""
-    path = shared_folder(df.sparkSession)
+    """``df`` written once and read back; what is left of it goes when the application ends."""
+    path, spark = shared_folder(df.sparkSession), df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _at(spark, path, "deleteOnExit")
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a kept table that no later plan reads."""
+    _at(df.sparkSession, df._kept_at, "delete")
+
+
+def _at(spark: SparkSession, path: str, what: str) -> None:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(jvm_path, True) if what == "delete" else files.deleteOnExit(jvm_path)
 
 
 def spread(df: DataFrame) -> DataFrame:
