@@ -11,8 +11,11 @@ from rankloom.llm import (
     quality,
     repeats,
     resharding,
+    token_counts,
     toxicity,
     url_reputation,
+    vector_codes,
+    turn_trie,
 )
 
 QUERIES: dict = {}
@@ -28,6 +31,9 @@ for _module in (
     packing,
     quality,
     repeats,
+    token_counts,
+    vector_codes,
+    turn_trie,
 ):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
