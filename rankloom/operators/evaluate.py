@@ -18,19 +18,23 @@ def _gain(rel: Column, rank: Column, k: int) -> Column:
 
 
 def ranking_metrics(ranked: DataFrame, keys: list[str], ks=(3, 5, 10), threshold: float = DEFAULT.relevance_threshold) -> DataFrame:
-    """ndcg_k and p_k for each k, and mrr; the ideal order is that of the ranked list itself."""
+    """ndcg_k and p_k for each k, and mrr; the ideal order is that of the ranked list itself.
+
+    The list is summed by partial aggregates; of the ideal order only the first places are asked for, which every task
+    cuts before it sends them, so no task sorts a whole list.  ``ranked`` is read twice.
+    """
     ideal = Window.partitionBy(*keys).orderBy(F.desc("rel"), F.asc("rank"))
-    both = ranked.withColumn("ideal_rank", F.row_number().over(ideal))
-    rank, best, rel = F.col("rank"), F.col("ideal_rank"), F.col("rel")
+    best = ranked.select(*keys, "rel", "rank").withColumn("ideal_rank", F.row_number().over(ideal)).where(F.col("ideal_rank") <= max(ks))
+    tops = best.groupBy(*keys).agg(*[_gain(F.col("rel"), F.col("ideal_rank"), k).alias(f"_top_{k}") for k in ks])
+    rank, rel = F.col("rank"), F.col("rel")
     out = []
     for k in ks:
-        top = _gain(rel, best, k)
-        out += [
-            F.when(top == 0, 0.0).otherwise(_gain(rel, rank, k) / F.when(top == 0, 1.0).otherwise(top)).alias(f"ndcg_{k}"),
-            (F.sum(((rank <= k) & (rel >= threshold)).cast("int")) / k).alias(f"p_{k}"),
-        ]
-    first = F.min(F.when(rel >= threshold, rank))
-    return both.groupBy(*keys).agg(*out, F.coalesce(1.0 / first, F.lit(0.0)).alias("mrr"))
+        out += [_gain(rel, rank, k).alias(f"_dcg_{k}"), (F.sum(((rank <= k) & (rel >= threshold)).cast("int")) / k).alias(f"p_{k}")]
+    sums = ranked.groupBy(*keys).agg(*out, F.coalesce(1.0 / F.min(F.when(rel >= threshold, rank)), F.lit(0.0)).alias("mrr"))
+    both = sums.join(tops, keys)
+    for k in ks:
+        both = both.withColumn(f"ndcg_{k}", F.when(F.col(f"_top_{k}") == 0, 0.0).otherwise(F.col(f"_dcg_{k}") / F.when(F.col(f"_top_{k}") == 0, 1.0).otherwise(F.col(f"_top_{k}"))))
+    return both.select(*keys, *[name for k in ks for name in (f"ndcg_{k}", f"p_{k}")], "mrr")
 
 
 def spearman(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ queries go to the documents where they are few, and only scores are joined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.config import DEFAULT, Config
@@ -38,12 +38,11 @@ def match(
     """
     safe = keep(sanitize(docs.select("doc_id", "text"), keywords, config=config).select("doc_id", F.col("clean_text").alias("text"), "threat"))
     clean = safe.select("doc_id", "text")
-    found = retrieval.hybrid_search(clean, queries, second, config=config)
+    found = keep(retrieval.hybrid_search(clean, queries, second, config=config) if pool is None else retrieval.search(clean, queries, pool, second, config=config))
     asked = dimensions.with_terms(queries.select("query_id", F.col("text").alias("query_text")))
     if pool is None:
         pairs = clean.crossJoin(retrieval._small(asked))
     else:
-        found = found.where(F.col("final_rank") <= pool)
         pairs = found.select("query_id", "doc_id").join(clean, "doc_id").join(retrieval._small(asked), "query_id")
     scored = dimensions.deterministic_scores(pairs).select("query_id", "doc_id", "d1", "d2", "d3", "d4", "confidence")
     rows = found.join(scored, ["query_id", "doc_id"]).join(query_overlap(clean, queries), ["query_id", "doc_id"], "left").join(safe.select("doc_id", "threat"), "doc_id")
@@ -55,8 +54,7 @@ def match(
     repeated = F.when(F.col("overlap") > 0.3, F.array(F.lit("query text repeated"))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("flags", F.when(~F.col("threat_level").isin("NONE", "LOW"), F.concat("threat.flags", repeated)).otherwise(F.array().cast("array<string>")))
     rows = dimensions.rationale(dimensions.blend(rows.withColumn("own_confidence", F.col("confidence")), weights, config.alpha))
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("final"), F.asc("final_rank"))
-    return rows.withColumn("rank", F.row_number().over(best_first)).select(
+    return retrieval.placed(rows, [F.desc("final"), F.asc("final_rank")]).select(
         "query_id", "doc_id", "rank", F.col("final").alias("final_score"), "recommendation", "confidence", "summary", "threat_level", "penalty", "flags",
         "bm25", "second", "rrf", F.col("final_rank").alias("retrieval_rank"), "logit", bucket(sigmoid(F.col("logit")), 4).alias("signal"), "d1", "d2", "d3", "d4", "dim", "overlap", "own_confidence",
     )
@@ -68,4 +66,4 @@ def rescore(matched: DataFrame, weights: Column, config: Config = DEFAULT) -> Da
     rows = matched.select(*kept, F.col("own_confidence").alias("confidence"))  # as it was before any downgrade
     again = dimensions.rationale(dimensions.blend(rows, weights, config.alpha))
     again = again.withColumn("final_score", F.col("final"))
-    return again.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.asc("retrieval_rank")))).select(*matched.columns)
+    return retrieval.placed(again, [F.desc("final_score"), F.asc("retrieval_rank")]).select(*matched.columns)

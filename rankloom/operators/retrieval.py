@@ -1,8 +1,10 @@
 """Hybrid retrieval over query x corpus: BM25, TF-IDF cosine, dense dot, rank fusion, rerank cascade.
 
-Documents are cut into postings once; every signal joins those with the query
-terms, and only document frequencies and norms see the whole vocabulary.  Ranks partition by query and order by a bucketed score, then doc_id,
-so that equal scores cannot rank by noise.
+Documents are cut into postings once, and one join of those with the query terms
+gives every lexical signal of the pairs that share a term (``lexical_hits``); all
+other pairs score 0 and are not made unless a caller asks for every pair.  Ranks
+order by a bucketed score, then doc_id, so that equal scores cannot rank by noise,
+and come from ranges of that order (``functions.order``): no task sorts a corpus.
 """
 
 from __future__ import annotations
@@ -14,16 +16,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import DEFAULT, Config
+from rankloom.functions.order import positions
 from rankloom.functions.shared import keep
 from rankloom.functions.text import bucket, clamp, logit, tokens
 from rankloom.functions.text import ngrams as runs_of
 
-#: Query-side tables up to this many rows may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+#: Tables up to this many rows and bytes may be broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df``, to be broadcast where its rows and its bytes (texts, arrays, and 8 for any other value) are few."""
+    wide = {"string", "binary"}
+    size = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        value = F.col(f"`{name}`")
+        size = size + F.coalesce(F.octet_length(value) if kind in wide else F.octet_length(F.to_json(F.array(value))) if "<" in kind else F.lit(8), F.lit(8))
+    found = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found.n <= BROADCAST_ROWS and found.size <= BROADCAST_BYTES else df
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -33,8 +43,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame) -> DataFrame:
     """doc_id, term, tf, dl: what every lexical signal reads; keep it (``shared.keep``) where several do."""
-    # tokens are a column of their own, so that a document is cut once and not once per exploded row
-    cut = docs.select("doc_id", tokens("text").alias("ts"))
+    # tokens are a column of their own, so that a document is cut once and not once per exploded row; dealt by
+    # document as arrays they need no further shuffle to be counted, and a document's postings stay together
+    cut = docs.select("doc_id", tokens("text").alias("ts")).repartition("doc_id")
     of = cut.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
     return of.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
@@ -77,18 +88,61 @@ def bm25_hits(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT, ind
     )
 
 
+def lexical_hits(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT, index: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, bm25, second (TF-IDF cosine), coverage of every pair with a common term.
+
+    One join of the postings with the query terms and one aggregate for all three; the vocabulary is counted once for
+    both kinds of idf.  ``index``: kept postings of the documents.
+    """
+    index = keep(postings(docs)) if index is None else index
+    stats = docs.agg(F.count("*").alias("n")).join(F.broadcast(index.agg(F.sum("tf").alias("total")))).first()
+    n, avgdl = stats.n, (stats.total or 0) / max(stats.n, 1)
+    raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    table = index.groupBy("term").agg(F.count("*").alias("df")).select("term", raw.alias("raw"), (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("smooth"))
+    vocabulary = keep(table)
+    mean = vocabulary.agg(F.avg("raw")).first()[0] or 0.0
+    weight = F.when(F.col("raw") < 0, config.bm25_epsilon * mean).otherwise(F.col("raw"))
+    long_enough = F.length("term") >= 2
+    cosine_weight = F.when(long_enough, (1 + F.log("qtf")) * F.col("smooth")).otherwise(0.0)
+    terms = query_terms(queries)
+    asked = keep(terms.join(_small(vocabulary), "term", "left").select("query_id", "term", (F.col("qtf") * weight).alias("w"), cosine_weight.alias("qw"), F.col("raw").isNotNull().alias("known")))
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
+    sublinear = F.when(long_enough, (1 + F.log("tf")) * F.col("smooth")).otherwise(0.0)
+    norms = index.join(_small(vocabulary.select("term", "smooth")), "term").groupBy("doc_id").agg(F.sqrt(F.sum(sublinear * sublinear)).alias("norm"))
+    k1, b = config.bm25_k1, config.bm25_b
+    saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    # by term the queries that ask for it: a posting meets one row, which is unfolded only where it is summed
+    by_term = asked.where("known").join(vocabulary.select("term", "smooth"), "term").groupBy("term").agg(F.first("smooth").alias("smooth"), F.collect_list(F.struct("query_id", "w", "qw")).alias("asking"))
+    met = index.join(_small(by_term), "term").select("doc_id", saturated.alias("sat"), sublinear.alias("dw"), F.explode("asking").alias("q"))
+    sums = met.groupBy("q.query_id", "doc_id").agg(F.sum(F.col("q.w") * F.col("sat")).alias("bm25"), F.sum(F.col("q.qw") * F.col("dw")).alias("dot"), F.count("*").alias("c"))
+    cosine = F.coalesce(F.col("dot") / F.nullif(F.col("norm") * F.col("q_norm"), F.lit(0.0)), F.lit(0.0))
+    return sums.join(norms, "doc_id").join(_small(sizes), "query_id").select("query_id", "doc_id", "bm25", cosine.alias("second"), (F.col("c") / F.col("n_terms")).alias("coverage"))
+
+
+def every_pair(docs: DataFrame, queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """``hits`` (query_id, doc_id and scores) and, with scores of 0, all other pairs: for callers whose result is every pair.
+
+    No pairs are joined: of each document the queries that it was not found for are the list of all less its own.
+    """
+    scores = [c for c in hits.columns if c not in {"query_id", "doc_id"}]
+    found = docs.select("doc_id").join(hits.groupBy("doc_id").agg(F.collect_set("query_id").alias("found")), "doc_id", "left")
+    everyone = queries.agg(F.collect_set("query_id").alias("everyone"))
+    rest = found.join(F.broadcast(everyone)).select("doc_id", F.explode(F.array_except("everyone", F.coalesce("found", F.array().cast(everyone.schema["everyone"].dataType)))).alias("query_id"))
+    return hits.select("query_id", "doc_id", *scores).union(rest.select("query_id", "doc_id", *[F.lit(0.0).alias(c) for c in scores]))
+
+
 def all_pairs(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Every query with every document: what scoring the whole corpus means."""
     return docs.select("doc_id").crossJoin(_small(queries.select("query_id")))
 
 
 def _scored(docs: DataFrame, queries: DataFrame, hits: DataFrame) -> DataFrame:
-    return all_pairs(docs, queries).join(hits, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return every_pair(docs, queries, hits.select("query_id", "doc_id", "score"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT, index: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score of every pair; 0 without a common term."""
-    return _scored(docs, queries, bm25_hits(docs, queries, config, index))
+    return _scored(docs, queries, lexical_hits(docs, queries, config, index).withColumnRenamed("bm25", "score"))
 
 
 def _features(df: DataFrame, key: str, stop_words: list[str], min_length: int, ngrams: int, index: DataFrame | None) -> DataFrame:
@@ -130,6 +184,8 @@ def tfidf_hits(
 
 def tfidf(docs: DataFrame, queries: DataFrame, stop_words: list[str] = (), **options) -> DataFrame:
     """query_id, doc_id, cosine of every pair; 0 without a common term; options as of ``tfidf_hits``."""
+    if not stop_words and not options:
+        return _scored(docs, queries, lexical_hits(docs, queries).withColumnRenamed("second", "score"))
     return _scored(docs, queries, tfidf_hits(docs, queries, stop_words, **options))
 
 
@@ -151,9 +207,19 @@ def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame, score: str = "score", rank: str = "rank") -> DataFrame:
-    """Adds the rank of each document of a query: bucketed score descending, doc_id ascending."""
-    by = Window.partitionBy("query_id").orderBy(F.desc(F.floor(F.col(score) * 1e6 + 0.5)), F.asc("doc_id"))
-    return scores.withColumn(rank, F.row_number().over(by))
+    """Adds the rank of each document of a query: bucketed score descending, doc_id ascending (an int, from 1)."""
+    return placed(scores.withColumn("_b", -F.floor(F.col(score) * 1e6 + 0.5)), ["_b", "doc_id"], rank).drop("_b")
+
+
+def placed(rows: DataFrame, order: list[Column | str], rank: str = "rank") -> DataFrame:
+    """Adds the place of each row of a query by ``order`` (an int, from 1).
+
+    Rows are dealt by ranges of the query and the order, so a query's documents are sorted by many tasks; a query's first
+    place is all that is taken off.
+    """
+    found = positions(rows, ["query_id", *order], "_p")
+    first = found.groupBy("query_id").agg(F.min("_p").alias("_first"))
+    return found.join(_small(first), "query_id").withColumn(rank, (F.col("_p") - F.col("_first") + 1).cast("int")).drop("_p", "_first")
 
 
 def rrf(signals: list[DataFrame], config: Config = DEFAULT) -> DataFrame:
@@ -169,23 +235,29 @@ def rerank_cascade(fused: DataFrame, rerank: Column | None, config: Config = DEF
     """Adds rrf_rank, n_rerank, probability, logit and final_rank to (query_id, doc_id, rrf, ...).
 
     The best share of the pool is ordered by ``rerank`` (a column; ties by doc_id) and gets (n - r + 1) / n; all others
-    decay linearly below the worst reranked score, or below one half without a reranker.
+    decay linearly below the worst reranked score, or below one half without a reranker, and keep their order.
     """
-    first = ranked(fused, "rrf", "rrf_rank")
-    n_all = F.count("*").over(Window.partitionBy("query_id"))
-    first = first.withColumn("n_all", n_all)
+    sizes = fused.groupBy("query_id").agg(F.count("*").alias("n_all"))
+    return _cascade(ranked(fused, "rrf", "rrf_rank").join(_small(sizes), "query_id"), rerank, config)
+
+
+def _cascade(first: DataFrame, rerank: Column | None, config: Config) -> DataFrame:
+    """``rerank_cascade`` of rows with rrf_rank and n_all; only what is reranked, a bounded number a query, meets in a window."""
     top = F.greatest(F.lit(1), F.floor(config.rerank_fraction * F.least(F.lit(config.pool), F.col("n_all"))).cast("int"))
     first = first.withColumn("n_rerank", top if rerank is not None else F.lit(0))
     inside = F.col("rrf_rank") <= F.col("n_rerank")
-    order = Window.partitionBy("query_id", inside).orderBy(F.desc(F.floor(rerank * 1e6 + 0.5)) if rerank is not None else F.asc("rrf_rank"), F.asc("doc_id"))
-    again = first.withColumn("rerank_rank", F.when(inside, F.row_number().over(order)))
+    if rerank is not None:
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.floor(rerank * 1e6 + 0.5)), F.asc("doc_id"))
+        again = first.where(inside).withColumn("rerank_rank", F.row_number().over(order)).union(first.where(~inside).withColumn("rerank_rank", F.lit(None).cast("int")))
+    else:
+        again = first.withColumn("rerank_rank", F.lit(None).cast("int"))
     worst = F.when(F.col("n_rerank") > 0, 1.0 / F.col("n_rerank")).otherwise(0.5)
     rest = F.greatest(F.lit(1), F.col("n_all") - F.col("n_rerank"))
     at = F.col("rrf_rank") - F.col("n_rerank") - 1
     tail = F.greatest(F.lit(0.01), F.least(worst - 0.01, worst * (1 - at / rest) * config.tail_share))
     head = clamp((F.col("n_rerank") - F.col("rerank_rank") + 1) / F.nullif("n_rerank", F.lit(0)), 0.01, 0.99)
     out = again.withColumn("probability", F.when(inside, head).otherwise(tail)).withColumn("logit", logit(F.col("probability")))
-    return ranked(out, "probability", "final_rank")
+    return out.withColumn("final_rank", F.coalesce("rerank_rank", "rrf_rank"))
 
 
 def query_coverage(docs: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -198,29 +270,100 @@ def query_coverage(docs: DataFrame, queries: DataFrame, index: DataFrame | None
 
 
 def hybrid_search(docs: DataFrame, queries: DataFrame, second: DataFrame | None = None, rerank: bool = True, config: Config = DEFAULT, index: DataFrame | None = None) -> DataFrame:
-    """All stages at once: BM25 and a second signal (TF-IDF unless given), fused, reranked, ranked.
+    """All stages for every pair: BM25 and a second signal (TF-IDF unless given), fused, reranked, ranked.
 
-    Gives query_id, doc_id, bm25, bm25_rank, second, second_rank, rrf, rrf_rank, probability, logit, final_rank of every
-    pair.  Documents are cut into postings once (``index``, else made and kept here); every signal reads those.
+    Gives query_id, doc_id, bm25, bm25_rank, second, second_rank, rrf, rrf_rank, probability, logit, final_rank.  Its rows
+    are all pairs; for the best of each query, ``search`` makes far fewer.
     """
-    index = keep(postings(docs)) if index is None else index
-    signals = bm25_hits(docs, queries, config, index).withColumnRenamed("score", "bm25")
-    if second is None:
-        signals = signals.join(tfidf_hits(docs, queries, index=index).withColumnRenamed("score", "second"), ["query_id", "doc_id"], "full")
-    else:
-        signals = signals.join(second.withColumnRenamed("score", "second"), ["query_id", "doc_id"], "full")
-    if rerank:
-        signals = signals.join(query_coverage(docs, queries, index), ["query_id", "doc_id"], "left")
-    # hits only are joined with each other; the pairs come in once, and a missing score is 0
-    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    both = all_pairs(docs, queries).join(signals, ["query_id", "doc_id"], "left").select("query_id", "doc_id", zero("bm25"), zero("second"), *([zero("coverage")] if rerank else []))
-    # both ranks in one frame: two sorts of one partitioning by query, no self join
+    hits = _signals(docs, queries, second, config, index)
+    both = every_pair(docs, queries, hits if rerank else hits.drop("coverage"))
     with_ranks = ranked(ranked(both, "bm25", "bm25_rank"), "second", "second_rank")
     fused = with_ranks.withColumn("rrf", 1.0 / (config.rrf_k + F.col("bm25_rank")) + 1.0 / (config.rrf_k + F.col("second_rank")))
     found = rerank_cascade(fused, F.col("coverage") if rerank else None, config)
     return found.select("query_id", "doc_id", "bm25", "bm25_rank", "second", "second_rank", "rrf", "rrf_rank", *(["coverage"] if rerank else []), "probability", "logit", "final_rank")
 
 
+def _signals(docs: DataFrame, queries: DataFrame, second: DataFrame | None, config: Config, index: DataFrame | None) -> DataFrame:
+    """Kept hits with bm25, second and coverage."""
+    hits = lexical_hits(docs, queries, config, index)
+    if second is not None:
+        hits = hits.drop("second").join(second.withColumnRenamed("score", "second"), ["query_id", "doc_id"], "full")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return keep(hits.select("query_id", "doc_id", zero("bm25"), zero("second"), zero("coverage")))
+
+
+def _sign(score: str) -> Column:
+    return F.floor(F.col(score) * 1e6 + 0.5)
+
+
+def _hit_ranks(hits: DataFrame, score: str, rank: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """``hits`` with their ranks among all ``n`` documents, null for scores of 0; and per query the positive and other hits.
+
+    Positive scores come first, so their rank among the hits is their rank; negative ones come last, after the documents
+    that are no hits.
+    """
+    counts = keep(hits.groupBy("query_id").agg(F.count_if(_sign(score) > 0).alias("above"), F.count_if(_sign(score) < 0).alias("below"), F.count("*").alias("there")))
+    own = ranked(hits, score, rank).join(_small(counts), "query_id")
+    place = F.when(_sign(score) > 0, F.col(rank)).when(_sign(score) < 0, n - F.col("there") + F.col(rank)).cast("int")
+    return own.withColumn(rank, place).drop("above", "below", "there"), counts
+
+
+def zero_ranks(wanted: DataFrame, hits: DataFrame, counts: DataFrame, docs: DataFrame, score: str, rank: str) -> DataFrame:
+    """query_id, doc_id, rank of ``wanted`` pairs whose score is 0, by counting and not by making the pairs of score 0.
+
+    Those documents follow the positive hits by id, so a rank is the number of positive hits and the document's place
+    among all ids less the hits (of scores other than 0) before it.  What comes before is the difference of two orders:
+    that of the hits and the wanted pairs together, and that of the wanted pairs alone.
+    """
+    others = hits.where(_sign(score) != 0).select("query_id", "doc_id", F.lit(False).alias("_asked"))
+    together = positions(others.union(wanted.select("query_id", "doc_id", F.lit(True))), ["query_id", "doc_id"], "_u")
+    alone = positions(together.where("_asked"), ["query_id", "doc_id"], "_w")
+    first = together.groupBy("query_id").agg(F.min("_u").alias("_fu")).join(alone.groupBy("query_id").agg(F.min("_w").alias("_fw")), "query_id")
+    places = positions(docs.select("doc_id").distinct(), ["doc_id"], "_place")
+    before = (F.col("_u") - F.col("_fu")) - (F.col("_w") - F.col("_fw"))
+    found = alone.join(_small(first), "query_id").join(_small(counts), "query_id", "left").join(places, "doc_id")
+    return found.select("query_id", "doc_id", (F.coalesce("above", F.lit(0)) + F.col("_place") + 1 - before).cast("int").alias(rank))
+
+
+def search(docs: DataFrame, queries: DataFrame, pool: int, second: DataFrame | None = None, rerank: bool = True, config: Config = DEFAULT, index: DataFrame | None = None) -> DataFrame:
+    """The ``pool`` best documents of each query, with the columns and values that ``hybrid_search`` gives them.
+
+    Only pairs that share a term (or are in ``second``) are made and ranked.  A fused score of two ranks below ``most``
+    cannot reach the ``pool`` best, as each of these scores at least 1 / (k + pool); so candidates are what either signal
+    ranks up to ``most``.  Where a query has fewer hits than that, documents without a hit fill the ranks, by id.
+    """
+    least = 1.0 / (config.rrf_k + pool) - 2e-6  # scores are compared in steps of 1e-6
+    n = docs.select("doc_id").distinct().count()
+    most = int(2.0 / least) - config.rrf_k + 1 if least > 0 else n
+    hits = _signals(docs, queries, second, config, index)
+    one, counts_one = _hit_ranks(hits, "bm25", "bm25_rank", n)
+    both, counts_two = _hit_ranks(keep(one), "second", "second_rank", n)
+    both = keep(both)
+    columns = ["query_id", "doc_id", "bm25", "second", "coverage", "bm25_rank", "second_rank"]
+    candidates = both.where((F.col("bm25_rank") <= most) | (F.col("second_rank") <= most)).select(*columns)
+    # where a signal has fewer positive scores than ranks to fill, the first documents by id fill them
+    spare = counts_one.select("query_id", F.col("above").alias("a1"), F.col("there").alias("t")).join(counts_two.select("query_id", F.col("above").alias("a2")), "query_id")
+    short = queries.select("query_id").distinct().join(spare, "query_id", "left").where(f"coalesce(least(a1, a2), 0) < {most}")
+    short = keep(short.select("query_id", (F.coalesce("t", F.lit(0)) + most).alias("upto")))
+    reach = short.agg(F.max("upto")).first()[0] or 0
+    if reach:
+        first_docs = positions(docs.select("doc_id").distinct(), ["doc_id"], "_place").where(F.col("_place") < reach)
+        fill = first_docs.join(_small(short), F.col("_place") < F.col("upto")).select("query_id", "doc_id").join(both.select(*columns), ["query_id", "doc_id"], "left")
+        candidates = candidates.union(fill.select("query_id", "doc_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns[2:5]], *columns[5:])).distinct()
+    candidates = keep(candidates)
+    for score, rank, counts in (("bm25", "bm25_rank", counts_one), ("second", "second_rank", counts_two)):
+        wanted = candidates.where(F.col(rank).isNull())
+        if wanted.limit(1).count():
+            more = zero_ranks(wanted, both, counts, docs, score, "_rank")
+            candidates = keep(candidates.join(more, ["query_id", "doc_id"], "left").withColumn(rank, F.coalesce(rank, "_rank")).drop("_rank"))
+    fused = candidates.withColumn("rrf", 1.0 / (config.rrf_k + F.col("bm25_rank")) + 1.0 / (config.rrf_k + F.col("second_rank")))
+    # at most twice ``most`` candidates a query and its fillers, whatever the corpus
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.floor(F.col("rrf") * 1e6 + 0.5)), F.asc("doc_id"))
+    best = fused.withColumn("rrf_rank", F.row_number().over(order)).where(F.col("rrf_rank") <= max(pool, config.pool)).withColumn("n_all", F.lit(n))
+    found = _cascade(best, F.col("coverage") if rerank else None, config).where(F.col("final_rank") <= pool)
+    return found.select("query_id", "doc_id", "bm25", "bm25_rank", "second", "second_rank", "rrf", "rrf_rank", *(["coverage"] if rerank else []), "probability", "logit", "final_rank")
+
+
 def rerank_head(fused: DataFrame, rerank: Column, most: int = 20) -> DataFrame:
     """Adds head_rank to (query_id, doc_id, rrf_rank, ...): the first ``most`` in the order of ``rerank``, the rest as they were."""
     inside = F.col("rrf_rank") <= most

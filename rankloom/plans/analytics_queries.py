@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from rankloom.functions.order import positions
 from rankloom.functions.text import bucket, numeric_or_text_sort
 from rankloom.operators import evaluate, fairness, feedback, store
 from rankloom.plans.catalog import load, query
@@ -177,10 +178,10 @@ def sk09(spark, sf_dir):
 
 @query("tk07_try_numeric_sort", "SELECT p_partkey, row_number() OVER (ORDER BY try_cast(v AS DOUBLE) NULLS LAST, v, p_partkey)::INT AS pos FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_size::VARCHAR END AS v FROM part)")
 def tk07(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """Places in the order of a whole table, by ranges; no task sorts all of it."""
     v = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string"))
-    return load(spark, sf_dir, "part").select("p_partkey", v.alias("v")).select("p_partkey", F.row_number().over(Window.orderBy(*numeric_or_text_sort(F.col("v")), "p_partkey")).alias("pos"))
+    rows = positions(load(spark, sf_dir, "part").select("p_partkey", v.alias("v")), [*numeric_or_text_sort(F.col("v")), F.col("p_partkey")])
+    return rows.select("p_partkey", (F.col("position") + 1).cast("int").alias("pos"))
 
 
 @query("so1_intersect", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
