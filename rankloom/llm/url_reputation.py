@@ -8,7 +8,10 @@ never confirms itself; its weight is a moment estimate of the overdispersion
 among the children of one parent, and no more than the number of outcomes the
 prior rests on, so a posterior is never narrower than its evidence.  A host is
 blocked where the lower bound of its posterior bad rate (mean less ``z``
-posterior deviations) exceeds ``bad_rate``.  Explicit rules win over reputation.
+posterior deviations) exceeds ``bad_rate``; unless given, that is the rate whose
+odds are ``WORSE`` times those of all outcomes together, so that how common bad
+pages are in general blocks nobody, and hosts that do not differ all pass
+(``usual_odds``).  Explicit rules win over reputation.
 
 The registered domain is one label below the public suffix: the last label, or
 the last two where they are in ``SUFFIXES`` (a parameter).  User names and ports
@@ -16,9 +19,12 @@ are left out; an address is a domain and suffix of its own.
 
 Everything runs as aggregates and equi-joins; host sums are stored once.  Defined
 results: a null url or one without ``://`` has an empty host and path and is
-judged as the host ``''``; an outcome with a null id or value is no outcome;
-several outcomes of one page all count; without outcomes every host has the prior
-rate 1/2 at the weight of one outcome and passes; extra columns are ignored.
+judged as the host ``''``; a page is what its page_id and host say, so rows that
+repeat it add no evidence and are judged like it; an outcome with a null id or
+value is no outcome; several outcomes of one page (say labels that are given
+twice) all count; without outcomes every host has the prior rate 1/2 at the weight
+of one outcome and passes; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ SUFFIXES = (
     "com.tw com.hk com.sg com.my co.id co.th co.in net.in org.in com.pk com.br net.br org.br com.ar com.mx com.co com.pe com.ve com.tr "
     "co.il org.il co.za com.eg com.ng com.sa com.ua com.pl com.pt com.es com.gr github.io gitlab.io blogspot.com wordpress.com"
 ).split()
-BAD_RATE, Z = 0.5, 1.645
+WORSE, Z = 3.0, 1.645
 BROADCAST_HOSTS = 500_000
 
 
@@ -129,18 +135,27 @@ def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
     return F.greatest(a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), F.lit(0.0))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, bad_rate: float = BAD_RATE, z: float = Z, suffixes=SUFFIXES) -> DataFrame:
+def usual_odds(n: int, k: int, worse: float = WORSE) -> float:
+    """The bad rate whose odds are ``worse`` times those of ``k`` bad ones among ``n`` outcomes."""
+    odds = worse * (k + 0.5) / (n - k + 0.5)
+    return odds / (1 + odds)
+
+
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, bad_rate: float | None = None, z: float = Z, suffixes=SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_lower for pages (page_id, url) and outcomes (page_id, bad 0/1)."""
     parsed = with_host_path(pick(pages, "page_id", "url"))
     known = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
     sums = (
         parsed.select("page_id", "host")
+        .distinct()
         .join(known, "page_id", "left")
         .groupBy("host")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
     )
     scratch = Scratch(pages.sparkSession)
     hosts = scratch.keep(sums)
+    if bad_rate is None:
+        bad_rate = usual_odds(*hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first())
     judged = scratch.keep(host_reputation(hosts, suffixes).select("host", lower_bound(F.col("a"), F.col("b"), z).alias("bad_lower")))
     scratch.drop_all_but(judged)
     if judged.count() <= BROADCAST_HOSTS:
@@ -161,7 +176,7 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
     A page is bad where its document is labelled of low quality or toxic.
     """
-    shown = with_host_path(pick(pages, "page_id", "url")).select("page_id", F.regexp_extract("path", r"/([0-9]{1,18})(\.html)?/?$", 1).try_cast("long").alias("doc_id"))
+    shown = with_host_path(pick(pages, "page_id", "url")).select("page_id", F.regexp_extract("path", r"/([0-9]{1,18})(\.html)?/?$", 1).try_cast("long").alias("doc_id")).distinct()
     bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")
     return shown.join(labels.where("doc_id is not null").select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
 
@@ -191,9 +206,10 @@ WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url,
 parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
 outcomes AS (
   SELECT page_id, CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END AS bad
-  FROM (SELECT page_id, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(\\.html)?/?$', 1) AS BIGINT) AS doc_id FROM parsed) JOIN labels USING (doc_id) WHERE page_id IS NOT NULL),
+  FROM (SELECT DISTINCT page_id, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(\\.html)?/?$', 1) AS BIGINT) AS doc_id FROM parsed) JOIN labels USING (doc_id) WHERE page_id IS NOT NULL),
 known AS (SELECT page_id, count(*) AS n, sum(bad) AS k FROM outcomes GROUP BY page_id),
-sums AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k FROM parsed LEFT JOIN known USING (page_id) GROUP BY host),
+sums AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k FROM (SELECT DISTINCT page_id, host FROM parsed) LEFT JOIN known USING (page_id) GROUP BY host),
+usual AS (SELECT {WORSE} * (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) - coalesce(sum(k), 0) + 0.5) AS odds FROM sums),
 sites AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS site FROM sums),
 parts AS (SELECT *, string_split(site, '.') AS l, regexp_matches(site, '^[0-9.]*$|[:\\[]') AS address FROM sites),
 lasts AS (SELECT *, array_to_string(l[-1:], '.') AS one, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three FROM parts),
@@ -211,8 +227,8 @@ hosts2 AS ({below("hosts1")}),
 beta AS (SELECT host, k + v * m AS a, n - k + v * (1 - m) AS b FROM hosts2),
 judged AS (SELECT host, greatest(a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0.0) AS bad_lower FROM beta)
 SELECT page_id, host, path, CASE {cases(0)} END AS rule,
-  CASE {cases(1)} WHEN bad_lower > {BAD_RATE} THEN 'block' ELSE 'allow' END AS verdict, round(bad_lower, 6) AS bad_lower
-FROM parsed LEFT JOIN judged USING (host)
+  CASE {cases(1)} WHEN bad_lower > odds / (1 + odds) THEN 'block' ELSE 'allow' END AS verdict, round(bad_lower, 6) AS bad_lower
+FROM parsed LEFT JOIN judged USING (host), usual
 """
 
 
