@@ -1,8 +1,9 @@
 """Quality by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are rows labelled good; the unlabelled set is documents without
-any row in the labels (where there are too few of those, ``LEAST_UNLABELLED``, the
-labelled ids stand in, their labels unread).  A small network over form statistics of the text (character
+Trusted positives are rows labelled good; the unlabelled set is drawn from all
+documents that may be learned from, labelled or not, and none of their labels is
+read: it stands for the corpus as it is, which is what the risk asks of it, at any
+number of labels.  A small network over form statistics of the text (character
 classes, repetition, line and word shapes) minimises
 
     pi R_P+  +  max(0, R_U-  -  pi R_P-)
@@ -17,8 +18,10 @@ computed on the executors and fitted on the driver.  Scoring reads every whole
 text.
 
 Defined results: a null or empty text has all-zero statistics and is scored
-like any other; rows with null id or label are not learned from; without
-positives every score is 1/2; extra columns are ignored.
+like any other; rows with null id or label are not learned from; rows that share
+an id are each drawn with it, and repeated labels count once (the higher one);
+without two positives and two documents every score is 1/2; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import bound_batches, held_out, pick, table
 from rankloom.llm.toxicity import labelled_sample
 
-POSITIVES, UNLABELLED, LEAST_UNLABELLED, HIDDEN = 8_000, 12_000, 100, 16
+POSITIVES, UNLABELLED, HIDDEN = 8_000, 12_000, 16
 THRESHOLD = 0.3
 
 #: Class of each byte of UTF-8: lower, upper, digit, space, line break, stop, comma, !?, bar, symbols, other, beyond ASCII.
@@ -173,14 +176,12 @@ def _statistics_of(rows: DataFrame) -> np.ndarray:
     return np.stack(found["stats"].to_numpy()) if len(found) else np.zeros((0, STATS))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Net | None:
-    """A net from rows labelled good (labels: doc_id, quality) and documents of unknown quality."""
+def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Net | None:
+    """A net from rows labelled good (labels: doc_id, quality) and unlabelled ones of ``corpus``, all ``docs`` unless given."""
     good = _statistics_of(labelled_sample(docs, labels.where("quality = 1"), "quality", positives))
-    marked = F.lit(1).alias("quality")  # ids only: which rows may be read, not their label
-    free = docs.select("doc_id").join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select("doc_id", marked)
-    unknown = _statistics_of(labelled_sample(docs, free, "quality", unlabelled))
-    if len(unknown) < LEAST_UNLABELLED:
-        unknown = _statistics_of(labelled_sample(docs, labels.select("doc_id", marked), "quality", unlabelled))
+    corpus = docs if corpus is None else corpus
+    drawn = corpus.select("doc_id", F.lit(1).alias("quality"))  # which rows are read, not what their label is
+    unknown = _statistics_of(labelled_sample(corpus, drawn, "quality", unlabelled))
     if len(good) < 2 or len(unknown) < 2:
         return None
     return fit_net(good, unknown, estimate_prior(good, unknown))
@@ -206,7 +207,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
-    scored = score(docs, train(docs, labels))
+    scored = score(docs, train(docs, labels, docs.where(~held_out("doc_id", 5, 0))))
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
