@@ -18,7 +18,10 @@ reads every whole text and broadcasts the model, whose size is fixed.
 Defined results: a null or empty text has no terms and gets the base rate's
 score; rows without label, or with a null id, are not learned from; without
 labelled rows of both kinds every score is the base rate, or 0; a text of any
-length is scored whole; extra columns of documents are ignored.
+length is scored whole; equal texts have equal scores, and repeated rows stay;
+rows that share a labelled id are each learned from with the highest of its labels;
+terms of equal standing at a screen's edge go by bucket; an empty table gives an
+empty result; extra columns of documents are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ from rankloom.llm.common import bound_batches, held_out, pick, table
 BUCKETS, SAMPLE, KEPT, FACTORS = 1 << 18, 20_000, 1_024, 8
 PAIRS, PAIR_WORDS, PAIR_SEEN, COMMON, TRIED_PAIRS = 256, 64, 8, 0.6, 4_096
 PREFIXES = (4, 5, 6, 7)
+#: Precision of the normal prior of the factors; over n rows the mean loss bears PRIOR / n of it.
+PRIOR = 2.6
 THRESHOLD = 0.7
 _TERM = re.compile(r"\w+")
 _KNOWN: dict[str, tuple[int, ...]] = {}
@@ -149,9 +154,14 @@ def drawn_words(text: str | None, fit: np.ndarray, seed: int) -> list[int]:
     return found[:PAIR_WORDS]
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, use: np.ndarray, steps: int = 400, seed: int = 7) -> Machine:
-    """Full-batch Adam on the logistic loss with L2; ``rows`` hold positions in ``use``, the buckets that take part."""
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray, use: np.ndarray, steps: int = 400, seed: int = 7, prior: float = PRIOR) -> Machine:
+    """Full-batch Adam on the logistic loss with L2; ``rows`` hold positions in ``use``, the buckets that take part.
+
+    The data's gradient is a mean over rows, so the factors' prior weighs in by its share of one row: with few rows the
+    factors stay near nought and the weights decide, with many a pair counts as much as the data say.
+    """
     n = len(rows)
+    decay = prior / max(n, 1)
     y = np.asarray(labels, float)
     place = np.zeros(BUCKETS, np.int32)
     rate = float(y.mean()) if n else 0.0
@@ -162,7 +172,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, use: np.ndarray, ste
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
     at = 1 + np.concatenate(rows)
     rng = np.random.default_rng(seed)
-    bias, w, v = np.array([base]), np.zeros(len(use) + 1), rng.normal(0, 0.01, (len(use) + 1, FACTORS))
+    bias, w, v = np.array([base]), np.zeros(len(use) + 1), rng.normal(0, 0.05, (len(use) + 1, FACTORS))
     weight = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
     weight *= n / weight.sum()
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (bias, w, v)]
@@ -170,7 +180,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, use: np.ndarray, ste
         value, sums = _machine_sum(w, v, at, owner, n)
         g = weight * (_sigmoid(bias[0] + value) - y) / n
         gw = np.bincount(at, g[owner], len(w)) + 1e-5 * w
-        gv = np.stack([np.bincount(at, g[owner] * (sums[owner, f] - v[at, f]), len(w)) for f in range(FACTORS)], 1) + 1e-2 * v
+        gv = np.stack([np.bincount(at, g[owner] * (sums[owner, f] - v[at, f]), len(w)) for f in range(FACTORS)], 1) + decay * v
         for p, grad, m in zip((bias, w, v), (np.array([g.sum()]), gw, gv), moments, strict=True):
             m[0] += 0.1 * (grad - m[0])
             m[1] += 0.01 * (grad**2 - m[1])

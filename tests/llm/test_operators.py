@@ -527,6 +527,23 @@ def test_pairs_pass_the_screen(spark):
     assert np.mean([s for y, s in both if y]) > np.mean([s for y, s in both if not y]) + 0.4
 
 
+def test_factors_decide_planted_pairs(spark):
+    """At sf0.1: two words added to documents, toxic together only; without the factors held-out rows are less likely."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").join(labels, "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(12)))
+    added = F.when(F.col("h") < 2, " vequa").when(F.col("h") < 4, " blim").when(F.col("h") < 6, " blim and vequa").otherwise("")
+    rows = rows.withColumn("text", F.concat("text", added)).withColumn("toxic", F.when(F.col("h").isin(4, 5), 1).otherwise(F.col("toxic")))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    machine = toxicity.train(rows.select("doc_id", "text"), rows.where(~held).select("doc_id", "toxic"))
+    planted = rows.where(held & (F.col("h") < 6)).toPandas()
+    y = planted["toxic"].to_numpy()
+    scores = [m.scores(planted["text"], {}) for m in (machine, machine._replace(v=np.zeros_like(machine.v)))]
+    loss, linear = (-np.log(np.where(y == 1, s, 1 - s) + 1e-12).mean() for s in scores)
+    right, linear_right = (((s >= 0.7) == (y == 1)).mean() for s in scores)
+    assert loss < 0.1 < linear and right > 0.95 > linear_right
+
+
 def test_toxicity_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id int, toxic int")
     docs = frame(spark, [])
@@ -676,9 +693,33 @@ def test_reputation_needs_evidence(spark):
     assert reputation(spark, []) == {} and reputation(spark, [("x.org", 0, 0)])["x.org"].lower < 0.5
 
 
+def test_usual_odds():
+    assert url_reputation.usual_odds(0, 0, 1) == 0.5 and abs(url_reputation.usual_odds(1_000_000, 250_000) - 0.5) < 1e-3
+    assert url_reputation.usual_odds(100, 90) > 0.9  # where most pages are bad, only more of them block
+
+
+def test_three_bad_rows_of_one_host(spark):
+    """Three bad pages of a host among many good ones do not block it, however often their rows are repeated."""
+    pages = spark.createDataFrame([(i, f"http://www.site{i}.org/en/{i}.html") for i in range(40)] + [(100 + i, f"http://one.org/en/{100 + i}.html") for i in range(3)], "page_id int, url string")
+    outcomes = spark.createDataFrame([(i, 0) for i in range(40)] + [(100 + i, 1) for i in range(3)], "page_id int, bad int")
+    for times in (1, 2, 4):
+        some = pages
+        for _ in range(times - 1):
+            some = some.union(pages)
+        got = {r.page_id: (r.verdict, r.bad_lower) for r in url_reputation.judge_urls(some, outcomes, bad_rate=0.5).collect()}
+        if times == 1:
+            want = got
+        assert got == want and got[100][0] == "allow"
+
+
 def test_urls_blocked_by_reputation(spark):
     pages = spark.createDataFrame([(i, f"http://{'spam' if i % 2 else 'good'}.example.org/en/{i}.html", "t") for i in range(80)] + [(200, "http://spam.example.org/x", "t"), (201, "http://spam.example.org/fr/", "t")], "page_id int, url string, text string")
     labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)] + [(None, 0, 0), (61, None, None)], "doc_id long, quality int, toxic int")
+    # rows that repeat a page are judged like it and are no evidence
+    once = {(r.page_id, r.verdict, r.bad_lower) for r in url_reputation.judge_urls(pages, url_reputation.page_outcomes(pages, labels)).collect()}
+    many = pages.union(pages).union(pages)
+    again = url_reputation.judge_urls(many, url_reputation.page_outcomes(many, labels)).collect()
+    assert {(r.page_id, r.verdict, r.bad_lower) for r in again} == once and len(again) == 3 * 82
     got = {r.page_id: (r.verdict, r.rule) for r in url_reputation.judge_urls(pages, url_reputation.page_outcomes(pages, labels)).collect()}
     assert all(got[i] == ("block" if i % 2 else "allow", None) for i in range(80)) and got[200] == ("block", None) and got[201] == ("allow", "org/fr/")
     assert url_reputation.judge_urls(pages.limit(0), url_reputation.page_outcomes(pages, labels.limit(0))).count() == 0
