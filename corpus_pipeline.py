@@ -35,7 +35,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     bound_batches(spark)
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
     score = unused(docs, "_quality")
-    return quality.score(docs, quality.train(docs, labels), score).where(F.col(score) >= quality.THRESHOLD).select(*_columns(docs))
+    return quality.score(docs, quality.train(docs, labels, docs.where(~held_out("doc_id", 5, 0))), score).where(F.col(score) >= quality.THRESHOLD).select(*_columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
