@@ -1,24 +1,33 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags.  Pass one looks at each block
-alone: where it stands (a menu, footer, form or the like; inside an article or
-not), its share of linked characters, its length and its share of stop words.
-Enough stop words make a long block good, inside an article a shorter one with
-fewer of them too; links or place make it bad; what is short, or has few stop
-words, stays open inside an article, and outside where it has some.  Pass two
-gives an open block the label of its nearest decided neighbours within the same
-region (the article, or the rest of the page): inside an article one good
+alone: its length, its share of linked characters, its share of stop words, and
+where it stands.  Enough stop words make a long block good, inside an article a
+shorter one with fewer of them too; many links make a block outside articles bad;
+what is short, or has few stop words, stays open inside an article, and outside
+where it has some.  Inside an article links count against the neighbours: a block
+full of links (but for long prose that is not all links) beside another one is a
+list of links and bad, a lone one is open.
+Menus, forms and the like are bad by their element or by names that say so
+(``STRONG``).  Names that an article may have parts of (``WEAK``) are one vote
+only, which a long, unlinked block of an article with many stop words overrules;
+a name counts as a whole, so ``ad-hoc-report`` is no advert (``_hint``).
+
+Pass two gives an open block the label of its nearest decided neighbours within
+the same region (the article, or the rest of the page): inside an article one good
 neighbour is enough, and its edges count as good; elsewhere the nearer one
-decides, the edges of the page being bad.
+decides, the edges of the page being bad.  Where nothing on a page is good, as
+when it has no article and is in a language without listed stop words, its long
+unlinked blocks are.
 
 So an article of junk, tables or another language, where no block has stop words,
-is kept as a whole, and what stands between two lists of links is not.  A link-
-dense paragraph of an article is bad only where it is nearly all links, short, or
-has few stop words.
+is kept as a whole, and what stands between two lists of links is not.
 
 Defined results: a null or empty page, or one with no main text, gives an empty
 text; markup that is cut off or unbalanced never fails; whole pages are read,
-whatever their length, in time proportional to it; extra columns are kept.
+whatever their length, in time proportional to it; of two neighbours as near the
+bad one wins; repeated rows have equal results; an empty table gives an empty
+result; extra columns are kept, but for those that have the names of the new ones.
 """
 
 from __future__ import annotations
@@ -53,13 +62,21 @@ AROUND, ASIDE = frozenset({"header"}), frozenset({"nav", "footer", "aside", "for
 MAIN = frozenset({"article", "main"})
 HOLDERS = AROUND | ASIDE | MAIN | frozenset("div section ul ol dl table figure fieldset details body center td".split())
 BLOCKS = HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr th thead tbody tfoot caption figcaption blockquote pre address hr br html summary legend option".split())
-#: Words of class, id or role that mark a holder of something else.
-HINTS = frozenset(
-    """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent
-    gdpr notice notices alert disclaimer nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header
-    masthead comment comments commentlist disqus reply replies respond share sharing social related recommended
-    newsletter subscribe subscription signup login popup modal overlay toolbar pager pagination widget copyright
-    complementary contentinfo search""".split()
+#: Names (class, id or role) of holders of something else: decisive ones, and ones that long prose of an article overrules.
+STRONG = frozenset(
+    """cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments
+    commentlist disqus reply replies respond related recommended newsletter subscribe subscription signup login popup modal
+    pager pagination complementary contentinfo""".split()
+)
+WEAK = frozenset(
+    """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion notice notices alert
+    disclaimer header masthead share sharing social overlay toolbar widget copyright search""".split()
+)
+#: Words that may stand beside those in one name and change nothing: cookie-banner-box, site-footer, ad_slot_2.
+PLAIN = frozenset(
+    """site page main top bottom left right box bar block list section area container wrapper wrap inner outer content links
+    link buttons button icons form message slot unit post article primary secondary global text title thread policy js the
+    user users reader readers small large sticky inline body holder region panel column col row group item items wp""".split()
 )
 MANY_LINKS, ALL_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.34, 0.75, 70, 200, 0.10, 0.30
 
@@ -73,7 +90,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT, _CAMEL = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Block(NamedTuple):
@@ -81,38 +98,50 @@ class Block(NamedTuple):
     region: int  # 0 outside articles, else the number of the article
     placed_bad: bool
     linked: int
+    hinted: bool = False  # a weak name stands over it
 
 
-def _hinted(attrs: str, in_main: bool) -> bool:
+def _hint(attrs: str, in_main: bool) -> int:
+    """2 where a name in the attributes is decisive, 1 where it is a vote, else 0.
+
+    A name is a whole class, id or role; it counts if one of its words is listed and the others are listed or plain.
+    """
     if not attrs:
-        return False
+        return 0
+    if _HIDDEN.search(attrs):
+        return 2
+    most = 0
     for m in _NAMED.finditer(attrs):
-        words = {w.lower() for w in _SPLIT.split(m[1] or m[2] or m[3] or "")} | set(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
-        if found := words & HINTS:
-            return found != {"header"} or not in_main
-    return bool(_HIDDEN.search(attrs))
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w and not w.isdigit()}
+            found = words & (STRONG | WEAK)
+            if not found or found == {"header"} and in_main or not words <= STRONG | WEAK | PLAIN:
+                continue
+            most = max(most, 2 if found & STRONG else 1)
+    return most
 
 
 def cut_blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page in order, white space squeezed and character references decoded."""
     blocks: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open holders, and whether each is the start of a bad place
-    bad = mains = in_main = links = linked = 0
+    stack: list[tuple[str, int]] = []  # open holders, and whether each is the start of a bad (2) or doubtful (1) place
+    bad = doubtful = mains = in_main = links = linked = 0
 
     def close_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, mains if in_main else 0, bad > 0, min(linked, len(text))))
+                blocks.append(Block(text, mains if in_main else 0, bad > 0, min(linked, len(text)), doubtful > 0))
             parts.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal bad, in_main
-        name, was_bad = stack.pop()
-        bad -= was_bad
+        nonlocal bad, doubtful, in_main
+        name, level = stack.pop()
+        bad -= level == 2
+        doubtful -= level == 1
         in_main -= name in MAIN
 
     for m in _TOKEN.finditer(page):
@@ -144,23 +173,31 @@ def cut_blocks(page: str) -> list[Block]:
                 while any(b for _, b in stack):
                     pop()
                 mains += 1
-            is_bad = tag in ASIDE or tag in AROUND and not in_main or tag not in ("body",) and _hinted(attrs, bool(in_main) or tag in MAIN)
-            stack.append((tag, is_bad))
-            bad += is_bad
+            level = 2 if tag in ASIDE or tag in AROUND and not in_main else 0 if tag == "body" else _hint(attrs, bool(in_main) or tag in MAIN)
+            stack.append((tag, level))
+            bad += level == 2
+            doubtful += level == 1
             in_main += tag in MAIN
     close_block()
     return blocks
 
 
-def first_pass(b: Block) -> str:
-    """good, bad or open, from the block alone."""
+def _stops(b: Block) -> float:
+    words = b.text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(b: Block, beside_links: bool = True) -> str:
+    """good, bad or open, from the block alone, and whether a block full of links is its neighbour."""
     if b.placed_bad:
         return "bad"
-    links, short = b.linked / len(b.text), len(b.text) < SHORT
-    words = b.text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-    if links > MANY_LINKS and (not b.region or links > ALL_LINKS or short or stops < FEW_STOPS):
+    stops, short = _stops(b), len(b.text) < SHORT
+    if b.hinted and not (b.region and not b.linked and len(b.text) >= 2 * LONG and stops >= MANY_STOPS):
         return "bad"
+    if full_of_links(b):
+        if b.region and not short and stops >= FEW_STOPS and b.linked <= ALL_LINKS * len(b.text):
+            return "good"
+        return "bad" if beside_links or not b.region else "open"
     if short:
         return "open" if not b.linked or b.region else "bad"
     if stops >= MANY_STOPS and len(b.text) > LONG or b.region and stops >= FEW_STOPS:
@@ -168,9 +205,25 @@ def first_pass(b: Block) -> str:
     return "open" if b.region or stops >= FEW_STOPS else "bad"
 
 
+def full_of_links(b: Block) -> bool:
+    return b.linked > MANY_LINKS * len(b.text)
+
+
+def first_labels(blocks: list[Block]) -> list[str]:
+    """``first_pass`` of every block; the blocks before and after it, of its region, tell whether it is in a list of links."""
+    full = [full_of_links(b) for b in blocks]
+    out = []
+    for i, b in enumerate(blocks):
+        beside = any(0 <= k < len(blocks) and full[k] and blocks[k].region == b.region for k in (i - 1, i + 1))
+        out.append(first_pass(b, beside))
+    return out
+
+
 def second_pass(blocks: list[Block], labels: list[str]) -> list[str]:
     """Labels with every open block decided by its nearest decided neighbours of its region."""
     n = len(blocks)
+    if "good" not in labels and not any(b.region for b in blocks):  # nothing speaks for any block: its length must
+        labels = ["good" if not (b.placed_bad or b.hinted or b.linked) and len(b.text) >= SHORT else x for b, x in zip(blocks, labels, strict=True)]
     before: list[tuple[int, str] | None] = [None] * n
     after: list[tuple[int, str] | None] = [None] * n
     for found, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
@@ -178,7 +231,7 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[str]:
         for i in order:
             region = blocks[i].region
             found[i] = last.get(region)
-            if labels[i] != "open" and not blocks[i].placed_bad:
+            if labels[i] != "open" and not (blocks[i].placed_bad or blocks[i].hinted):
                 last[region] = (i, labels[i])
     out = []
     for i, (b, label) in enumerate(zip(blocks, labels, strict=True)):
@@ -199,7 +252,7 @@ def main_text(page: str | None) -> tuple[str, int, int]:
     if not page:
         return "", 0, 0
     blocks = cut_blocks(page)
-    labels = second_pass(blocks, [first_pass(b) for b in blocks])
+    labels = second_pass(blocks, first_labels(blocks))
     kept = [b.text for b, label in zip(blocks, labels, strict=True) if label == "good"]
     return " ".join(kept), len(blocks), len(kept)
 

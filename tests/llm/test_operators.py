@@ -416,6 +416,77 @@ def test_density_decides_inside_articles():
     assert page(f"<p>{prose_}</p>", links, "<p>Read on:</p>", links, f"<p>{junk}</p>", f"<p>{prose_}</p>") == f"{prose_} {junk} {prose_}"
 
 
+def in_article(*parts):
+    return html_main.main_text(f"<body><nav><a href=x>Menu</a></nav><article>{''.join(parts)}</article><footer>Foot</footer></body>")[0]
+
+
+@pytest.mark.parametrize("name", ['class="ad-hoc-report"', 'class="share-price"', 'id="search-for-meaning"', 'class="adHoc headerless"', 'class="read-ad"'])
+def test_names_of_parts_of_articles(name):
+    """A paragraph of 90 characters under a name that only holds a listed word stays."""
+    text = "The report of the day says that shares of the firm went up and down and then up again."
+    assert in_article("<h1>Head</h1>", f"<div {name}><p>{text}</p></div>") == f"Head {text}"
+
+
+@pytest.mark.parametrize("name", ['class="ad"', 'class="x cookie-notice"', 'id=site_footer', 'class="ad-slot-3"', 'class="adBanner"', 'role="search"', 'class="post-comments"', 'id="comments"', 'hidden'])
+def test_names_of_other_things(name):
+    text = "The report of the day says that shares of the firm went up and down and then up again."
+    assert in_article("<h1>Head</h1>", f"<div {name}><p>{text}</p></div>", f"<p>{text}</p>") == f"Head {text}"
+
+
+def test_links_of_articles():
+    first, text = "It is the first part of what the man had to say to us and to all of them on that day.", "Then it was over."
+    assert in_article(f"<p>{first}</p>", "<p>See <a href=b>part two</a></p>", f"<p>{text}</p>") == f"{first} See part two {text}"
+    assert in_article(f"<p>{first}</p>", "<p><a href=b>All of it is one link</a></p>", f"<p>{text}</p>") == f"{first} All of it is one link {text}"
+    assert in_article(f"<p>{first}</p>", "<ul><li><a href=b>One</a></li><li><a href=c>Two</a></li></ul>") == first
+
+
+def test_pages_without_stop_words():
+    words = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua"
+    assert html_main.main_text(f"<body><div><a href=x>Menu</a></div><p>{words}</p><p>{words}</p><div>Foot</div></body>")[0] == f"{words} {words}"
+
+
+def test_each_rule_alone():
+    """Two blocks that differ in one thing get different labels."""
+    of = lambda text, region=0, linked=0, hinted=False, beside=False: html_main.first_pass(html_main.Block(text, region, False, linked, hinted), beside)
+    long_, some = block(60, 1, 0.5), block(20, 1, 0.5)
+    assert len(long_) > html_main.LONG and html_main.SHORT < len(some) < html_main.LONG
+    assert (of(long_), of(some)) == ("good", "open")  # length
+    assert (of(long_), of(block(60, 1, 0.15)), of(block(60, 1, 0.0))) == ("good", "open", "bad")  # stop words
+    assert (of(long_), of(long_, linked=len(long_) // 2)) == ("good", "bad")  # links
+    assert (of("One link", 1, 8), of("One link", 1, 8, beside=True)) == ("open", "bad")  # a list of links
+    assert (of(some), of(some, 1)) == ("open", "good")  # place
+    prose_ = block(100, 3, 0.5)
+    assert (of(some, 1, hinted=True), of(prose_, 1, hinted=True), of(prose_, 0, hinted=True), of(prose_, 1, 9, hinted=True)) == ("bad", "good", "bad", "bad")  # a weak name
+    near = lambda *labels: html_main.second_pass([html_main.Block("x", 0, False, 0)] * len(labels), list(labels))
+    assert (near("good", "open", "good")[1], near("bad", "open", "good")[1]) == ("good", "bad")  # neighbours
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.sampled_from(["good", "bad", "open"]), st.booleans(), st.integers(1, 120)), max_size=14))
+def test_second_pass_by_brute_force(made):
+    """Every open block against all others, one by one."""
+    blocks = [html_main.Block("y" * n, region, placed and label == "bad", 0) for region, label, placed, n in made]
+    labels = [label for _, label, _, _ in made]
+    if "good" not in labels and not any(b.region for b in blocks):
+        labels = ["good" if not b.placed_bad and len(b.text) >= html_main.SHORT else x for b, x in zip(blocks, labels, strict=True)]
+    expected = list(labels)
+    for i, b in enumerate(blocks):
+        if labels[i] != "open":
+            continue
+        decided = [k for k, c in enumerate(blocks) if c.region == b.region and labels[k] != "open" and not c.placed_bad]
+        sides = [[k for k in decided if k < i], [k for k in decided if k > i]]
+        nearest = [(i - max(sides[0]), labels[max(sides[0])]) if sides[0] else None, (min(sides[1]) - i, labels[min(sides[1])]) if sides[1] else None]
+        if b.region:
+            expected[i] = "bad" if all(x and x[1] == "bad" for x in nearest) else "good"
+        elif not decided:
+            expected[i] = "good" if len(b.text) >= html_main.SHORT else "bad"
+        else:
+            both = [nearest[0] or (i + 1, "bad"), nearest[1] or (len(blocks) - i, "bad")]
+            least = min(d for d, _ in both)
+            expected[i] = "bad" if any(x == (least, "bad") for x in both) else "good"
+    assert html_main.second_pass(blocks, labels) == expected
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("psqjl"), st.integers(0, 10_000)), min_size=1, max_size=12), st.lists(st.integers(0, 9), max_size=6))
 def test_main_text_of_made_pages(article, around):
