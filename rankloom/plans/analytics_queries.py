@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from rankloom import surface
 from rankloom.functions.order import positions
+from rankloom.functions.shared import shared_folder
 from rankloom.functions.text import bucket, numeric_or_text_sort
 from rankloom.operators import evaluate, fairness, feedback, store
-from rankloom.plans.catalog import load, query
+from rankloom.plans.catalog import benchmark_queries, documents, load, query
 from rankloom.sources import sinks
-from rankloom.streaming import streams
+from rankloom.streaming import progress, streams
 
 SCORED = "SELECT d.lang AS lang, d.source AS source, l.quality::DOUBLE AS score FROM documents d JOIN labels l USING (doc_id)"
 FOUR = "floor({} * 1e4 + 0.5) / 1e4"
@@ -243,27 +243,55 @@ def _stream(spark, sf_dir):
     return spark.readStream.schema(load(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def _checkpoint(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp()
-
-
 @query("st8_windows", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def st8(spark, sf_dir):
-    """Daily counts of the stream, drained in complete mode."""
-    import uuid
-
-    counts = streams.tumbling_counts(_stream(spark, sf_dir), ["event_type"])
-    found = streams.drain(counts, f"w{uuid.uuid4().hex}", "complete", _checkpoint(spark))
-    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    """Daily counts of the stream, as its last batch leaves them in a result table."""
+    counts = streams.tumbling_counts(_stream(spark, sf_dir), ["event_type"]).select(F.col("window.start").alias("start"), "event_type", "n")
+    found = streams.drain(counts, ["start", "event_type"], "update", shared_folder(spark))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("st4_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def st4(spark, sf_dir):
     """First rows per user and type; the watermark spans the data."""
-    import uuid
-
-    found = streams.drain(streams.dedup(_stream(spark, sf_dir), ["user_id", "event_type"], late="400 days"), f"d{uuid.uuid4().hex}", "append", _checkpoint(spark))
+    found = streams.drain(streams.dedup(_stream(spark, sf_dir), ["user_id", "event_type"], late="400 days"), ["user_id", "event_type"], "append", shared_folder(spark))
     return found.select("user_id", "event_type")
+
+
+@query(
+    "st3_progress",
+    """WITH p AS (SELECT event_type, count(*) AS n, sum((value >= 50)::INT)::BIGINT AS done, max(ts) AS last FROM events WHERE ts IS NOT NULL GROUP BY event_type)
+SELECT event_type, n, done, date_trunc('milliseconds', last) AS last_at, date_trunc('milliseconds', last) + INTERVAL 10 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 MINUTE AS closed FROM p""",
+)
+def st3(spark, sf_dir):
+    """What a reader polls in the end: items and done ones of each type, and whether its timer has closed it (ST2, ST3)."""
+    items = _stream(spark, sf_dir).select(F.col("event_type").alias("key"), "ts", (F.col("value") >= 50).alias("done"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        found = streams.drain(progress.progress(items, "10 minutes", "1 minute"), ["key"], "update", shared_folder(spark))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return found.select(F.col("key").alias("event_type"), "n", "done", F.timestamp_millis("last_ms").cast("timestamp_ntz").alias("last_at"), "closed")
+
+
+# ------------------------------------------------------------------ the library in SQL
+
+TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')"
+
+
+@query(
+    "u5_sql_surface",
+    f"""WITH tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL),
+dl AS (SELECT doc_id, len({TOKENS}) AS dl FROM documents),
+raw AS (SELECT term, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf GROUP BY term),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl)))) AS score FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1e6 + 0.5) DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score, floor(1 / (1 + exp(-(score - 10))) * 1e4 + 0.5) / 1e4 AS shown, rank FROM r WHERE rank <= 10""",
+)
+def u5(spark, sf_dir):
+    """A search said in SQL alone: the table functions rank, scalar functions shape what is shown."""
+    surface.register(spark)
+    surface.tables(spark, documents(spark, sf_dir), benchmark_queries(spark, sf_dir))
+    return spark.sql("SELECT query_id, doc_id, rl_bucket(score, 4) AS score, rl_bucket(rl_sigmoid(score - 10), 4) AS shown, CAST(rank AS BIGINT) AS rank FROM rl_ranked() WHERE rank <= 10")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankloom.config import DEFAULT
+from rankloom.streaming.ledger import ResultTable, run
 
 
 def log_stream(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
@@ -52,27 +53,16 @@ def running_budget(df: DataFrame, limit: float = DEFAULT.budget_usd) -> DataFram
 
 
 def upsert_into(path: str, keys: list[str], version: str):
-    """A foreachBatch function: the newest row of each key is kept in the table, versions of it side by side on disk."""
-    from rankloom.operators.store import upsert
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{path}/v{batch_id}"
-        if batch_id:
-            try:
-                batch = upsert(spark.read.parquet(f"{path}/v{batch_id - 1}"), batch, keys, version)
-            except Exception as e:  # the first batch after an empty start
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        else:
-            batch = upsert(batch, batch, keys, version)
-        batch.write.mode("overwrite").parquet(target)
-
-    return run
-
-
-def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there into an in-memory table and gives that."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """A foreachBatch function: the newest row of each key is kept in the result table at ``path`` (``ledger.ResultTable``)."""
+    return lambda batch, batch_id: ResultTable(batch.sparkSession, path, keys, version).write(batch, "upsert", batch_id)
+
+
+def drain(df: DataFrame, keys: list[str], mode: str, where: str) -> DataFrame:
+    """Runs a stream over what is there into a result table under ``where``, keyed by ``keys``, and gives its rows.
+
+    Rows go from executors to the table; the driver holds none of them.
+    """
+    table = ResultTable(df.sparkSession, f"{where}/table", keys)
+    run(df, table, "drain", f"{where}/checkpoint", mode)
+    found = table.read()
+    return df.sparkSession.createDataFrame([], df.schema) if found is None else found

@@ -12,6 +12,7 @@ from rankloom.operators import dimensions, evaluate, fairness, feedback, matchin
 from rankloom.plans import registry
 from rankloom.sources import readers, sinks
 from rankloom.streaming import streams
+from rankloom.streaming.ledger import ResultTable
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -268,7 +269,7 @@ def test_upsert_stream(spark, tmp_path):
     rows = streams.log_stream(spark, str(tmp_path / "in"), "k int, v string, n int")
     run = rows.writeStream.foreachBatch(streams.upsert_into(str(tmp_path / "out"), ["k"], "n")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
-    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out" / "v0")).collect()} == {(1, "b"), (2, "c")}
+    assert {(r.k, r.v) for r in ResultTable(spark, str(tmp_path / "out"), ["k"], "n").read().collect()} == {(1, "b"), (2, "c")}
 
 
 def test_config():
