@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.functions.shared import shared_folder
 from rankloom.functions.text import bucket, content_hash, ngrams, tokens, words
-from rankloom.operators import evaluate, retrieval, store
+from rankloom.operators import evaluate, live_index, retrieval, store
 from rankloom.plans.catalog import benchmark_queries, documents, load, query
+from rankloom.streaming.ledger import ResultTable
 
 TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')"
 SIX = "floor({} * 1e6 + 0.5) / 1e6"
@@ -210,3 +212,27 @@ def j14(spark, sf_dir):
     n = asked.groupBy("query_id").agg(F.count("*").alias("n"))
     hits = grams(documents(spark, sf_dir), "doc_id").join(retrieval._small(asked), "g").groupBy("query_id", "doc_id").agg(F.count("*").alias("c"))
     return hits.join(retrieval._small(n), "query_id").select("query_id", "doc_id", bucket(F.col("c") / F.col("n")).alias("ratio"))
+
+
+@query(
+    "x11_match_run",
+    f"""WITH d AS (SELECT min(doc_id) AS doc_id, any_value(text) AS text FROM documents GROUP BY sha256(coalesce(text, ''))), {BM25.replace("FROM documents", "FROM d").replace("benchmark, documents", "benchmark, d")},
+r AS (SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id ORDER BY floor(s * 1e6 + 0.5) DESC, doc_id) AS rank FROM bmhit)
+SELECT query_id, doc_id, floor(s * 1e4 + 0.5) / 1e4 AS score, rank FROM r""",
+)
+def x11(spark, sf_dir):
+    """Three runs over an index that is kept up: labelled documents, then all others while one language leaves, which then comes back.
+
+    What is left equals an index built anew: every distinct text, under its smallest id (X11).
+    """
+    docs, asked = documents(spark, sf_dir), benchmark_queries(spark, sf_dir)
+    labelled = load(spark, sf_dir, "labels").select("doc_id").distinct()
+    german = load(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id")
+    folder = shared_folder(spark)
+    index = live_index.LiveIndex(spark, f"{folder}/index", buckets=16)
+    results = ResultTable(spark, f"{folder}/results", ["query_id", "doc_id"], "run", buckets=8)
+    live_index.match_run(index, results, "runs", 0, asked, docs.join(labelled, "doc_id", "left_semi"))
+    index.update("upkeep", 0, docs.join(labelled, "doc_id", "left_anti"), german)
+    live_index.match_run(index, results, "runs", 1, asked, docs.join(german, "doc_id", "left_semi"))
+    found = results.read().where("status = 'scored'")
+    return found.select("query_id", "doc_id", bucket(F.col("score"), 4).alias("score"), F.col("rank").cast("long").alias("rank"))
