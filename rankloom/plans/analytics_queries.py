@@ -8,6 +8,7 @@ from rankloom import surface
 from rankloom.functions.order import positions
 from rankloom.functions.shared import shared_folder
 from rankloom.functions.text import bucket, numeric_or_text_sort
+from rankloom.functions.tree_hash import tree_hash
 from rankloom.operators import evaluate, fairness, feedback, store
 from rankloom.plans.catalog import benchmark_queries, documents, load, query
 from rankloom.sources import sinks
@@ -58,13 +59,18 @@ def c04(spark, sf_dir):
 
 @query(
     "c05_audit_record",
-    """SELECT source, count(*) AS n_documents, bool_or(n_chars < 200) AS review_required, substr(sha256(string_agg(substr(sha256(coalesce(text, '')), 1, 16), ',' ORDER BY doc_id)), 1, 16) AS hashes FROM documents GROUP BY source""",
+    """WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, n_chars, substr(sha256(coalesce(text, '')), 1, 16) AS h FROM documents),
+r1 AS (SELECT source, p // 16 AS p, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, ',' ORDER BY p)) END AS h FROM r GROUP BY source, p // 16),
+r2 AS (SELECT source, p // 16 AS p, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, ',' ORDER BY p)) END AS h FROM r1 GROUP BY source, p // 16),
+r3 AS (SELECT source, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, ',' ORDER BY p)) END AS h FROM r2 GROUP BY source)
+SELECT source, n_documents, review_required, substr(h, 1, 16) AS hashes FROM r3 JOIN (SELECT source, count(*) AS n_documents, bool_or(n_chars < 200) AS review_required FROM r GROUP BY source) USING (source)""",
 )
 def c05(spark, sf_dir):
-    """A record per group, flattened: hashes of all its texts in order, and whether any needs a review."""
-    docs = load(spark, sf_dir, "documents").withColumn("h", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16))
-    hashes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "h"))), lambda x: x.h), ",")
-    return docs.groupBy("source").agg(F.count("*").alias("n_documents"), F.bool_or(F.col("n_chars") < 200).alias("review_required"), F.substring(F.sha2(hashes, 256), 1, 16).alias("hashes"))
+    """A record per source: a tree hash of all its texts in order (up to 16 ** 3 of them in the oracle), and whether any needs a review."""
+    docs = load(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16).alias("h"))
+    counts = docs.groupBy("source").agg(F.count("*").alias("n_documents"), F.bool_or(F.col("n_chars") < 200).alias("review_required"))
+    hashes = tree_hash(docs, "source", ["doc_id"], "h", fairness.FAN)
+    return counts.join(hashes, "source").select("source", "n_documents", "review_required", F.substring("hash", 1, 16).alias("hashes"))
 
 
 @query("e05_label_means", f"SELECT lang, {FOUR.format('avg(CASE WHEN quality = 1 THEN n_chars END)')} AS mean_good, {FOUR.format('avg(CASE WHEN quality = 0 THEN n_chars END)')} AS mean_poor FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")

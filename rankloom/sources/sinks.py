@@ -16,10 +16,15 @@ def export_csv(results: DataFrame, path: str) -> None:
     results.withColumns({c: bucket(F.col(c), 4) for c in scores}).select("query_id", *EXPORT).orderBy("query_id", "rank").write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Ranks that one JSON line of an export may hold.
+JSON_BLOCK = 1_000
+
+
 def export_json(results: DataFrame, path: str) -> None:
-    """One nested object per query."""
+    """One nested object for each query and block of ``JSON_BLOCK`` ranks: query_id, block, rankings in order of rank."""
     entry = F.sort_array(F.collect_list(F.struct(*EXPORT)))
-    results.groupBy("query_id").agg(entry.alias("rankings")).write.mode("overwrite").json(path)
+    block = F.floor((F.col("rank") - 1) / JSON_BLOCK).alias("block")
+    results.groupBy("query_id", block).agg(entry.alias("rankings")).write.mode("overwrite").json(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -39,16 +44,6 @@ def corpus_hash(docs: DataFrame) -> DataFrame:
     )
 
 
-def corpus_hash_exact(docs: DataFrame) -> str:
-    """sha-256 of all ids and texts in the order of the ids, 16 digits, for corpora that one machine may read row by row."""
-    import hashlib
-
-    digest = hashlib.sha256()
-    for r in docs.select("doc_id", "text").orderBy("doc_id").toLocalIterator():
-        digest.update(f"{r.doc_id}:{r.text or ''}\n".encode())
-    return digest.hexdigest()[:16]
-
-
 def build_index(docs: DataFrame, path: str, model: str, config_hash: str) -> None:
     """Postings and one meta row, keyed by the raw corpus and the configuration."""
     cut = docs.select("doc_id", tokens("text").alias("ts"))
