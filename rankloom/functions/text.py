@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from rankloom.config import DEFAULT
 
-#: Token class that Java, RE2 and SQL engines read alike.
-TOKEN = r"[a-z0-9_]+"
+#: Letters, digits and underscores of any script; a word with accents is one token.
+TOKEN = r"[\p{L}\p{N}_]+"
 
 
 def text(c: Column | str) -> Column:

@@ -11,6 +11,7 @@ from rankloom.functions.text import bucket, numeric_or_text_sort
 from rankloom.functions.tree_hash import tree_hash
 from rankloom.operators import evaluate, fairness, feedback, store
 from rankloom.plans.catalog import benchmark_queries, documents, load, query
+from rankloom.plans.retrieval_queries import TOKENS
 from rankloom.sources import sinks
 from rankloom.streaming import progress, streams
 
@@ -282,7 +283,6 @@ def st3(spark, sf_dir):
 
 # ------------------------------------------------------------------ the library in SQL
 
-TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')"
 
 
 @query(

@@ -10,7 +10,7 @@ from rankloom.operators import evaluate, live_index, retrieval, store
 from rankloom.plans.catalog import benchmark_queries, documents, load, query
 from rankloom.streaming.ledger import ResultTable
 
-TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')"
+TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 SIX = "floor({} * 1e6 + 0.5) / 1e6"
 
 

@@ -259,9 +259,21 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_table(spark: SparkSession, url: str, name: str, **options) -> DataFrame:
-    """A relational table over JDBC."""
-    return spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options).load()
+def read_table(spark: SparkSession, url: str, name: str, key: str | None = None, partitions: int | None = None, fetch: int = 10_000, **options) -> DataFrame:
+    """A relational table over JDBC, read by ``partitions`` connections that each take a range of the numeric ``key``.
+
+    The range is asked of the database first (one row).  Columns and filters that a plan puts on the result are pushed into
+    each connection's statement; rows without a key come with the first range.  Without a key one connection reads all.
+    """
+    reader = spark.read.format("jdbc").option("url", url).option("fetchsize", fetch).options(**options)
+    if key is None:
+        return reader.option("dbtable", name).load()
+    ends = reader.option("query", f"SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {name}").load().first()
+    reader = spark.read.format("jdbc").option("url", url).option("fetchsize", fetch).options(**options).option("dbtable", name)
+    if ends[0] is None:
+        return reader.load()
+    n = partitions or spark.sparkContext.defaultParallelism
+    return reader.option("partitionColumn", key).option("lowerBound", str(ends[0])).option("upperBound", str(ends[1] + 1)).option("numPartitions", n).load()
 
 
 def best_labelled_query(labels: DataFrame, docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from rankloom.config import DEFAULT
 
 #: name(parameters) -> type: expression.  They say in SQL what ``functions.text`` says with columns.
 SCALARS = {
-    "rl_tokens(s STRING)": ("ARRAY<STRING>", r"regexp_extract_all(lower(coalesce(s, '')), '[a-z0-9_]+', 0)"),
+    "rl_tokens(s STRING)": ("ARRAY<STRING>", r"regexp_extract_all(lower(coalesce(s, '')), '[\\p{L}\\p{N}_]+', 0)"),
     "rl_words(s STRING)": ("ARRAY<STRING>", r"filter(split(lower(coalesce(s, '')), '\\s+'), w -> w <> '')"),
     "rl_ngrams(ws ARRAY<STRING>, n INT)": ("ARRAY<STRING>", "CASE WHEN size(ws) >= n THEN transform(sequence(1, size(ws) - n + 1), i -> array_join(slice(ws, i, n), ' ')) ELSE CAST(array() AS ARRAY<STRING>) END"),
     "rl_content_hash(s STRING)": ("STRING", "sha2(coalesce(s, ''), 256)"),
