@@ -67,8 +67,13 @@ class ByteTokens:
         # the vocabulary numbers its tokens in the order of its merges, so an id is a merge's rank
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         ranks = {bytes(of[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
-        # the pattern takes a pre-token whole: merging is all that is asked for
+        # the pattern takes a pre-token whole: merging is all that is asked for.  Where a vocabulary is not numbered in
+        # the order of its merges (some pieces' ids differ from the tokenizer's), every text goes through the tokenizer
         self.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        some = [t for t in self.tokenizer.get_vocab() if t not in special and t.isascii()][::25]
+        pairs = [bytes(of[c] for c in t + u) for t, u in zip(some, some[1:], strict=False)]
+        shown = {b: c for c, b in of.items()}
+        self.ordered = all(self.merge(p.decode()) == [t.id for t in self.tokenizer.model.tokenize("".join([shown[b] for b in p]))] for p in pairs)
         self.words: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
 
@@ -91,7 +96,7 @@ class ByteTokens:
         return found
 
     def ids(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
+        if not self.ordered or _UNUSUAL.search(text):
             return self.whole(text)
         if _SPACES.search(text):
             return b"".join([self._word(w) for w in _WORD.findall(text)])
