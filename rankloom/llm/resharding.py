@@ -44,7 +44,8 @@ from rankloom.llm.common import Scratch, table, unused
 
 STEPS, SUB_BLOCKS = 16, 16
 ROW_OVERHEAD = 16
-SHARD, SLOT, FILES = "layout_shard", "layout_slot", 8  # files: tasks that write one shard
+SHARD, SLOT = "layout_shard", "layout_slot"
+FILES, FILE_BYTES = 8, 256 << 20  # tasks that write one shard at least, and the stored bytes that each may have to write
 
 
 def min_cost_flow(n_nodes: int, edges: list[tuple[int, int, int, float]], source: int, sink: int) -> list[int]:
@@ -197,9 +198,15 @@ class Layout(NamedTuple):
     schema: T.StructType
 
 
-def _write(rows: DataFrame, path: str, in_place: DataFrame | None = None) -> Layout:
-    """Store ``rows``, each shard by ``FILES`` tasks, and ``in_place``, rows that lie together by shard already, as they lie."""
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != SHARD]), F.lit(FILES))
+def _stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df``, a scan, reads, as the optimizer knows them."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def _write(rows: DataFrame, path: str, shard_bytes: int, in_place: DataFrame | None = None) -> Layout:
+    """Store ``rows``, each shard by a task for every ``FILE_BYTES`` of ``shard_bytes``, and ``in_place``, rows that lie together by shard already, as they lie."""
+    tasks = max(FILES, -(-shard_bytes // FILE_BYTES))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != SHARD]), F.lit(tasks))
     dealt = rows.repartition(F.col(SHARD), spread)
     (dealt if in_place is None else in_place.union(dealt)).write.option("compression", "zstd").partitionBy(SHARD).parquet(path)
     jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
@@ -209,9 +216,9 @@ def _write(rows: DataFrame, path: str, in_place: DataFrame | None = None) -> Lay
     return Layout(folders, rows.drop(SHARD).schema)
 
 
-def store_layout(docs: DataFrame, shard: Column, path: str) -> Layout:
-    """Write ``docs`` under ``path`` by the int column ``shard``."""
-    return _write(docs.drop(SLOT).withColumn(SHARD, shard.cast("int")), path)
+def store_layout(docs: DataFrame, shard: Column, path: str, n_shards: int = 1) -> Layout:
+    """Write ``docs``, a table as it is stored, under ``path`` by the int column ``shard`` of about ``n_shards`` values."""
+    return _write(docs.drop(SLOT).withColumn(SHARD, shard.cast("int")), path, _stored_bytes(docs) // n_shards)
 
 
 def read_layout(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -256,7 +263,7 @@ def reshard_layout(spark: SparkSession, layout: Layout, new_shards: int, path: s
     whole = lambda stays: joined.where((F.col(n.whole) == F.col(old)) == stays).select(*columns, F.col(n.whole).alias(SHARD))
     moved, met = whole(False).union(divided.select(*columns, shard.alias(SHARD))), F.col(SHARD).isin(sorted(affected))
     # rows that stay are written by the task that reads their file; the rest is shuffled
-    written = _write(moved.where(met), path, whole(True).where(met))
+    written = _write(moved.where(met), path, _stored_bytes(stored) // new_shards, whole(True).where(met))
     return Layout({j: f for j, f in layout.folders.items() if j not in affected} | written.folders, written.schema)
 
 
@@ -264,7 +271,7 @@ def op6_resharding(spark: SparkSession, sf_dir: str, old_shards: int = 32, new_s
     """All documents from a stored layout of 32 hashed shards into one of 40, law ``rows``, as the files of the new one have them."""
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark)
-    old = store_layout(docs, F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)), f"{scratch.root}/old")
+    old = store_layout(docs, F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)), f"{scratch.root}/old", old_shards)
     scratch.sweep()
     rows = read_layout(spark, reshard_layout(spark, old, new_shards, f"{scratch.root}/new", "old_shard"))
     return rows.select(
