@@ -256,6 +256,9 @@ def encode_streams(df: DataFrame, payload: str = "payload", media: str = "media"
 def parse_streams(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with what its streams hold: read_payload, units, packets, cc_errors, stream_type, streams, error.
 
+    Its other columns stay, but for any of these names, which are replaced; repeated rows stay, and an empty table gives an
+    empty result.
+
     ``streams`` lists every elementary stream where there are several, else it is null.
     """
     new = {f.name for f in PARSED}
