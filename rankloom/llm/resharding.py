@@ -200,7 +200,7 @@ class Layout(NamedTuple):
 
 def _stored_bytes(df: DataFrame) -> int:
     """Bytes of the files that ``df``, a scan, reads, as the optimizer knows them."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def _write(rows: DataFrame, path: str, shard_bytes: int, in_place: DataFrame | None = None) -> Layout:
