@@ -1,7 +1,8 @@
 """Skill graph: small relational tables, one-hop expansion, tiered matching, canonical names.
 
-The graph is data: pass your own rows, or use the small seed below.  Its sides
-are tiny and broadcast; documents are the large side everywhere.
+The graph is data: pass your own rows, or use the small seed below.  Its tables come
+from the driver and are broadcast; what grows with the queries is broadcast only where its
+size was counted first; documents are the large side everywhere.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import ngrams, text
+from rankloom.operators.retrieval import _small
 
 #: surface | canonical | group | importance | adjacent canonicals | parents
 SEED = """
@@ -120,7 +122,7 @@ def tiered_match(wanted: DataFrame, owned: DataFrame, graph: Graph) -> DataFrame
         for level, value in CREDIT[tier].items():
             credit = F.when((F.col("tier") == i) & (F.col("level") == level), value).otherwise(credit)
     best = Window.partitionBy("query_id", "doc_id", "skill").orderBy("tier", F.desc("credit"), "via")
-    found = owned.withColumnRenamed("skill", "via").join(F.broadcast(routes), "via").withColumn("credit", credit).withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    found = owned.withColumnRenamed("skill", "via").join(_small(routes), "via").withColumn("credit", credit).withColumn("_n", F.row_number().over(best)).where("_n = 1")
     name = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier") + 1)
     return found.select("query_id", "doc_id", "skill", "weight", name.alias("match_type"), F.col("via").alias("matched"), "credit")
 
@@ -130,7 +132,7 @@ def coverage(matches: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFram
     core = F.col("weight") >= 2
     total = wanted.groupBy("query_id").agg(F.sum("weight").alias("w"), F.sum(core.cast("int")).alias("n_core"))
     got = matches.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("credit")).alias("got"), F.sum((core & (F.col("credit") > 0)).cast("int")).alias("core"))
-    pairs = docs.select("doc_id").crossJoin(F.broadcast(total))
+    pairs = docs.select("doc_id").crossJoin(_small(total))
     safe = lambda a, b: F.when(b == 0, 0.0).otherwise(F.coalesce(a, F.lit(0)) / F.when(b == 0, 1).otherwise(b))
     return pairs.join(got, ["query_id", "doc_id"], "left").select("query_id", "doc_id", safe(F.col("got"), F.col("w")).alias("d1"), safe(F.col("core"), F.col("n_core")).alias("core_coverage"))
 
@@ -143,7 +145,7 @@ def overlap(wanted: DataFrame, owned: DataFrame, graph: Graph) -> DataFrame:
     by = m.groupBy("query_id", "doc_id").agg(*lists)
     of = wanted.groupBy("query_id").agg(F.sort_array(F.collect_set("skill")).alias("wanted"))
     score = (F.size("exact") + 0.6 * F.size("adjacent") + 0.3 * F.size("group")) / F.size("wanted")
-    return by.join(F.broadcast(of), "query_id").select(
+    return by.join(_small(of), "query_id").select(
         "query_id", "doc_id", "exact", "adjacent", F.col("group").alias("grouped"),
         F.array_except("wanted", F.concat("exact", "adjacent", "group")).alias("missing"), F.least(F.lit(1.0), score).alias("combined"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import bucket
 from rankloom.operators import dimensions as dims
-from rankloom.operators import matching, profiles, sanitize, skills
+from rankloom.operators import matching, profiles, retrieval, sanitize, skills
 from rankloom.plans.catalog import documents, load, query
 from rankloom.sources import readers
 
@@ -199,7 +199,7 @@ def j07(spark, sf_dir):
 @query("j13_cross_pairs", "SELECT item_id AS query_id, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM benchmark, documents GROUP BY 1")
 def j13(spark, sf_dir):
     asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    return load(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(asked)).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    return load(spark, sf_dir, "documents").select("doc_id").crossJoin(retrieval._small(asked)).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
 @query("j10_symmetric_pairs", "SELECT DISTINCT a.source, p.y AS lang_near, count(*) OVER (PARTITION BY a.source, p.y) AS n FROM documents a JOIN (VALUES ('en', 'de'), ('de', 'en'), ('fr', 'es'), ('es', 'fr')) p(x, y) ON a.lang = p.x")

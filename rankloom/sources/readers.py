@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.config import DEFAULT
+from rankloom.surface import ObjectSource
 
 # Formats by extension.
 EXTENSIONS = {
@@ -203,18 +204,28 @@ def extract_text(files: DataFrame, plugins: dict[str, Callable[[bytes], str]] |
     return own.union(_plugged(found.where(~F.col("format").isin(plain)), {"docx": docx_text, "odt": odt_text, "rtf": rtf_text} | (plugins or {})))
 
 
-def read_directory(spark: SparkSession, path: str, recursive: bool = False, min_chars: int = DEFAULT.min_chars, plugins=None) -> DataFrame:
-    """doc_id (file stem; parent_stem where stems clash), path, format, text of files with enough text, those in zip files too.
+def read_directory(spark: SparkSession, path: str, recursive: bool = False, min_chars: int = DEFAULT.min_chars, plugins=None, most_bytes: int | None = 50_000_000, refused: bool = False) -> DataFrame:
+    """doc_id (file stem; parent_stem where stems clash), path, format, text, reason of files with enough text, those in zip files too.
 
-    Hidden files, other archives and archives in archives are skipped; ``members`` tells which members have no content, and why.
+    Hidden files, other archives and archives in archives are skipped.  With ``refused`` what could not be read stays, as a
+    row without text that says why: members over ``most_bytes`` (None: no bound), damaged or locked archives, formats
+    without a reader, files with less than ``min_chars`` characters.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.regexp_extract("path", r"([^/!]+)$", 1)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     shown = ~name.rlike(r"^(\.|__)") & ~F.col("path").contains("!__MACOSX/")
-    inside = members(files.where(shown & (ext == "zip"))).where(F.col("content").isNotNull())
+    inside = members(files.where(shown & (ext == "zip")), most_bytes)
+    lost = inside.where(F.col("content").isNull() & shown).select("path", F.lit("archive").alias("format"), F.lit(None).cast("string").alias("text"), "reason")
+    inside = inside.where(F.col("content").isNotNull())
     files = files.select("path", "content").where(~ext.isin(ARCHIVES)).union(inside.select("path", "content").where(~ext.isin(ARCHIVES)))
-    found = extract_text(files.where(shown), plugins).where(F.length(F.trim("text")) > min_chars)
+    found = extract_text(files.where(shown), plugins)
+    enough = F.length(F.trim("text")) > min_chars
+    if refused:
+        reason = F.coalesce("reason", F.when(~F.coalesce(enough, F.lit(False)), F.lit(f"no more than {min_chars} characters")))
+        found = found.select("path", "format", F.when(enough, F.col("text")).alias("text"), reason.alias("reason")).union(lost)
+    else:
+        found = found.where(enough)
     return with_stems(found)
 
 
@@ -248,10 +259,16 @@ def parse_labels(raw: str) -> dict[str, dict[str, float]]:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, doc_id, grade of a label file (small by nature: it is written by hand)."""
-    raw = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    rows = [(q, d, g) for q, grades in parse_labels(raw).items() for d, g in grades.items()]
-    return spark.createDataFrame(rows, "query_id string, doc_id string, grade double")
+    """query_id, doc_id, grade of label files, each of one or several JSON objects {query: {document: grade}}.
+
+    Files are read and taken apart by tasks; of a pair that is graded again the last place in its file counts.
+    """
+    spark.dataSource.register(ObjectSource)
+    objects = spark.read.format("rankloom_objects").load(path)
+    graded = objects.select("file", "place", F.explode(F.from_json("object", "map<string,map<string,string>>")).alias("query_id", "grades"))
+    each = graded.select("file", "place", "query_id", F.explode("grades").alias("doc_id", "said"))
+    grades = each.select("file", "place", "query_id", "doc_id", F.col("said").try_cast("double").alias("grade")).where("grade IS NOT NULL")
+    return grades.groupBy("query_id", "doc_id").agg(F.max_by("grade", F.struct("file", "place")).alias("grade"))
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:

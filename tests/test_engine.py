@@ -200,6 +200,13 @@ def test_labels_and_json():
     assert readers.check_upload("", 3) and not readers.check_upload("x", 3) and readers.check_upload("x", 51)
 
 
+def test_read_labels(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"q": {"x": 1, "y": "none"}}\n{"q": {"x": 0.5, "z": 0}} {"r": {"x": 1}} junk')
+    (tmp_path / "b.json").write_text('{"s": {"é": 0.25}}')
+    got = {(r.query_id, r.doc_id): r.grade for r in readers.read_labels(spark, str(tmp_path)).collect()}
+    assert got == {("q", "x"): 0.5, ("q", "z"): 0.0, ("r", "x"): 1.0, ("s", "é"): 0.25}
+
+
 def test_read_directory(spark, tmp_path):
     import zipfile
 
@@ -229,6 +236,8 @@ def test_read_directory(spark, tmp_path):
     assert told["broken.zip"].reason and told["deep.txt"].content is None and "more than 50" in told["deep.txt"].reason
     assert all(r.content for r in readers.members(zips, most_bytes=None).collect() if "!" in r.path)
     assert set(found) == {f"{tmp_path.name}_one", "a_one", "page", "bytes", "w", "rich", "open", "deep"} and "x" not in found["page"].text.split()
+    every = {r.path.rsplit("/", 1)[-1]: (r.text, r.reason) for r in readers.read_directory(spark, str(tmp_path), recursive=True, most_bytes=50, refused=True).collect()}
+    assert {k for k, (text, _) in every.items() if text is None} == {"bad.pdf", "short.txt", "broken.zip", "deep.txt"} and all(reason for text, reason in every.values() if text is None)
     files = spark.read.format("binaryFile").load(str(tmp_path / "bad.pdf"))
     assert readers.extract_text(files).first().reason == "no extractor for pdf"
     assert readers.members(spark.read.format("binaryFile").load(str(tmp_path / "w.docx"))).first().path.endswith("!word/document.xml")
