@@ -44,7 +44,7 @@ def logit(p: Column) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))  # least() and greatest() pass over nulls
 
 
 def bucket(x: Column, digits: int = 6) -> Column:

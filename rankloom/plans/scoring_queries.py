@@ -339,7 +339,7 @@ def cv(spark, sf_dir):
 def _signal_sql(name: str) -> str:
     hits = [f"CASE WHEN regexp_matches(t, '{p}') THEN {w} ELSE 0 END" for p, w in dims.SIGNALS[name]]
     if name == "leadership":
-        hits.append("coalesce(least(1.0, try_cast(regexp_extract(t, '([0-9]+)[\\s-]*(engineer|person|member|people)\\s*(team|group)', 1) AS INT) / 6), 0)")
+        hits.append("least(1.0, coalesce(try_cast(regexp_extract(t, '([0-9]+)[\\s-]*(engineer|person|member|people)\\s*(team|group)', 1) AS INT), 0) / 6)")
     return f"greatest(0, {', '.join(hits)})"
 
 
@@ -395,7 +395,7 @@ REQUIRED_TERMS = [
 def _raw_signal_sql(name: str) -> str:
     hits = [f"CASE WHEN regexp_matches(t, '{p}') THEN {w} ELSE 0 END" for p, w in dims.RAW_SIGNALS[name]]
     if name == "leadership":
-        hits.append("coalesce(least(1.0, try_cast(regexp_extract(t, '([0-9]+)[\\s-]*(engineer|person|member|people)\\s*(team|group)', 1) AS INT) / 6), 0)")
+        hits.append("least(1.0, coalesce(try_cast(regexp_extract(t, '([0-9]+)[\\s-]*(engineer|person|member|people)\\s*(team|group)', 1) AS INT), 0) / 6)")
     return f"greatest(0, {', '.join(hits)})"
 
 

@@ -26,7 +26,7 @@ SCALARS = {
     "rl_content_hash(s STRING)": ("STRING", "sha2(coalesce(s, ''), 256)"),
     "rl_sigmoid(x DOUBLE)": ("DOUBLE", "1 / (1 + exp(-x))"),
     "rl_logit(p DOUBLE)": ("DOUBLE", "ln(p / (1 - p))"),
-    "rl_clamp(x DOUBLE, low DOUBLE, high DOUBLE)": ("DOUBLE", "greatest(low, least(high, x))"),
+    "rl_clamp(x DOUBLE, low DOUBLE, high DOUBLE)": ("DOUBLE", "CASE WHEN x IS NOT NULL THEN greatest(low, least(high, x)) END"),
     "rl_bucket(x DOUBLE, digits INT)": ("DOUBLE", "floor(x * power(10, digits) + 0.5) / power(10, digits)"),
     "rl_tolerant_int(s STRING, low INT, high INT)": ("INT", "greatest(low, least(high, coalesce(try_cast(s AS INT), 0)))"),
     "rl_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>)": ("DOUBLE", "aggregate(zip_with(a, b, (x, y) -> x * y), CAST(0 AS DOUBLE), (s, x) -> s + x)"),
