@@ -15,7 +15,9 @@
    components by label propagation over contracted links, in Spark.
 
 A large group of copies or near copies thus never meets in one task and never
-yields all its pairs, and no link between different texts is given up.
+yields all its pairs.  No link between different texts is given up for the size of
+a group; what sketches can miss is a pair at 0.75 that shares no band (5e-6, and
+less above), and within blocks one whose estimate is five deviations low (3e-7).
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing, not even each other; rows of one doc_id count as one document; rows
