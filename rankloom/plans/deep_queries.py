@@ -164,3 +164,25 @@ def c07(spark, sf_dir):
     )
     found = fairness.verify_reproducibility(fairness.audit_record(results, docs, "c"), fairness.audit_record(results, changed, "c"))
     return found.select("query_id", F.array_join("differences", ",").alias("differences"), "reproducible")
+
+
+STOPS = ["the", "of", "and", "der", "de"]
+_KEPT = f"list_filter({TOKENS}, lambda t: length(t) >= 2 AND t NOT IN ({', '.join(repr(s) for s in STOPS)}))"
+_RUNS = "list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
+
+
+@query(
+    "r03_tfidf_ngrams",
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_RUNS}) AS term FROM (SELECT doc_id, {_KEPT} AS ws FROM documents)) GROUP BY ALL),
+q AS MATERIALIZED (SELECT item_id AS query_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_RUNS}) AS term FROM (SELECT item_id, {_KEPT} AS ws FROM benchmark)) GROUP BY ALL),
+f AS MATERIALIZED (SELECT term, count(*) AS df, sum(tf) AS cf FROM (SELECT term, tf FROM d UNION ALL SELECT term, tf FROM q) GROUP BY term ORDER BY cf DESC, term LIMIT 10000),
+i AS MATERIALIZED (SELECT term, ln((1 + (SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1 AS idf FROM f),
+w AS MATERIALIZED (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM d JOIN i USING (term)), v AS MATERIALIZED (SELECT query_id, term, (1 + ln(tf)) * idf AS w FROM q JOIN i USING (term)),
+nw AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY doc_id), nv AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM v GROUP BY query_id),
+p AS (SELECT query_id, doc_id, sum(w.w * v.w) AS dot FROM w JOIN v USING (term) GROUP BY ALL)
+SELECT query_id, doc_id, floor(dot / (nw.n * nv.n) * 1e6 + 0.5) / 1e6 AS score FROM p JOIN nw USING (doc_id) JOIN nv USING (query_id)""",
+)
+def r03_ngrams(spark, sf_dir):
+    """TF-IDF over terms of up to two words without stop words, the 10,000 most frequent, fitted on documents and queries."""
+    found = retrieval.tfidf_hits(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), STOPS, ngrams=2, max_features=10_000, fit_queries=True)
+    return retrieval.bucketed(found, "score")
