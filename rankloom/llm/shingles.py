@@ -31,13 +31,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, mod 2^64."""
     if len(_POWERS[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, 1 << 22), base, np.uint64)
+            steps = np.full(max(n, 1 << 21), base, np.uint64)
             steps[0] = 1
             _POWERS[k] = np.cumprod(steps)
     return _POWERS[0], _POWERS[1]
 
 
-def by_bytes(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def by_bytes(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together, for bounded working arrays."""
     at = size = 0
     for i, t in enumerate(texts):
