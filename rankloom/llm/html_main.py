@@ -74,9 +74,12 @@ WEAK = frozenset(
 )
 #: Words that may stand beside those in one name and change nothing: cookie-banner-box, site-footer, ad_slot_2.
 PLAIN = frozenset(
-    """site page main top bottom left right box bar block list section area container wrapper wrap inner outer content links
-    link buttons button icons form message slot unit post article primary secondary global text title thread policy js the
-    user users reader readers small large sticky inline body holder region panel column col row group item items wp""".split()
+    """site page main top bottom left right box boxes bar block blocks list lists section sections area areas container wrapper
+    wrap inner outer content links link buttons button icons form message messages slot slots unit units post posts article
+    articles stories primary secondary global text title label labels thread policy js the user users reader readers small
+    large sticky inline body holder region panel panels column columns col row group item items card cards grid feed wp info
+    warning banners widgets line note notes zone space spot placeholder leaderboard rectangle mobile desktop wide strip close
+    accept dismiss us follow popular latest recent trending tag tags meta media email input field""".split()
 )
 MANY_LINKS, ALL_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.34, 0.75, 70, 200, 0.10, 0.30
 
@@ -113,7 +116,7 @@ def _hint(attrs: str, in_main: bool) -> int:
     most = 0
     for m in _NAMED.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").split():
-            words = {w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w and not w.isdigit()}
+            words = {w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w and not w[0].isdigit()}
             found = words & (STRONG | WEAK)
             if not found or found == {"header"} and in_main or not words <= STRONG | WEAK | PLAIN:
                 continue

@@ -427,7 +427,7 @@ def test_names_of_parts_of_articles(name):
     assert in_article("<h1>Head</h1>", f"<div {name}><p>{text}</p></div>") == f"Head {text}"
 
 
-@pytest.mark.parametrize("name", ['class="ad"', 'class="x cookie-notice"', 'id=site_footer', 'class="ad-slot-3"', 'class="adBanner"', 'role="search"', 'class="post-comments"', 'id="comments"', 'hidden'])
+@pytest.mark.parametrize("name", ['class="ad"', 'class="x cookie-notice"', 'id=site_footer', 'class="ad-slot-3"', 'class="adBanner"', 'role="search"', 'class="post-comments"', 'id="comments"', 'hidden', 'class="ad-300x250"', 'class="related-posts"', 'class="alert-info"', 'class="newsletter__email-field"'])
 def test_names_of_other_things(name):
     text = "The report of the day says that shares of the firm went up and down and then up again."
     assert in_article("<h1>Head</h1>", f"<div {name}><p>{text}</p></div>", f"<p>{text}</p>") == f"Head {text}"
