@@ -341,10 +341,12 @@ def search(docs: DataFrame, queries: DataFrame, pool: int, second: DataFrame | N
     both = keep(both)
     columns = ["query_id", "doc_id", "bm25", "second", "coverage", "bm25_rank", "second_rank"]
     candidates = both.where((F.col("bm25_rank") <= most) | (F.col("second_rank") <= most)).select(*columns)
-    # where a signal has fewer positive scores than ranks to fill, the first documents by id fill them
-    spare = counts_one.select("query_id", F.col("above").alias("a1"), F.col("there").alias("t")).join(counts_two.select("query_id", F.col("above").alias("a2")), "query_id")
-    short = queries.select("query_id").distinct().join(spare, "query_id", "left").where(f"coalesce(least(a1, a2), 0) < {most}")
-    short = keep(short.select("query_id", (F.coalesce("t", F.lit(0)) + most).alias("upto")))
+    # where a signal has fewer positive scores than ranks to fill, the first documents by id that score 0 in it fill them:
+    # they are among the first ``most`` and as many as score otherwise
+    ends = lambda counts, k: counts.select("query_id", F.col("above").alias(f"a{k}"), (F.col("above") + F.col("below") + most).alias(f"e{k}"))
+    known = queries.select("query_id").distinct().join(ends(counts_one, 1).join(ends(counts_two, 2), "query_id"), "query_id", "left")
+    upto = F.greatest(*[F.when(F.coalesce(F.col(f"a{k}"), F.lit(0)) < most, F.coalesce(F.col(f"e{k}"), F.lit(most))) for k in (1, 2)])
+    short = keep(known.select("query_id", upto.alias("upto")).where("upto IS NOT NULL"))
     reach = short.agg(F.max("upto")).first()[0] or 0
     if reach:
         first_docs = positions(docs.select("doc_id").distinct(), ["doc_id"], "_place").where(F.col("_place") < reach)
