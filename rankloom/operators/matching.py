@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from rankloom.config import DEFAULT, Config
 from rankloom.functions.shared import keep
-from rankloom.functions.text import band, bucket, ngrams, sigmoid, words
+from rankloom.functions.text import band, bucket, ngrams, sigmoid, unfolded, words
 from rankloom.operators import dimensions, retrieval
 from rankloom.operators.sanitize import LEVELS, sanitize
 
 
 def query_overlap(docs: DataFrame, queries: DataFrame, n: int = 4) -> DataFrame:
     """query_id, doc_id, overlap: share of a query's distinct word n-grams in each document that has any."""
-    grams = lambda df, key: df.select(key, words("text").alias("ws")).select(key, F.explode(F.array_distinct(ngrams(F.col("ws"), n))).alias("g"))
+    grams = lambda df, key: df.select(key, words("text").alias("ws")).select(key, unfolded(F.array_distinct(ngrams(F.col("ws"), n)), "g")).where("g IS NOT NULL")
     asked = grams(queries, "query_id")
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n"))
     hits = grams(docs, "doc_id").join(retrieval._small(asked), "g").groupBy("query_id", "doc_id").agg(F.count("*").alias("c"))
