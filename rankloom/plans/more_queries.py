@@ -98,7 +98,7 @@ SELECT query_id, doc_id, {SIX.format("greatest(0.01, least(0.49, 0.5 * (1 - (k -
 )
 def r06(spark, sf_dir):
     """The cascade without a reranker: every document is in the tail."""
-    found = retrieval.hybrid_search(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), rerank=False)
+    found = retrieval.hybrid_search(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), rerank=False, columns=["query_id", "doc_id", "probability"])
     return retrieval.bucketed(found.select("query_id", "doc_id", "probability"), "probability")
 
 
