@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.functions import udtf
 
 from rankloom.config import DEFAULT
+from rankloom.operators.retrieval import is_small, query_terms
 
 #: name(parameters) -> type: expression.  They say in SQL what ``functions.text`` says with columns.
 SCALARS = {
@@ -31,11 +32,15 @@ SCALARS = {
     "rl_tolerant_int(s STRING, low INT, high INT)": ("INT", "greatest(low, least(high, coalesce(try_cast(s AS INT), 0)))"),
     "rl_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>)": ("DOUBLE", "aggregate(zip_with(a, b, (x, y) -> x * y), CAST(0 AS DOUBLE), (s, x) -> s + x)"),
 }
+#: Where the terms of all queries are few, they go to the postings, and pairs are summed where their document is.
+FEW_TERMS = "/*+ BROADCAST(q, w) */"
 #: name(parameters) -> columns: query over the views that ``tables`` makes.
 TABLES = {
+    # dealt by document as texts, which are shorter than their tokens: what is counted or summed a document is not sent again
     "rl_postings()": (
         "doc_id BIGINT, term STRING, tf BIGINT, dl INT",
-        "SELECT doc_id, term, count(*), first(dl) FROM (SELECT doc_id, size(ts) AS dl, explode(ts) AS term FROM (SELECT doc_id, rl_tokens(text) AS ts FROM rl_documents)) GROUP BY doc_id, term",
+        """SELECT doc_id, term, count(*), first(dl) FROM (SELECT doc_id, size(ts) AS dl, explode_outer(ts) AS term FROM (SELECT doc_id, rl_tokens(text) AS ts
+        FROM (SELECT /*+ REPARTITION(doc_id) */ doc_id, text FROM rl_documents))) WHERE term IS NOT NULL GROUP BY doc_id, term""",
     ),
     "rl_idf()": (
         "term STRING, df BIGINT, idf DOUBLE",
@@ -45,9 +50,10 @@ TABLES = {
     "rl_bm25()": (
         "query_id BIGINT, doc_id BIGINT, score DOUBLE",
         f"""WITH q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, explode(ts) AS term FROM (SELECT query_id, rl_tokens(text) AS ts FROM rl_queries)) GROUP BY query_id, term),
+        w AS (SELECT {FEW_TERMS} q.query_id, q.term, q.qtf * i.idf AS weight FROM rl_idf() i JOIN q ON q.term = i.term),
         mean AS (SELECT avg(size(rl_tokens(text))) AS avgdl FROM rl_documents)
-        SELECT q.query_id, p.doc_id, sum(q.qtf * i.idf * p.tf * {DEFAULT.bm25_k1 + 1} / (p.tf + {DEFAULT.bm25_k1} * ({1 - DEFAULT.bm25_b} + {DEFAULT.bm25_b} * p.dl / avgdl)))
-        FROM q JOIN rl_idf() i ON q.term = i.term JOIN rl_postings() p ON p.term = q.term CROSS JOIN mean GROUP BY q.query_id, p.doc_id""",
+        SELECT {FEW_TERMS} w.query_id, p.doc_id, sum(w.weight * p.tf * {DEFAULT.bm25_k1 + 1} / (p.tf + {DEFAULT.bm25_k1} * ({1 - DEFAULT.bm25_b} + {DEFAULT.bm25_b} * p.dl / avgdl)))
+        FROM rl_postings() p JOIN w ON p.term = w.term CROSS JOIN mean GROUP BY w.query_id, p.doc_id""",
     ),
     # a caller's bound on the rank cuts every task's rows before they are sent
     "rl_ranked()": (
@@ -132,8 +138,9 @@ def tables(spark: SparkSession, documents: DataFrame, queries: DataFrame) -> Non
     """The views (doc_id, text) and (query_id, text) that the table functions read."""
     documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").createOrReplaceTempView("rl_documents")
     queries.selectExpr("CAST(query_id AS BIGINT) AS query_id", "text").createOrReplaceTempView("rl_queries")
+    few = is_small(query_terms(spark.table("rl_queries")))
     for head, (columns, body) in TABLES.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS TABLE({columns}) RETURN {body}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS TABLE({columns}) RETURN {body if few else body.replace(FEW_TERMS, '')}")
 
 
 def register(spark: SparkSession) -> None:
