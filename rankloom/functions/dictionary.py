@@ -1,6 +1,6 @@
 """Many surface forms found in texts by one automaton, whatever their number.
 
-A text is read once, in Arrow batches; the automaton goes to the executors as one
+A text is read once, in Arrow batches of bounded rows and bytes; the automaton goes to the executors as one
 broadcast whose size is checked.  Matches may overlap: every occurrence of every form is
 found, inside words too.  Where the automaton library is missing, the forms are tried as
 a trie of plain dictionaries, with the same results.
@@ -11,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.functions.shared import bound_batches
+
 #: Characters of all forms together that one automaton may hold (about 40 bytes each).
 MOST_CHARS = 20_000_000
 
@@ -74,9 +76,10 @@ class Dictionary:
         return Dictionary([r.v for r in values.orderBy("v").collect()])
 
     def _udf(self, kind: str, shape):
-        from pyspark.sql import SparkSession
-
-        sent = SparkSession.active().sparkContext.broadcast(self.forms)
+        spark = SparkSession.active()
+        # what is found in a text can be many times its size, and a batch holds it for all of its rows
+        bound_batches(spark)
+        sent = spark.sparkContext.broadcast(self.forms)
 
         @F.pandas_udf(kind)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
