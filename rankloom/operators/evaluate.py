@@ -17,21 +17,33 @@ def _gain(rel: Column, rank: Column, k: int) -> Column:
     return F.sum(F.when(rank <= k, rel / F.log2(rank + 1)).otherwise(0.0))
 
 
-def ranking_metrics(ranked: DataFrame, keys: list[str], ks=(3, 5, 10), threshold: float = DEFAULT.relevance_threshold) -> DataFrame:
+def ideal_order(rated: DataFrame, most: int = 10) -> DataFrame:
+    """rel, ideal_rank: the best ``most`` grades of a list of rated documents."""
+    return rated.select("rel").orderBy(F.desc("rel")).limit(most).withColumn("ideal_rank", F.row_number().over(Window.orderBy(F.desc("rel"))))
+
+
+def ranking_metrics(ranked: DataFrame, keys: list[str], ks=(3, 5, 10), threshold: float = DEFAULT.relevance_threshold, best: DataFrame | None = None) -> DataFrame:
     """ndcg_k and p_k for each k, and mrr; the ideal order is that of the ranked list itself.
 
+    Where every list ranks the same documents, ``best`` is their ``ideal_order``, and of a list only the first places are
+    needed: max(ks), and as many as reach the first document of a grade of ``threshold``, or else mrr is 0.
+
     The list is summed by partial aggregates; of the ideal order only the first places are asked for, which every task
     cuts before it sends them, so no task sorts a whole list.  ``ranked`` is read twice.
     """
-    ideal = Window.partitionBy(*keys).orderBy(F.desc("rel"), F.asc("rank"))
-    best = ranked.select(*keys, "rel", "rank").withColumn("ideal_rank", F.row_number().over(ideal)).where(F.col("ideal_rank") <= max(ks))
-    tops = best.groupBy(*keys).agg(*[_gain(F.col("rel"), F.col("ideal_rank"), k).alias(f"_top_{k}") for k in ks])
+    gains = [_gain(F.col("rel"), F.col("ideal_rank"), k).alias(f"_top_{k}") for k in ks]
+    if best is None:
+        ideal = Window.partitionBy(*keys).orderBy(F.desc("rel"), F.asc("rank"))
+        own = ranked.select(*keys, "rel", "rank").withColumn("ideal_rank", F.row_number().over(ideal)).where(F.col("ideal_rank") <= max(ks))
+        tops = own.groupBy(*keys).agg(*gains)
+    else:
+        tops = best.agg(*gains)
     rank, rel = F.col("rank"), F.col("rel")
     out = []
     for k in ks:
         out += [_gain(rel, rank, k).alias(f"_dcg_{k}"), (F.sum(((rank <= k) & (rel >= threshold)).cast("int")) / k).alias(f"p_{k}")]
     sums = ranked.groupBy(*keys).agg(*out, F.coalesce(1.0 / F.min(F.when(rel >= threshold, rank)), F.lit(0.0)).alias("mrr"))
-    both = sums.join(tops, keys)
+    both = sums.join(tops, keys) if best is None else sums.crossJoin(F.broadcast(tops))
     for k in ks:
         both = both.withColumn(f"ndcg_{k}", F.when(F.col(f"_top_{k}") == 0, 0.0).otherwise(F.col(f"_dcg_{k}") / F.when(F.col(f"_top_{k}") == 0, 1.0).otherwise(F.col(f"_top_{k}"))))
     return both.select(*keys, *[name for k in ks for name in (f"ndcg_{k}", f"p_{k}")], "mrr")
