@@ -21,12 +21,31 @@ from rankloom.operators.sanitize import LEVELS, sanitize
 def query_overlap(docs: DataFrame, queries: DataFrame, n: int = 4) -> DataFrame:
     """query_id, doc_id, overlap: share of a query's distinct word n-grams in each document that has any."""
     grams = lambda df, key: df.select(key, words("text").alias("ws")).select(key, unfolded(F.array_distinct(ngrams(F.col("ws"), n)), "g")).where("g IS NOT NULL")
-    asked = grams(queries, "query_id")
+    asked = keep(grams(queries, "query_id"))
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = grams(docs, "doc_id").join(retrieval._small(asked), "g").groupBy("query_id", "doc_id").agg(F.count("*").alias("c"))
+    hits = _grams_between(docs, asked, n).join(retrieval._small(asked), "g").groupBy("query_id", "doc_id").agg(F.count("*").alias("c"))
     return hits.join(retrieval._small(sizes), "query_id").select("query_id", "doc_id", (F.col("c") / F.col("n")).alias("overlap"))
 
 
+#: So many first and last words of the queries' n-grams may be looked for before a document's n-grams are made.
+MOST_ENDS = 10_000
+
+
+def _grams_between(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """doc_id, g: distinct n-grams of the documents; of those whose first and last word no query has (if these are few) none is made."""
+    at = F.split("g", " ")
+    ends = [[r[0] for r in asked.select(F.get(at, F.lit(i))).distinct().limit(MOST_ENDS + 1).collect()] for i in (0, n - 1)]
+    cut = docs.select("doc_id", words("text").alias("ws"))
+    if max(map(len, ends)) > MOST_ENDS:
+        made = ngrams(F.col("ws"), n)
+    else:
+        starts = F.when(F.size("ws") >= n, F.sequence(F.lit(1), F.size("ws") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        first, last = (words_ or [""] for words_ in ends)
+        kept = F.filter(starts, lambda i: F.get("ws", i - 1).isin(first) & F.get("ws", i + (n - 2)).isin(last))
+        made = F.transform(kept, lambda i: F.array_join(F.slice("ws", i, n), " "))
+    return cut.select("doc_id", unfolded(F.array_distinct(made), "g")).where("g IS NOT NULL")
+
+
 def match(
     docs: DataFrame, queries: DataFrame, keywords: list[str], second: DataFrame | None = None, weights: Column | None = None, pool: int | None = None, config: Config = DEFAULT
 ) -> DataFrame:
